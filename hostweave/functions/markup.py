@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hostweave.functions import fixed
+from hostweave.functions.stages import constant, let
 
 # Marks the place of removed markup until text nodes are joined.
 _CUT = "\x01"
@@ -18,28 +19,37 @@ PHONE_SKIPS = ("script", "style", "noscript")
 
 def decode_entities(text: Column) -> Column:
     """Decode numeric and common named character references."""
-    out = F.when(text.contains("&#"), _decode_numeric(text)).otherwise(text)
-    named = out
-    for name, char in fixed.ENTITIES.items():
-        named = F.replace(named, F.lit(f"&{name};"), F.lit(char))
-    return F.when(out.contains("&"), named).otherwise(out)
+    named = constant(
+        [{"ref": f"&{name};", "char": char} for name, char in fixed.ENTITIES.items()],
+        "array<struct<ref:string,char:string>>",
+    )
 
+    def decode_named(t: Column) -> Column:
+        return F.when(t.contains("&"), F.aggregate(
+            named, t, lambda out, e: F.replace(out, e["ref"], e["char"])
+        )).otherwise(t)
 
-def _decode_numeric(text: Column) -> Column:
-    parts = F.split(text, "&#")
+    def decode(t: Column) -> Column:
+        return F.when(t.contains("&#"), _decode_numeric(t)).otherwise(t)
+
+    return let(let(text, decode), decode_named)
 
-    def decode(part: Column) -> Column:
+
+def _decode_numeric(text: Column) -> Column:
+    def one(part: Column) -> Column:
         dec = F.regexp_extract(part, r"^([0-9]{1,6});", 1)
         hexa = F.regexp_extract(part, r"^[xX]([0-9a-fA-F]{1,5});", 1)
         code = F.when(dec != "", F.hex(dec.cast("bigint"))).otherwise(hexa)
-        char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
         rest = F.regexp_replace(part, r"^[xX]?[0-9a-fA-F]{1,6};", "")
-        return F.when(code != "", F.concat(char, rest)).otherwise(
-            F.concat(F.lit("&#"), part)
-        )
+        return let(code, lambda c: F.when(
+            c != "", F.concat(F.decode(F.unhex(F.lpad(c, 8, "0")), "UTF-32"), rest)
+        ).otherwise(F.concat(F.lit("&#"), part)))
+
+    def joined(parts: Column) -> Column:
+        tail = F.transform(F.slice(parts, 2, F.size(parts)), one)
+        return F.concat(F.element_at(parts, 1), F.array_join(tail, ""))
 
-    tail = F.transform(F.slice(parts, 2, F.size(parts)), decode)
-    return F.concat(F.element_at(parts, 1), F.array_join(tail, ""))
+    return let(F.split(text, "&#"), joined)
 
 
 def visible_text(html: Column, skip: tuple[str, ...] = TEXT_SKIPS) -> Column:

@@ -1,7 +1,10 @@
-"""Evaluate costly expressions exactly once per row."""
+"""Evaluate costly expressions exactly once per row, and keep plans small."""
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,3 +21,16 @@ def once(df: DataFrame, columns: dict[str, Column], drop: tuple[str, ...] = ())
     keep = [c for c in df.columns if c not in columns and c not in drop]
     packed = F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))
     return df.select(*keep, F.inline(packed))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, computed once however often ``body`` mentions it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def constant(data, schema: str) -> Column:
+    """A nested constant; the optimizer folds it to a literal when planning.
+
+    One call instead of one per element keeps plan building fast for long lists.
+    """
+    return F.from_json(F.lit(json.dumps(data)), F.lit(schema))

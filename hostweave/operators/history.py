@@ -38,23 +38,23 @@ def upsert(
 def apply_status(jobs: DataFrame, changes: DataFrame) -> DataFrame:
     """Replay status changes on jobs.
 
-    ``changes``: ``id, seq, at, status, ended, replaced``.  A replacing change
+    ``changes``: ``id, seq, changed_at, status, ended, replaced``.  A replacing change
     (re-)creates the job and clears its end; an ending change sets it.  Plain
     changes of unknown jobs do nothing.
     """
     seq = F.col("seq")
     last = changes.groupBy("id").agg(
         F.max_by("status", seq).alias("_status"),
-        F.max(F.when(F.col("replaced"), F.struct("seq", "at"))).alias("_made"),
-        F.max(F.when(F.col("ended"), F.struct("seq", "at"))).alias("_end"),
+        F.max(F.when(F.col("replaced"), F.struct("seq", "changed_at"))).alias("_made"),
+        F.max(F.when(F.col("ended"), F.struct("seq", "changed_at"))).alias("_end"),
     )
     made, end = F.col("_made"), F.col("_end")
     ended_later = end.isNotNull() & (made.isNull() | (end["seq"] > made["seq"]))
     joined = jobs.withColumn("_known", F.lit(True)).join(last, "id", "full")
     values = {
         "status": F.coalesce("_status", "status"),
-        "created_at": F.coalesce(made["at"], F.col("created_at")),
-        "ended_at": F.when(ended_later, end["at"]).when(made.isNull(), F.col("ended_at")),
+        "created_at": F.coalesce(made["changed_at"], F.col("created_at")),
+        "ended_at": F.when(ended_later, end["changed_at"]).when(made.isNull(), F.col("ended_at")),
     }
     return joined.where(F.col("_known") | made.isNotNull()).withColumns(values).select(
         *jobs.columns

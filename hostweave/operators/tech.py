@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostweave.functions import fixed, urls
-from hostweave.functions.stages import once
+from hostweave.functions.stages import constant, once
 
 HITS_TYPE = "array<struct<platform:string,evidence:array<string>>>"
 
@@ -32,19 +32,20 @@ def header_text(headers: Column) -> Column:
 def scan_markers(blob: Column, markers: Mapping[str, Sequence[str]]) -> Column:
     """Platforms with a marker in ``blob`` and their first three markers.
 
-    The dictionary is compiled into one projection of substring tests.  There
-    is no join, so the markup is read once where it was scanned and never
-    duplicated or shuffled.
+    The dictionary is a literal inside one projection.  There is no join, so the
+    markup is read where it was scanned and never duplicated or shuffled.
     """
-    def hit(platform: str, words: Sequence[str]) -> Column:
-        found = F.array_compact(F.array(*[
-            F.when(blob.contains(w.lower()), F.lit(w)) for w in words
-        ]))
-        return F.struct(F.lit(platform).alias("platform"),
+    platforms_ = constant(
+        [{"platform": p, "markers": [w.lower() for w in words]} for p, words in markers.items()],
+        "array<struct<platform:string,markers:array<string>>>",
+    )
+
+    def hit(entry: Column) -> Column:
+        found = F.filter(entry["markers"], lambda m: F.contains(blob, m))
+        return F.struct(entry["platform"].alias("platform"),
                         F.slice(found, 1, 3).alias("evidence"))
 
-    all_hits = F.array(*[hit(p, words) for p, words in markers.items()])
-    return F.filter(all_hits, lambda h: F.size(h["evidence"]) > 0).cast(HITS_TYPE)
+    return F.filter(F.transform(platforms_, hit), lambda h: F.size(h["evidence"]) > 0)
 
 
 def add_implied(hits: Column, implies: Mapping[str, str] = fixed.IMPLIES) -> Column:
@@ -138,10 +139,7 @@ def merge_passes(static: DataFrame, rendered: DataFrame, key: str = "page_id") -
 
 
 def looks_like_spa(html: Column, markers: Sequence[str] = tuple(fixed.SPA_MARKERS)) -> Column:
-    test = F.lit(False)
-    for m in markers:
-        test = test | html.contains(m)
-    return test
+    return F.exists(constant(list(markers), "array<string>"), lambda m: F.contains(html, m))
 
 
 def spa_pages(pages: DataFrame) -> DataFrame:

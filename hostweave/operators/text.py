@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostweave.functions import fixed, markup, urls
+from hostweave.functions import blocks, fixed, markup, urls
 from hostweave.functions.stages import once
 
 
@@ -80,55 +79,12 @@ def page_footers(pages: DataFrame, html: str = "html", heuristic: bool = True) -
     native = staged.where(~needs).select(*keep, "footer")
     searched = staged.where(needs).select(*keep, html)
     schema = native.schema
+    find, hints = blocks.marked_block, tuple(fixed.FOOTER_HINTS)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = pdf[keep].copy()
-            out["footer"] = [marked_block(h) for h in pdf[html]]
+            out["footer"] = [find(page, hints) for page in pdf[html]]
             yield out
 
     return native.unionByName(searched.mapInPandas(cut, schema))
-
-
-class _BlockFinder(HTMLParser):
-    """Offsets of the first block element whose class, id or role names a footer."""
-
-    def __init__(self, page: str):
-        super().__init__(convert_charrefs=False)
-        self._line_starts = [0]
-        for line in page.split("\n")[:-1]:
-            self._line_starts.append(self._line_starts[-1] + len(line) + 1)
-        self.start = self.end = None
-        self._tag, self._depth = "", 0
-        self.feed(page)
-
-    def _offset(self) -> int:
-        line, column = self.getpos()
-        return self._line_starts[line - 1] + column
-
-    def handle_starttag(self, tag, attrs):
-        if self.start is None:
-            named = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower()
-            if tag in ("div", "section", "aside") and any(
-                w in named for w in fixed.FOOTER_HINTS
-            ):
-                self.start, self._tag, self._depth = self._offset(), tag, 1
-        elif self.end is None and tag == self._tag:
-            self._depth += 1
-
-    def handle_endtag(self, tag):
-        if self.start is not None and self.end is None and tag == self._tag:
-            self._depth -= 1
-            if self._depth == 0:
-                self.end = self._offset()
-
-
-def marked_block(page: str) -> str:
-    """The footer-like block of a page, without trailing text; ``''`` if none."""
-    found = _BlockFinder(page)
-    if found.start is None:
-        return ""
-    if found.end is None:
-        return page[found.start:]
-    close = page.find(">", found.end)
-    return page[found.start:close + 1 if close >= 0 else len(page)]

@@ -358,7 +358,8 @@ def phones(t):
 
 @on
 def document_phones(t):
-    return contacts.phones(t.documents.select("doc_id", F.col("text").alias("html")), key="doc_id")
+    docs = t.documents.select("doc_id", F.replace("text", F.lit("+1 ("), F.lit("call +1 (")).alias("html"))
+    return contacts.phones(docs, key="doc_id")
 
 
 @on

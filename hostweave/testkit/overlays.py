@@ -134,7 +134,7 @@ select concat('job_', cast(l_orderkey as string)) as job_id, concat('s', cast(l_
 from @lineitem where l_quantity > 10
 """,
     "fx_status_changes": """
-select concat('job_', cast(l_orderkey + 500 as string)) as id, cast(l_linenumber as bigint) * 10000000000 + l_partkey * 1000000 + l_suppkey * 100 + cast(l_quantity as bigint) as seq, l_shipdate as at,
+select concat('job_', cast(l_orderkey + 500 as string)) as id, cast(l_linenumber as bigint) * 10000000000 + l_partkey * 1000000 + l_suppkey * 100 + cast(l_quantity as bigint) as seq, l_shipdate as changed_at,
   case when l_quantity > 45 then 'running' when l_returnflag = 'N' then 'running' when l_returnflag = 'A' then 'done' else 'stopped' end as status,
   l_quantity <= 45 and l_returnflag <> 'N' as ended, l_quantity > 45 as replaced
 from @lineitem
