@@ -204,9 +204,11 @@ def run_resume(
         asked.select("url", "vertical", "confidence", "reason"), "url"
     ).drop("url")
     kept = fill_contacts(labels.sweep_unknown(ver, verdicts), site_contacts(facts, late))
-    done = acceptance.accept(
-        kept.unionByName(fresh, allowMissingColumns=True), jobs, policy="resume"
+    both = kept.withColumn("_round", F.lit(0)).unionByName(
+        fresh.withColumn("_round", F.lit(1)), allowMissingColumns=True
     )
+    current = latest_by(both, ["job_id", "domain"], ["_round", "requested_host"]).drop("_round")
+    done = acceptance.accept(current, jobs, policy="resume")
     return Run(urls=collected, verifications=done,
                summary=acceptance.run_summary(collected, done))
 

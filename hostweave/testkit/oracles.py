@@ -467,47 +467,58 @@ def payload_rows(name: str, source: str, key: str) -> str:
 oracle("payload_contacts", f"""with {payload_rows('blobs', 'fx_pages', 'page_id')}, {scan('found', 'blobs', 'page_id', 'b')}
 select distinct page_id, kind, network, value from found""")
 
-ORIGIN = "regexp_extract(url, '^https?://[^/?#]+', 0)"
+PATHS = f"paths(n, path) as (values {values([(i + 5, p) for i, p in enumerate(fixed.CONTACT_PATHS)])})"
+LINK_WORDS = "|".join(fixed.CONTACT_LINK_WORDS)
+
+
+def link_ctes(p: str, crawl: str, sites: str) -> str:
+    """CTEs ``{p}home`` and ``{p}links``; ``crawl`` has url, landed, html."""
+    return rf"""
+{p}home as (select site, c.url as page, html, landed, {host('landed')} as host from {sites} join {crawl} c on rtrim({canon('landed')}, '/') = site),
+{p}home_anchors as (select site, page, landed, host, regexp_extract_all(coalesce(nullif({footer('html')}, ''), html), '(?is)<a\b[^>]*>.*?(?:</a\s*>|\z)') as l from {p}home),
+{p}anchor_rows as (select site, page, landed, host, generate_subscripts(l, 1) as pos, unnest(l) as a from {p}home_anchors),
+{p}anchor_parts as (select site, page, landed, host, pos, trim({href('a')}) as h, lower(regexp_replace(a, '<[^>]*>', ' ', 'g')) as label from {p}anchor_rows),
+{p}full_links as (select site, page, host, pos, case when starts_with(h, 'http') then h when starts_with(h, '/') then regexp_extract(landed, '^https?://[^/?#]+', 0) || h end as full_url
+  from {p}anchor_parts where regexp_matches(lower(h) || ' ' || label, '{LINK_WORDS}')),
+{p}same_host as (select site, page, min(pos) as pos, {canon('full_url')} as url from {p}full_links where full_url is not null and {host('full_url')} = host group by site, page, {canon('full_url')}),
+{p}page_order as (select site, url, row_number() over (partition by site, page order by pos) as pos from {p}same_host),
+{p}site_order as (select site, url, min(pos) as pos from {p}page_order group by 1, 2),
+{p}unseen as (select s.* from {p}site_order s where rtrim(url, '/') <> site and not exists (select 1 from paths where s.url = s.site || path)),
+{p}link_ranks as (select site, url, row_number() over (partition by site order by pos, url) as nth from {p}unseen where url in (select {canon('url')} from {crawl})),
+{p}links as (select site, nth + 15 as stage, url from {p}link_ranks where nth <= 3)"""
+
+
+def cascade_ctes(p: str, crawl: str, sites: str, rendered: str) -> str:
+    """CTEs ``{p}first_seen`` and ``{p}kept``: contacts by stage, with early stop."""
+    return f"""{link_ctes(p, crawl, sites)},
+{payload_rows(p + 'blobs', p + 'home', 'site')},
+{p}shells as (select distinct site from {p}home where {SPA}),
+{p}late as (select site, r.html from (select rtrim({canon('url')}, '/') as site, html from {rendered}) r join {p}shells using (site)),
+{p}sources as (
+  select site, 0 as stage, b as blob from {p}blobs
+  union all select site, 1, {footer('html')} from {p}home
+  union all select site, 2, html from {p}home
+  union all select site, 3, {footer('html')} from {p}late
+  union all select site, 4, html from {p}late
+  union all select site, n, html from {sites} cross join paths join {crawl} c on c.url = site || path
+  union all select site, stage, html from {p}links join {crawl} c using (url)),
+{scan(p + 'found', p + 'sources', 'site, stage', 'blob')},
+{p}first_seen as (select site, kind, network, value, cast(min(stage) as bigint) as stage from {p}found group by 1, 2, 3, 4),
+{p}stage_list as (select distinct site, stage from {p}first_seen),
+{p}upto as (select l.site, l.stage, count(*) filter (where kind = 'email') as e, count(*) filter (where kind = 'phone') as p, count(*) filter (where kind = 'social') as s
+  from {p}stage_list l join {p}first_seen f on f.site = l.site and f.stage <= l.stage group by 1, 2),
+{p}stops as (select site, min(stage) as stop from {p}upto where e >= 1 or (p >= 1 and s >= 1) group by 1),
+{p}kept as (select f.* from {p}first_seen f left join {p}stops using (site) where stop is null or stage <= greatest(stop, 1))"""
+
+
 SITES = f"""
-crawl as (select page_id, {canon('url')} as url, html, {host('url')} as host from fx_crawl),
+crawl as (select {canon('url')} as url, url as landed, html from fx_crawl),
 sites as (select distinct 'https://' || {host('url')} as site from fx_crawl)"""
-PATHS = f"paths(n, path) as (values {values([(i + 5, p) for i, p in enumerate(fixed.CONTACT_PATHS)])})"
 oracle("contact_candidates", f"""with {SITES}, {PATHS}
 select site, cast(n as bigint) as stage, url from sites cross join paths join crawl on crawl.url = site || path""")
-
-LINK_WORDS = "|".join(fixed.CONTACT_LINK_WORDS)
-LINKS = rf"""
-home as (select site, page_id, html, host from sites join crawl on rtrim(crawl.url, '/') = site),
-home_anchors as (select site, host, regexp_extract_all(coalesce(nullif({footer('html')}, ''), html), '(?is)<a\b[^>]*>.*?(?:</a\s*>|\z)') as l from home),
-anchor_rows as (select site, host, generate_subscripts(l, 1) as pos, unnest(l) as a from home_anchors),
-anchor_parts as (select site, host, pos, trim({href('a')}) as h, lower(regexp_replace(a, '<[^>]*>', ' ', 'g')) as label from anchor_rows),
-full_links as (select site, host, pos, case when starts_with(h, 'http') then h when starts_with(h, '/') then site || h end as full_url from anchor_parts where regexp_matches(lower(h) || ' ' || label, '{LINK_WORDS}')),
-same_host as (select site, min(pos) as pos, {canon('full_url')} as url from full_links where full_url is not null and {host('full_url')} = host group by site, {canon('full_url')}),
-unseen as (select s.* from same_host s where rtrim(url, '/') <> site and not exists (select 1 from paths where s.url = s.site || path)),
-link_ranks as (select site, url, row_number() over (partition by site order by pos, url) as nth from unseen where url in (select url from crawl)),
-links as (select site, nth + 15 as stage, url from link_ranks where nth <= 3)"""
-oracle("footer_links", f"with {SITES}, {PATHS}, {LINKS} select site, cast(stage as bigint) as stage, url from links")
-
-STAGED = f"""{SITES}, {PATHS}, {LINKS},
-{payload_rows('blobs', 'home', 'site')},
-late as (select site, r.html from fx_rendered r join home using (page_id) where {SPA.replace('html', 'home.html')}),
-sources as (
-  select site, 0 as stage, b as blob from blobs
-  union all select site, 1, {footer('html')} from home
-  union all select site, 2, html from home
-  union all select site, 3, {footer('html')} from late
-  union all select site, 4, html from late
-  union all select site, n, html from sites cross join paths join crawl on crawl.url = site || path
-  union all select site, stage, html from links join crawl using (url)),
-{scan('found', 'sources', 'site, stage', 'blob')},
-first_seen as (select site, kind, network, value, cast(min(stage) as bigint) as stage from found group by 1, 2, 3, 4)"""
-oracle("staged_contacts", f"with {STAGED} select * from first_seen")
-CASCADE = f"""{STAGED},
-stage_list as (select distinct site, stage from first_seen),
-upto as (select l.site, l.stage, count(*) filter (where kind = 'email') as e, count(*) filter (where kind = 'phone') as p, count(*) filter (where kind = 'social') as s
-  from stage_list l join first_seen f on f.site = l.site and f.stage <= l.stage group by 1, 2),
-stops as (select site, min(stage) as stop from upto where e >= 1 or (p >= 1 and s >= 1) group by 1),
-kept as (select f.* from first_seen f left join stops using (site) where stop is null or stage <= greatest(stop, 1))"""
+oracle("footer_links", f"with {SITES}, {PATHS}, {link_ctes('', 'crawl', 'sites')} select site, cast(stage as bigint) as stage, url from links")
+CASCADE = f"{SITES}, {PATHS}, {cascade_ctes('', 'crawl', 'sites', 'fx_rendered')}"
+oracle("staged_contacts", f"with {CASCADE} select * from first_seen")
 oracle("contact_cascade", f"with {CASCADE} select site, kind, network, value, stage as first_stage from kept")
 
 
@@ -646,3 +657,77 @@ oracle("stream_first", "select distinct job_id, host from fx_urls")
 oracle("stream_upsert", f"""with {LIVE}, r as (select *, row_number() over (partition by job_id, domain order by version desc, tiebreak desc) as rn from live)
 select job_id, domain, cast(version as bigint) as version, tiebreak, vertical, accepted from r where rn = 1""")
 oracle("stream_counts", f"with {LIVE} select job_id, count(*) as verified, count(*) filter (where accepted) as matched, count(*) filter (where vertical = 'Unknown') as unknown_niche from live group by 1")
+
+
+# --- whole runs ---------------------------------------------------------------
+
+RUN_LOG = f"""
+{MARKERS}, {PATHS},
+log_usable as (select {canon('url')} as url, coalesce(nullif(final_url, ''), {canon('url')}) as landed, headers_text, body as html,
+  row_number() over (partition by {canon('url')} order by attempt) as rn from fx_run_log where status < 400 and body <> ''),
+run_pages as (select url, landed, headers_text, html from log_usable where rn = 1),
+run_rendered as (select {canon('url')} as url, html from fx_rendered)"""
+
+
+def profile_ctes(p: str, wanted: str) -> str:
+    """CTE ``{p}profiles`` (url, landed, ok, platforms, verdict) of ``wanted`` addresses
+    and ``{p}contacts`` (site, emails, phones, socials)."""
+    order = "src, case when evidence is null then 1 else 0 end, pi"
+    return f"""
+{p}pages as (select w.url, landed, headers_text, html from {wanted} w join run_pages r using (url)),
+{hits(p + 'static', p + 'pages', 'url', "lower(substring(html, 1, 400000)) || ' ' || lower(headers_text)")},
+{hits(p + 'shown', 'run_rendered', 'url', 'lower(substring(html, 1, 800000))')},
+{p}again as (select w.url from {wanted} w left join {p}static s using (url) group by w.url having count(*) filter (where s.platform not in {FRAMEWORK_LIST}) = 0),
+{p}all_hits as (select url, platform, evidence, 0 as src from {p}static union all
+  select url, platform, evidence, 1 from {p}shown l where url in (select url from {p}again) and not exists (select 1 from {p}static s where s.url = l.url and s.platform = l.platform)),
+{p}stacks as (select url, list(h.platform order by {order}) as platforms from {p}all_hits h join (select distinct pi, platform from markers) m using (platform) group by url),
+{text_ctes(p + 'pages').replace('full_text', p + 'full_text').replace('texts as', p + 'texts as')},
+{p}asked as (select w.url as requested, coalesce(t.landed, w.url) as url, t.landed is not null as ok, coalesce(title, '') as title, coalesce(text, '') as text from {wanted} w left join {p}texts t using (url)),
+{lexicon_ctes(p + 'asked').replace('seen_text', p + 'seen_text').replace('seen_counts', p + 'seen_counts').replace('labelled as', p + 'labelled as')},
+{p}profiles as (select requested as url, l.url as landed, ok, coalesce(platforms, []) as platforms, vertical, confidence, reason from {p}labelled l left join {p}stacks s on s.url = l.requested),
+{p}sites as (select distinct rtrim({canon('landed')}, '/') as site from {p}pages),
+{cascade_ctes(p, 'run_pages', p + 'sites', 'run_rendered')},
+{assembled(p + 'contacts', p + 'kept')}"""
+
+
+def verify_ctes(p: str, collected: str) -> str:
+    """CTE ``{p}ver`` from ``collected`` (job_id, host, url, w = write order)."""
+    return f"""
+{p}wanted as (select distinct url from {collected}),
+{profile_ctes(p, p + 'wanted')},
+{p}rows as (select c.job_id, c.host as requested_host, {host('r.landed')} as domain, r.landed as url, platforms, vertical, confidence,
+  coalesce(emails, '') as emails, coalesce(phones, '') as phones, coalesce(socials, '') as socials,
+  row_number() over (partition by c.job_id, {host('r.landed')} order by w desc, c.host desc) as rn
+  from {collected} c join {p}profiles r using (url) left join {p}contacts k on k.site = rtrim({canon('r.landed')}, '/')),
+{p}ver as (select * exclude (rn) from {p}rows where rn = 1)"""
+
+
+def decided(ver: str, apply: str, skip: str) -> str:
+    return f"""{rules(ver)} select job_id, requested_host, domain, url, array_to_string(platforms, '|') as platforms, vertical, confidence, emails, phones, socials,
+  {accepted('platforms', apply, skip)} as accepted from {ver} join policy using (job_id)"""
+
+
+RUN_URLS = f"""{clean_ctes('fx_run_links')}, {first_host('job_id', 'query_idx, page_no, rank')},
+collected as (select job_id, host, url, query_idx, rank, struct_pack(a := query_idx, b := page_no, c := rank) as w from firsts)"""
+oracle("run_campaign", f"with {RUN_LOG}, {RUN_URLS}, {verify_ctes('v_', 'collected')}, {decided('v_ver', 'wanted and not none_ok', 'skip_tech_filter')}")
+oracle("run_bulk", f"""with {RUN_LOG}, {BULK},
+bulk_ranks as (select *, row_number() over (partition by job_id, host order by list_id, pos, url) as rn from bulk where not skipped and host <> ''),
+collected as (select job_id, host, url, struct_pack(a := list_id, b := pos) as w from bulk_ranks where rn = 1),
+{verify_ctes('v_', 'collected')}, {decided('v_ver', 'wanted', 'false')}""")
+oracle("run_resume", f"""with {RUN_LOG}, {RUN_URLS},
+known as (select job_id, host as requested_host, url, host as domain, case when rank % 2 = 0 then 'Unknown' else 'Fashion' end as vertical, 0.25 as confidence,
+  case when rank % 4 < 2 then 'old@shop.co' else '' end as emails from collected where query_idx = 0),
+todo as (select job_id, host, url, w from collected c where not exists (select 1 from known k where k.job_id = c.job_id and k.requested_host = c.host)),
+{verify_ctes('v_', 'todo')},
+a_wanted as (select distinct url from known where vertical = 'Unknown' or emails = ''),
+{profile_ctes('a_', 'a_wanted')},
+patched as (select k.job_id, k.requested_host, k.domain, k.url, ['Wix'] as platforms, case when k.vertical = 'Unknown' then p.vertical else k.vertical end as vertical,
+  case when k.vertical = 'Unknown' then p.confidence else k.confidence end as confidence, case when k.emails = '' then coalesce(c.emails, '') else k.emails end as emails,
+  case when k.emails = '' then coalesce(c.phones, '') else '' end as phones, case when k.emails = '' then coalesce(c.socials, '') else '' end as socials
+  from known k left join a_profiles p using (url) left join a_contacts c on c.site = rtrim(k.url, '/')),
+every as (select *, 0 as round_ from patched union all select *, 1 from v_ver),
+every_rank as (select *, row_number() over (partition by job_id, domain order by round_ desc, requested_host desc) as rn from every),
+current_rows as (select * exclude (rn, round_) from every_rank where rn = 1), {decided('current_rows', 'wanted', 'false')}""")
+oracle("verify_domains", f"""with {RUN_LOG}, wanted_urls as (select distinct {canon('url')} as url from fx_crawl), {profile_ctes('v_', 'wanted_urls')}
+select landed as url, {host('landed')} as domain, array_to_string(platforms, '|') as platforms, case when ok then vertical else 'Unknown' end as vertical,
+  case when ok then confidence else 0.0::double end as confidence, case when ok then reason else 'fetch failed' end as reason from v_profiles""")
