@@ -1,8 +1,10 @@
 """End-to-end runs over captured data.
 
-Each run is one lazy plan.  Page work (fingerprint, text, label, contacts) is
-done once per address next to the page; only its small results are joined to
-the jobs that collected the address.
+Page work (fingerprint, text, contacts) is done once per address next to the
+page; only its small results are joined to the jobs that collected the address.
+Tables that several later steps read (collected addresses, page facts,
+verification rows) are written once to the shared folder, so nothing before
+them is planned or computed twice and a lost executor costs a file read.
 """
 
 from __future__ import annotations
@@ -145,7 +147,8 @@ def verify(
         F.coalesce("phones", empty).alias("phones"),
         F.coalesce("socials", F.create_map().cast(SOCIALS)).alias("socials"),
     )
-    return latest_by(rows, ["job_id", "domain"], ["write_order", "requested_host"])
+    last = latest_by(rows, ["job_id", "domain"], ["write_order", "requested_host"])
+    return settle(last, "verifications")
 
 
 def run_campaign(
@@ -154,9 +157,9 @@ def run_campaign(
     scorer: labels.Scorer | None = None,
 ) -> Run:
     """Links and fetch attempts of campaigns to accepted and rejected sites."""
-    collected = first_per_host(clean_urls(links)).withColumn(
+    collected = settle(first_per_host(clean_urls(links)).withColumn(
         "write_order", F.struct("query_idx", "page_no", "rank")
-    )
+    ), "urls")
     ver = acceptance.accept(verify(collected, fetch_log, rendered, scorer), jobs)
     return Run(
         urls=collected, verifications=ver, summary=acceptance.run_summary(collected, ver),
@@ -174,7 +177,7 @@ def run_bulk(
         usable.select("job_id", "host", "list_id", "pos", "url"), ["job_id", "host"],
         ["list_id", "pos", "url"],
     )
-    collected = first.withColumn("write_order", F.struct("list_id", "pos"))
+    collected = settle(first.withColumn("write_order", F.struct("list_id", "pos")), "urls")
     ver = acceptance.accept(verify(collected, fetch_log, rendered, scorer), jobs, policy="resume")
     return Run(urls=collected, verifications=ver,
                summary=acceptance.run_summary(collected, ver))
@@ -190,12 +193,12 @@ def run_resume(
     contacts are looked up again, and every row is decided anew.  ``ver`` has
     ``requested_host``, so a redirected host is not taken for an open one.
     """
-    todo = history.remaining_urls(collected, ver, host="requested_host")
+    todo = settle(history.remaining_urls(collected, ver, host="requested_host"), "todo")
     fresh = verify(todo, fetch_log, rendered, scorer)
     unknown = ~labels.usable_label(F.col("vertical"))
-    again = ver.where(unknown | history.without_contacts()).select(
+    again = settle(ver.where(unknown | history.without_contacts()).select(
         "job_id", "domain", urls.canonical_url(F.col("url")).alias("url")
-    )
+    ), "again")
     wanted = again.select("url").distinct()
     facts = page_facts(resolved_pages(fetch_log), wanted)
     late = None if rendered is None else rendered_facts(rendered)
@@ -207,7 +210,8 @@ def run_resume(
     both = kept.withColumn("_round", F.lit(0)).unionByName(
         fresh.withColumn("_round", F.lit(1)), allowMissingColumns=True
     )
-    current = latest_by(both, ["job_id", "domain"], ["_round", "requested_host"]).drop("_round")
+    current = latest_by(both, ["job_id", "domain"], ["_round", "requested_host"])
+    current = settle(current.drop("_round"), "verifications")
     done = acceptance.accept(current, jobs, policy="resume")
     return Run(urls=collected, verifications=done,
                summary=acceptance.run_summary(collected, done))

@@ -19,10 +19,20 @@ CAPS = {"tech": 400_000, "contacts": 500_000, "rendered": 800_000}
 
 def captured_pages(spark: SparkSession, path: str, use: str = "tech") -> DataFrame:
     """Captured pages with the body cap of their use."""
-    pages = spark.read.parquet(path)
+    pages = spread(spark.read.parquet(path))
     return pages.withColumn("html", F.substring("html", 1, CAPS[use]))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a table that arrives in fewer splits than there are cores.
+
+    Parquet splits at row groups, so a small table may be a single split and its
+    page work a single task.  A table with enough splits is returned unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def serp_links(pages: DataFrame, rendered: bool = False) -> DataFrame:
     """Links of captured result pages in page order, by each engine's layout.
 
@@ -89,12 +99,17 @@ def _comma_list(column: Column) -> Column:
 def decode_verifications(raw: DataFrame) -> DataFrame:
     """Comma lists become arrays, the socials text a map; unreadable text is empty."""
     social_type = "map<string,array<string>>"
-    parsed = F.from_json(F.coalesce("socials", F.lit("{}")), social_type)
-    values = {c: _comma_list(F.col(c)) for c in ("platforms", "emails", "phones")
-              if c in raw.columns}
-    values["socials"] = F.coalesce(parsed, F.create_map().cast(social_type))
-    values["accepted"] = F.coalesce(F.col("accepted").cast("boolean"), F.lit(False))
-    return raw.withColumns(values)
+    empty = F.create_map().cast(social_type)
+    parsed = F.from_json(F.col("socials"), social_type)
+    values = {
+        **{c: _comma_list(F.col(c)) for c in ("platforms", "emails", "phones")},
+        # Most rows have no handles; they skip the JSON parser.
+        "socials": F.when(
+            F.coalesce("socials", F.lit("")).isin("", "{}"), empty
+        ).otherwise(F.coalesce(parsed, empty)),
+        "accepted": F.coalesce(F.col("accepted").cast("boolean"), F.lit(False)),
+    }
+    return raw.withColumns({c: v for c, v in values.items() if c in raw.columns})
 
 
 def decode_jobs(raw: DataFrame, params: str = "params_json") -> DataFrame:

@@ -53,14 +53,24 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*[convert(f) for f in df.schema.fields])
 
 
+# Views whose rows are costly to work on: whole pages, texts and stored JSON.
+COSTLY = {"documents", "fx_pages", "fx_crawl", "fx_rendered", "fx_serp_html", "fx_serp_pages",
+          "fx_fetch_log", "fx_run_log", "fx_history", "fx_responses", "fx_campaigns", "fx_urls",
+          "fx_status_changes"}
+
+
 class Tables:
     """The overlays of one folder, shaped as the operators want them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self._spark, self._dir = spark, sf_dir
+        self._views: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return spark_overlay(self._spark, self._dir, name)
+        if name not in self._views:
+            table = spark_overlay(self._spark, self._dir, name)
+            self._views[name] = tables.spread(table) if name in COSTLY else table
+        return self._views[name]
 
     @property
     def jobs(self) -> DataFrame:
@@ -73,9 +83,18 @@ class Tables:
     def history(self) -> DataFrame:
         return tables.decode_verifications(self.fx_history)
 
+    def verified(self, *columns: str) -> DataFrame:
+        """Current verification rows; only the needed columns are reduced and decoded."""
+        wanted = ["job_id", "domain", "version", "tiebreak", *columns]
+        raw = self.fx_history.select(*wanted)
+        return tables.decode_verifications(
+            fetchlog.latest_by(raw, ["job_id", "domain"], ["version", "tiebreak"])
+        )
+
     @property
     def verifications(self) -> DataFrame:
-        return fetchlog.latest_by(self.history, ["job_id", "domain"], ["version", "tiebreak"])
+        return self.verified("url", "platforms", "vertical", "confidence", "reason", "accepted",
+                             "emails", "phones", "socials")
 
     @property
     def urls(self) -> DataFrame:
@@ -97,7 +116,8 @@ class Tables:
     @property
     def staged(self) -> DataFrame:
         return contacts.staged_contacts(
-            self.sites, settle(contacts.page_contacts(self.crawl), "page-contacts"),
+            settle(self.sites, "sites"),
+            settle(contacts.page_contacts(self.crawl), "page-contacts"),
             settle(contacts.page_contacts(self.fx_rendered.select("url", "html")), "rendered"),
         )
 
@@ -160,7 +180,7 @@ def outreach_export(t):
 @on
 def job_detail(t):
     ids = t.jobs.where("status = 'running'").select("id")
-    return tables.job_detail(t.urls, t.verifications, ids)
+    return tables.job_detail(t.urls, t.verified(), ids)
 
 
 # --- query expansion ----------------------------------------------------------
@@ -426,7 +446,7 @@ def unknown_sweep(t):
         F.when(F.col("seq") % 2 == 0, "Retail").otherwise("Unknown").alias("vertical"),
         F.lit(0.5).alias("confidence"), F.lit("second look").alias("reason"),
     )
-    return labels.sweep_unknown(t.verifications, verdicts).select(
+    return labels.sweep_unknown(t.verified("vertical", "confidence", "reason"), verdicts).select(
         "job_id", "domain", "vertical", "confidence", "reason"
     )
 
@@ -435,24 +455,24 @@ def unknown_sweep(t):
 
 @on
 def accept(t):
-    return acceptance.accept(t.verifications, t.jobs).select("job_id", "domain", "accepted")
+    return acceptance.accept(t.verified("platforms", "vertical"), t.jobs).select("job_id", "domain", "accepted")
 
 
 @on
 def accept_resume(t):
-    return acceptance.accept(t.verifications, t.jobs, "resume").select(
+    return acceptance.accept(t.verified("platforms", "vertical"), t.jobs, "resume").select(
         "job_id", "domain", "accepted"
     )
 
 
 @on
 def niche_fallback(t):
-    return acceptance.niche_policy(t.verifications, t.jobs)
+    return acceptance.niche_policy(t.verified("vertical"), t.jobs)
 
 
 @on
 def run_summary(t):
-    return acceptance.run_summary(t.urls, t.verifications)
+    return acceptance.run_summary(t.urls, t.verified("vertical", "accepted"))
 
 
 # --- job history --------------------------------------------------------------
@@ -487,14 +507,14 @@ def recover_orphans(t):
 
 @on
 def list_jobs(t):
-    return history.list_jobs(t.jobs, t.urls, t.verifications).select(
+    return history.list_jobs(t.jobs, t.urls, t.verified("vertical", "accepted")).select(
         "id", "status", "created_at", "collected", "verified", "matched", "unknown_niche"
     )
 
 
 @on
 def list_jobs_all(t):
-    return history.list_jobs(t.jobs, t.urls, t.verifications, limit=None).select(
+    return history.list_jobs(t.jobs, t.urls, t.verified("vertical", "accepted"), limit=None).select(
         "id", "status", "created_at", "collected", "verified", "matched", "unknown_niche"
     )
 
@@ -516,12 +536,12 @@ def run_diff(t):
 
 @on
 def remaining_urls(t):
-    return history.remaining_urls(t.urls, t.verifications)
+    return history.remaining_urls(t.urls, t.verified())
 
 
 @on
 def backfill_set(t):
-    return history.backfill_set(t.verifications).select("job_id", "domain", "version")
+    return history.backfill_set(t.verified("emails", "phones", "socials")).select("job_id", "domain", "version")
 
 
 @on
@@ -539,7 +559,7 @@ def patch_rows(t):
 @on
 def delete_jobs(t):
     ids = t.jobs.where("status = 'stopped'").select("id")
-    jobs, urls_left, ver = history.delete_jobs(t.jobs, t.urls, t.verifications, ids)
+    jobs, urls_left, ver = history.delete_jobs(t.jobs, t.urls, t.verified(), ids)
     parts = [jobs.select(F.lit("jobs").alias("kind"), "id", F.lit("").alias("name")),
              urls_left.select(F.lit("urls").alias("kind"), "job_id", "host"),
              ver.select(F.lit("verifications").alias("kind"), "job_id", "domain")]
