@@ -6,6 +6,8 @@ crosses the network; every later step moves only small value rows.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +29,8 @@ _LOCAL = r"A-Za-z0-9._%+\-"
 # last match ended).  Later starts in a run fail like the first, so skipping
 # them changes no result and keeps long runs (path data, hex) linear.
 _PLAIN = (
-    rf"(?:(?<![{_LOCAL}])|\G)[.%+\-]*+"
-    rf"\b([{_LOCAL}]++@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}\b)"
+    rf"(?:(?<![{_LOCAL}])[.%+\-]*+\b|\G\b)"
+    rf"([{_LOCAL}]++@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}\b)"
 )
 _MAILTO = r"""(?i)mailto:([^"'\s>?]+)"""
 _SPELLED = (
@@ -309,18 +311,23 @@ def page_contacts(pages: DataFrame, html: str = "html", landed: str = "url") ->
     one expression over an array, which keeps the plan a third of the size.
     """
     keep = [c for c in pages.columns if c != html]
+    staged = once(pages, _page_columns(html, landed), drop=(html,))
+    return staged.select(
+        *keep, F.col("_found")[0].alias("payload"), F.col("_found")[1].alias("footer"),
+        F.col("_found")[2].alias("whole"), "links", "spa",
+    )
+
+
+@lru_cache(maxsize=8)
+def _page_columns(html: str, landed: str) -> dict[str, Column]:
     page = F.col(html)
     places = F.array(
         F.array_join(payloads(page), "\n\x01.\x01\n"), markup.strict_footer(page), page
     )
-    staged = once(pages, {
+    return {
         "_found": F.transform(places, contacts_in),
         "links": link_targets(F.col(landed), page), "spa": tech.looks_like_spa(page),
-    }, drop=(html,))
-    return staged.select(
-        *keep, F.col("_found")[0].alias("payload"), F.col("_found")[1].alias("footer"),
-        F.col("_found")[2].alias("whole"), "links", "spa",
-    )
+    }
 
 
 def staged_contacts(
