@@ -10,7 +10,6 @@ from hostweave.functions.stages import constant, let
 
 # Marks the place of removed markup until text nodes are joined.
 _CUT = "\x01"
-_BLANK = r"\s\u00a0"
 _TRIM = " \t\n\r\f\x0b\u00a0"
 
 TEXT_SKIPS = ("script", "style", "noscript", "svg", "iframe")
@@ -18,38 +17,36 @@ PHONE_SKIPS = ("script", "style", "noscript")
 
 
 def decode_entities(text: Column) -> Column:
-    """Decode numeric and common named character references."""
-    named = constant(
-        [{"ref": f"&{name};", "char": char} for name, char in fixed.ENTITIES.items()],
-        "array<struct<ref:string,char:string>>",
-    )
-
-    def decode_named(t: Column) -> Column:
-        return F.when(t.contains("&"), F.aggregate(
-            named, t, lambda out, e: F.replace(out, e["ref"], e["char"])
-        )).otherwise(t)
-
-    def decode(t: Column) -> Column:
-        return F.when(t.contains("&#"), _decode_numeric(t)).otherwise(t)
+    """Decode numeric and common named character references in one pass.
 
-    return let(let(text, decode), decode_named)
-
-
-def _decode_numeric(text: Column) -> Column:
-    def one(part: Column) -> Column:
-        dec = F.regexp_extract(part, r"^([0-9]{1,6});", 1)
-        hexa = F.regexp_extract(part, r"^[xX]([0-9a-fA-F]{1,5});", 1)
-        code = F.when(dec != "", F.hex(dec.cast("bigint"))).otherwise(hexa)
-        rest = F.regexp_replace(part, r"^[xX]?[0-9a-fA-F]{1,6};", "")
-        return let(code, lambda c: F.when(
-            c != "", F.concat(F.decode(F.unhex(F.lpad(c, 8, "0")), "UTF-32"), rest)
-        ).otherwise(F.concat(F.lit("&#"), part)))
+    The text is cut at ``&`` and only the start of each piece is looked at, so
+    the cost does not grow with the number of known names.
+    """
+    known = constant(fixed.ENTITIES, "map<string,string>")
+    reference = r"^(#[0-9]{1,6}|#[xX][0-9a-fA-F]{1,5}|[a-z]{2,6});"
+
+    def character(ref: Column) -> Column:
+        code = F.when(
+            ref.rlike("^#[xX]"), F.substring(ref, 3, 5)
+        ).otherwise(F.hex(F.substring(ref, 2, 6).try_cast("bigint")))
+        return F.when(
+            ref.startswith("#"), F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+        ).otherwise(F.try_element_at(known, ref))
+
+    def piece(part: Column) -> Column:
+        return let(F.regexp_extract(part, reference, 1), lambda ref: let(
+            character(ref), lambda char: F.when(
+                (ref == "") | char.isNull(), F.concat(F.lit("&"), part)
+            ).otherwise(F.concat(char, F.substring(part, F.length(ref) + 2, F.length(part))))
+        ))
 
     def joined(parts: Column) -> Column:
-        tail = F.transform(F.slice(parts, 2, F.size(parts)), one)
-        return F.concat(F.element_at(parts, 1), F.array_join(tail, ""))
+        rest = F.transform(F.slice(parts, 2, F.size(parts)), piece)
+        return F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
 
-    return let(F.split(text, "&#"), joined)
+    return let(text, lambda t: F.when(
+        t.contains("&"), let(F.split(t, "&"), joined)
+    ).otherwise(t))
 
 
 def visible_text(html: Column, skip: tuple[str, ...] = TEXT_SKIPS) -> Column:
@@ -62,13 +59,10 @@ def visible_text(html: Column, skip: tuple[str, ...] = TEXT_SKIPS) -> Column:
     hidden = rf"(?is)<!--.*?(?:-->|\z)|<({names})\b.*?(?:</\1\s*>|\z)"
     cut = F.regexp_replace(html, hidden, _CUT)
     cut = F.regexp_replace(cut, r"<[A-Za-z/!?][^>]*>", _CUT)
-    # The look-behind starts a match only where a run of blanks starts, which
-    # keeps long runs linear.
-    joined = F.regexp_replace(
-        decode_entities(cut),
-        rf"(?<![{_BLANK}])[{_BLANK}]*\x01[{_BLANK}\x01]*", " ",
+    nodes = F.transform(
+        F.split(decode_entities(cut), _CUT), lambda n: F.btrim(n, F.lit(_TRIM))
     )
-    return F.btrim(joined, F.lit(_TRIM))
+    return F.array_join(F.filter(nodes, lambda n: n != ""), " ")
 
 
 def title_of(html: Column) -> Column:

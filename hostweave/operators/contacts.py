@@ -75,6 +75,13 @@ def decode_protected(code: Column) -> Column:
 
 
 def emails_in(html: Column) -> Column:
+    """Addresses in plain, ``mailto:``, spelled-out and XOR-hex form.
+
+    Each form is searched only on pages that carry its telltale mark.
+    """
+    def where(mark: Column, found: Column) -> Column:
+        return F.when(mark, found).otherwise(F.array().cast("array<string>"))
+
     plain = F.transform(
         F.filter(_all(html, _PLAIN, 1), usable_email),
         lambda e: F.btrim(e, F.lit(".,;:()[]{}")),
@@ -91,7 +98,11 @@ def emails_in(html: Column) -> Column:
         F.transform(_all(html, 'data-cfemail="([0-9a-fA-F]+)"', 1), decode_protected),
         usable_email,
     )
-    found = F.array_distinct(F.concat(plain, mailto, spelled, hidden))
+    found = F.array_distinct(F.concat(
+        where(html.contains("@"), plain), mailto,
+        where(html.rlike(r"(?i)[\[(]\s*at\s*[\])]"), spelled),
+        where(html.contains("data-cfemail"), hidden),
+    ))
     return F.filter(found, lambda e: e != "")
 
 

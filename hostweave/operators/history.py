@@ -15,6 +15,7 @@ from hostweave.operators.fetchlog import latest_by, usable_label
 
 SIMILAR_KEYS = ("keywords", "custom_niche", "city", "state", "country", "area")
 FINISHED = ("done", "stopped")
+BROADCAST_IDS = 10_000
 
 
 def append_urls(
@@ -76,14 +77,16 @@ def list_jobs(
 ) -> DataFrame:
     """Jobs, newest first, with their collected/verified/matched/unknown counts.
 
-    With a limit the newest jobs are picked first; at most ``limit`` ids are
-    then broadcast, so the fact tables are filtered before they are counted.
+    With a limit the newest jobs are picked first, and the fact tables are
+    filtered to them before they are counted.  The ids are broadcast only while
+    the limit itself bounds them to ``BROADCAST_IDS`` rows.
     """
     if limit is None:
         page, urls_in, ver_in = jobs, urls, ver
     else:
         page = jobs.orderBy(F.desc("created_at"), "id").limit(limit)
-        ids = F.broadcast(page.select(F.col("id").alias("job_id")))
+        ids = page.select(F.col("id").alias("job_id"))
+        ids = F.broadcast(ids) if limit <= BROADCAST_IDS else ids
         urls_in = urls.join(ids, "job_id", "left_semi")
         ver_in = ver.join(ids, "job_id", "left_semi")
     collected = urls_in.groupBy("job_id").agg(F.count("*").alias("collected"))
