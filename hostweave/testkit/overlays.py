@@ -84,10 +84,10 @@ select page_id, case page_id % 3 when 0 then 'google' when 1 then 'bing' else 'd
 from @pages
 """,
     "fx_fetch_log": """
-select p.page_id, p.url, a.attempt, case when (p.page_id * 7 + a.attempt * 3) % 4 < 2 then 403 else 200 end as status,
+select p.page_id, p.url, attempt, case when (p.page_id * 7 + attempt * 3) % 4 < 2 then 403 else 200 end as status,
   case when p.page_id % 10 = 7 then 'https://www.landing.example.com/' else p.url end as final_url,
-  case when (p.page_id + a.attempt) % 6 = 0 then '' when (p.page_id + a.attempt) % 5 = 0 then '<p>short</p>' else p.html end as body
-from @pages p cross join (select 1 as attempt union all select 2 union all select 3) a
+  case when (p.page_id + attempt) % 6 = 0 then '' when (p.page_id + attempt) % 5 = 0 then '<p>short</p>' else p.html end as body
+from (select *, 1 as attempt from @pages union all select *, 2 from @pages union all select *, 3 from @pages) p
 """,
     # Links and fetch attempts of whole runs over the crawled sites.
     "fx_run_links": """
@@ -96,10 +96,10 @@ select concat('job_', cast(site_no % 50 as string)) as job_id, page_id % 3 as qu
 from @fx_crawl
 """,
     "fx_run_log": """
-select c.url, a.attempt, case when (c.page_id * 7 + a.attempt * 3) % 4 < 2 then 403 else 200 end as status,
+select c.url, attempt, case when (c.page_id * 7 + attempt * 3) % 4 < 2 then 403 else 200 end as status,
   case when c.page_id % 10 = 7 then concat('https://landing', cast(c.page_id % 4 as string), '.shop/') else c.url end as final_url,
-  c.headers_text, case when (c.page_id + a.attempt) % 6 = 0 then '' else c.html end as body
-from @fx_crawl c cross join (select 1 as attempt union all select 2 union all select 3) a
+  c.headers_text, case when (c.page_id + attempt) % 6 = 0 then '' else c.html end as body
+from (select *, 1 as attempt from @fx_crawl union all select *, 2 from @fx_crawl union all select *, 3 from @fx_crawl) c
 """,
     "fx_jobs": """
 select concat('job_', cast(o_orderkey as string)) as id, o_orderdate as created_at,
@@ -149,8 +149,8 @@ select conv_id, turn, case (conv_id + turn) % 9
 from @conversations where role = 'assistant'
 """,
     "fx_verdicts": """
-select d.doc_id, a.n, case when (d.doc_id + a.n) % 3 = 0 then 'Jewelry' else 'Unknown' end as vertical, case when (d.doc_id * 5 + a.n) % 4 = 0 then 'model rejection' else concat('API error: 429 #', cast(a.n as string)) end as reason
-from @documents d cross join (select 1 as n union all select 2 union all select 3) a
+select d.doc_id, n, case when (d.doc_id + n) % 3 = 0 then 'Jewelry' else 'Unknown' end as vertical, case when (d.doc_id * 5 + n) % 4 = 0 then 'model rejection' else concat('API error: 429 #', cast(n as string)) end as reason
+from (select doc_id, 1 as n from @documents union all select doc_id, 2 from @documents union all select doc_id, 3 from @documents) d
 """,
     "fx_campaigns": """
 select c_custkey as campaign_id,
