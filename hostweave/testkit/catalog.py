@@ -588,7 +588,8 @@ def _live_rows(rows: DataFrame) -> DataFrame:
     return rows.where("l_quantity > 10").selectExpr(
         "concat('job_', l_orderkey) as job_id",
         "concat('s', l_suppkey % 20, '.example') as domain",
-        "l_linenumber as version", "l_partkey as tiebreak",
+        "l_linenumber as version",
+        "l_partkey * 100000000 + l_suppkey * 10000 + cast(l_quantity * 100 as bigint) as tiebreak",
         "case l_returnflag when 'N' then 'Unknown' when 'A' then 'Jewelry' else 'Fashion' end as vertical",
         "l_linestatus = 'F' as accepted",
     )

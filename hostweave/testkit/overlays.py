@@ -123,7 +123,7 @@ select concat('job_', cast(l_orderkey as string)) as job_id, concat('s', cast(l_
     # Stored verification rows in their text form.
     "fx_history": """
 select concat('job_', cast(l_orderkey as string)) as job_id, concat('s', cast(l_suppkey % 20 as string), '.example') as domain,
-  concat('https://s', cast(l_suppkey % 20 as string), '.example/') as url, l_linenumber as version, l_partkey as tiebreak,
+  concat('https://s', cast(l_suppkey % 20 as string), '.example/') as url, l_linenumber as version, l_partkey * 100000000 + l_suppkey * 10000 + cast(l_quantity * 100 as bigint) as tiebreak,
   case l_partkey % 4 when 0 then 'Shopify' when 1 then 'WooCommerce,WordPress' when 2 then 'React' else '' end as platforms,
   case l_returnflag when 'N' then case when l_linestatus = 'F' then 'Unknown' else '' end when 'A' then 'Jewelry' else ' Fashion' end as vertical,
   l_discount as confidence, case when l_partkey % 9 = 0 then null else concat('because, "', l_returnflag, '" ', repeat('long ', cast(l_quantity as int) * 2)) end as reason,
