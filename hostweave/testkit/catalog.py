@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hostweave.functions import fixed, markup, urls
 from hostweave.operators import (
     acceptance, collect, contacts, expand, fetchlog, history, labels, tech, text,
 )
@@ -20,7 +19,7 @@ from hostweave.plans import runs
 from hostweave.session import settle, work_dir
 from hostweave.sources import exports, tables
 from hostweave.streaming import live
-from hostweave.testkit.overlays import OVERLAYS, spark_overlay
+from hostweave.testkit.overlays import spark_overlay
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
