@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kneser, near, rules, suffix
+from . import kneser, mix, near, pack, rules, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.pack(_table(spark, sf_dir, "documents"))
+
+
+def op8_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_report(_table(spark, sf_dir, "documents"))
 
@@ -31,6 +39,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_entropy_balancing": op8_entropy_balancing,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
 }

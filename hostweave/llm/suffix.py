@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import (
     Batches, bounded_batches, column_bytes, settle, signed, splitmix, texts, windows, words,
@@ -29,8 +30,8 @@ LEAST = 50
 SEED = 5
 
 STARTS = "doc_id long, key long, pos int"
-SUFFIXES = "key long, doc_id long, pos int, ahead binary, behind binary"
-SPANS = "doc_id long, first int, last int, other long"
+SUFFIXES = "key long, doc_id long, pos int, body long, ahead binary, behind binary"
+SPANS = "doc_id long, body long, first int, last int, other long"
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -112,20 +113,23 @@ def _suffixes(least: int):
             codes = _short(hashes)
             back = np.ascontiguousarray(codes[::-1])
             total = len(hashes)
-            ids = batch["doc_id"].to_pylist()
-            doc, key, pos, ahead, behind = [], [], [], [], []
+            ids, bodies = batch["doc_id"].to_pylist(), batch["body"].to_pylist()
+            doc, key, pos, body, ahead, behind = [], [], [], [], [], []
             for i, places in enumerate(batch["places"].to_pylist()):
                 a, b = int(first[i]), int(first[i + 1])
                 for p in places:
                     at = a + p
+                    if at + half > b:
+                        continue  # a place of another text with the same id
                     doc.append(ids[i])
+                    body.append(bodies[i])
                     pos.append(p)
                     key.append(at)
                     ahead.append(codes[at + half:min(b, at + least)].tobytes())
                     behind.append(back[total - at:total - max(a, at - half)].tobytes())
             yield pa.record_batch({
                 "key": pa.array(signed(blocks[np.array(key, np.int64)])), "doc_id": pa.array(doc, pa.int64()),
-                "pos": pa.array(pos, pa.int32()), "ahead": pa.array(ahead, pa.binary()),
+                "pos": pa.array(pos, pa.int32()), "body": pa.array(body, pa.int64()), "ahead": pa.array(ahead, pa.binary()),
                 "behind": pa.array(behind, pa.binary()),
             })
     return run
@@ -152,21 +156,23 @@ def _extend(least: int):
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            doc, first, last, other = [], [], [], []
+            doc, body, first, last, other = [], [], [], [], []
             rows = zip(*(batch[c].to_pylist() for c in (
-                "doc_id", "pos", "ahead", "behind", "doc_id2", "pos2", "ahead2", "behind2")), strict=True)
-            for d, p, f, b, d2, p2, f2, b2 in rows:
+                "doc_id", "pos", "body", "ahead", "behind",
+                "doc_id2", "pos2", "body2", "ahead2", "behind2")), strict=True)
+            for d, p, t, f, b, d2, p2, t2, f2, b2 in rows:
                 ahead, back = half + _same(f, f2), _same(b, b2)
                 if ahead + back < least:
                     continue
-                if (d, p) < (d2, p2):
-                    d, p, d2 = d2, p2, d
+                if (d, p, t) < (d2, p2, t2):
+                    d, p, t, d2 = d2, p2, t2, d
                 doc.append(d)
+                body.append(t)
                 first.append(p - back)
                 last.append(p + ahead)
                 other.append(d2)
             yield pa.record_batch({
-                "doc_id": pa.array(doc, pa.int64()), "first": pa.array(first, pa.int32()),
+                "doc_id": pa.array(doc, pa.int64()), "body": pa.array(body, pa.int64()), "first": pa.array(first, pa.int32()),
                 "last": pa.array(last, pa.int32()), "other": pa.array(other, pa.int64()),
             })
     return run
@@ -178,7 +184,7 @@ def _beside(batches: Batches) -> Batches:
     The first and the last row also leave the partition (``edge``), because their
     other neighbour lies in another one.
     """
-    names = ["key", "doc_id", "pos", "ahead", "behind"]
+    names = ["key", "doc_id", "pos", "body", "ahead", "behind"]
     before, part = None, None
     for batch in batches:
         if not batch.num_rows:
@@ -207,13 +213,13 @@ def _beside(batches: Batches) -> Batches:
 
 
 def _edge(row: pa.Table, part: int, edge: int) -> list[pa.RecordBatch]:
-    for name in ("doc_id", "pos", "ahead", "behind"):
+    for name in ("doc_id", "pos", "body", "ahead", "behind"):
         row = row.append_column(name + "2", pa.nulls(1, row.schema.field(name).type))
     row = row.append_column("part", pa.array([part], pa.int32()))
     return row.append_column("edge", pa.array([edge], pa.int32())).combine_chunks().to_batches()
 
 
-PAIRED = SUFFIXES + ", doc_id2 long, pos2 int, ahead2 binary, behind2 binary, part int, edge int"
+PAIRED = SUFFIXES + ", doc_id2 long, pos2 int, body2 long, ahead2 binary, behind2 binary, part int, edge int"
 
 
 def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
@@ -221,36 +227,37 @@ def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
 
     ``other`` is the document with the earlier copy.  A repeat inside one document
     counts too.  Spans of one document may overlap; ``marked`` unites them.  Null
-    and short texts have none.  Rows with a null or repeated ``doc_id`` are told
-    apart by nothing, so give ids first; a null id is skipped.
+    and short texts have none.  A null ``doc_id`` is skipped.  Rows that repeat an id
+    are told apart by ``body``, the hash of the text; rows equal in both are one.
     """
     if least < 4 * seed:
         raise ValueError("least must be at least four seeds long")
     source = texts(docs.where("doc_id is not null"), "doc_id")
     starts = settle(source.mapInArrow(_starts(least, seed), STARTS), "starts")
     shared = settle(starts.groupBy("key").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("lead")).where("n > 1"), "shared")
-    places = starts.join(shared.select("key"), "key", "left_semi") \
+        F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    places = starts.join(shared, "key", "left_semi") \
         .groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
-    suffixes = settle(source.join(places, "doc_id").mapInArrow(_suffixes(least), SUFFIXES), "suffixes")
+    bodies = source.withColumn("body", F.xxhash64("text"))
+    suffixes = settle(bodies.join(places, "doc_id").mapInArrow(_suffixes(least), SUFFIXES), "suffixes")
 
     # Suffixes equal in all words around them need one comparison with their first.
     word = F.xxhash64("key", "ahead", "behind")
     alike = suffixes.groupBy("key", "ahead", "behind").agg(
-        F.min(F.struct("doc_id", "pos")).alias("lead"))
-    alike = settle(alike.select("key", "lead.doc_id", "lead.pos", "ahead", "behind"), "alike")
-    same = suffixes.select("doc_id", "pos", word.alias("w"), F.length("ahead").alias("a"), F.length("behind").alias("b"))
-    firsts = settle(alike.select(word.alias("w"), F.col("doc_id").alias("d2"), F.col("pos").alias("p2")), "firsts")
+        F.min(F.struct("doc_id", "pos", "body")).alias("lead"))
+    alike = settle(alike.select("key", "lead.*", "ahead", "behind"), "alike")
+    same = suffixes.select("doc_id", "pos", "body", word.alias("w"), F.length("ahead").alias("a"), F.length("behind").alias("b"))
+    firsts = settle(alike.select(word.alias("w"), F.col("doc_id").alias("d2"), F.col("pos").alias("p2"),
+                                 F.col("body").alias("t2")), "firsts")
     copies = same.where((F.col("a") + F.col("b")) / 3 + least // 2 >= least).join(firsts, "w") \
-        .where("doc_id > d2 or (doc_id = d2 and pos > p2)") \
-        .select("doc_id", (F.col("pos") - F.col("b") / 3).cast("int").alias("first"),
+        .where("struct(doc_id, pos, body) > struct(d2, p2, t2)") \
+        .select("doc_id", "body", (F.col("pos") - F.col("b") / 3).cast("int").alias("first"),
                 (F.col("pos") + least // 2 + F.col("a") / 3).cast("int").alias("last"),
                 F.col("d2").alias("other"))
 
-    leads = alike.join(shared.select("key", "lead"), "key")
-    lead = leads.where("doc_id = lead.doc_id and pos = lead.pos").select(
-        "key", *(F.col(c).alias(c + "2") for c in ("doc_id", "pos", "ahead", "behind")))
-    by_lead = alike.join(settle(lead, "lead"), "key").where("doc_id <> doc_id2 or pos <> pos2")
+    lead = alike.groupBy("key").agg(F.min(F.struct("doc_id", "pos", "body", "ahead", "behind")).alias("lead")) \
+        .select("key", *(F.col(f"lead.{c}").alias(c + "2") for c in ("doc_id", "pos", "body", "ahead", "behind")))
+    by_lead = alike.join(settle(lead, "lead"), "key").where("doc_id <> doc_id2 or pos <> pos2 or body <> body2")
 
     ordered = alike.repartitionByRange("key", "ahead", "behind", "doc_id", "pos") \
         .sortWithinPartitions("key", "ahead", "behind", "doc_id", "pos")
@@ -258,21 +265,21 @@ def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
     edges = beside.where("edge > 0").withColumn("place", F.dense_rank().over(Window.orderBy("part")))
     ends = edges.where("edge = 2").select(
         (F.col("place") + 1).alias("place"), F.col("key").alias("key2"),
-        *(F.col(c).alias(c + "_") for c in ("doc_id", "pos", "ahead", "behind")))
+        *(F.col(c).alias(c + "_") for c in ("doc_id", "pos", "body", "ahead", "behind")))
     across = edges.where("edge = 1").join(ends, "place").where("key = key2").select(
-        "doc_id", "pos", "ahead", "behind",
-        *(F.col(c + "_").alias(c + "2") for c in ("doc_id", "pos", "ahead", "behind")))
+        "doc_id", "pos", "body", "ahead", "behind",
+        *(F.col(c + "_").alias(c + "2") for c in ("doc_id", "pos", "body", "ahead", "behind")))
     cols = across.columns
     compared = by_lead.select(*cols).union(beside.where("edge = 0").select(*cols)).union(across)
     return copies.union(bounded_batches(compared).mapInArrow(_extend(least), SPANS))
 
 
 def marked(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
-    """One row per document with marked words: ``doc_id``, its disjoint ``spans``
+    """One row per text with marked words: ``doc_id``, ``body``, its disjoint ``spans``
     (``first``, ``last`` exclusive, in words) and ``others``, the documents that
     hold the earlier copies it was compared with."""
-    spans = repeats(docs, least, seed).groupBy("doc_id", "first", "last") \
-        .agg(F.min("other").alias("other")).groupBy("doc_id").agg(
+    spans = repeats(docs, least, seed).groupBy("doc_id", "body", "first", "last") \
+        .agg(F.min("other").alias("other")).groupBy("doc_id", "body").agg(
         F.sort_array(F.collect_list(F.struct("first", "last"))).alias("s"),
         F.sort_array(F.collect_set("other")).alias("others"))
     united = F.aggregate(
@@ -285,7 +292,7 @@ def marked(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
                     F.element_at(out, -1)["first"].alias("first"),
                     F.greatest(F.element_at(out, -1)["last"], x["last"]).alias("last")))),
         ).otherwise(F.concat(out, F.array(x))))
-    return spans.select("doc_id", united.alias("spans"), "others")
+    return spans.select("doc_id", "body", united.alias("spans"), "others")
 
 
 def _cut(batches: Batches) -> Batches:
@@ -308,22 +315,33 @@ def _cut(batches: Batches) -> Batches:
                 at = int(begin[a + s["last"]]) - base if a + s["last"] < b else int(end[b - 1]) - base
             out.append(raw[i][at:])
             kept.append(b"".join(out).strip())
-        yield pa.record_batch({
-            "doc_id": batch["doc_id"], "n_words": pa.array(n, pa.int64()),
-            "removed_words": pa.array(gone, pa.int64()), "text": pa.array(kept, pa.binary()).cast(pa.string()),
-            "spans": batch["spans"], "others": batch["others"],
-        })
+        table = pa.Table.from_batches([batch]).drop_columns(["text"])
+        table = table.append_column("text", pa.array(kept, pa.binary()).cast(pa.string()))
+        table = table.append_column("n_words", pa.array(n, pa.int64()))
+        table = table.append_column("removed_words", pa.array(gone, pa.int64()))
+        yield from table.combine_chunks().to_batches()
+
+
+def remove_marked(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` without the words that ``found`` (of ``marked``) marks.
+
+    Adds ``n_words``, ``removed_words``, ``spans`` and ``others``; a column of
+    ``docs`` with such a name gives way.  A text without marks stays as it is (null:
+    null); one that repeats earlier copies throughout becomes empty.
+    """
+    added = ("n_words", "removed_words", "spans", "others", "text")
+    names = [c for c in docs.columns if c.lower() not in added]
+    marks = found.select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"), "spans", "others")
+    joined = docs.select(*names, F.col("text").cast("binary").alias("text")).join(
+        marks, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__body")), "left").select(
+        *(F.col(f"`{c}`") for c in names),
+        F.coalesce("spans", F.expr("cast(array() as array<struct<first:int,last:int>>)")).alias("spans"),
+        F.coalesce("others", F.expr("cast(array() as array<bigint>)")).alias("others"), "text")
+    schema = T.StructType([f for f in joined.schema.fields if f.name != "text"])
+    schema = schema.add("text", "string").add("n_words", "long").add("removed_words", "long")
+    return bounded_batches(joined).mapInArrow(_cut, schema)
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
-    """Every row of ``docs``: ``doc_id, n_words, removed_words, text`` without the
-    marked words, ``spans`` and ``others``.  A text without repeats is unchanged
-    (null: empty); one that repeats earlier copies throughout becomes empty."""
-    found = marked(docs, least, seed)
-    none = "cast(array() as array<struct<first:int,last:int>>)"
-    out = texts(docs, "doc_id").join(found, "doc_id", "left").select(
-        "doc_id", "text", F.coalesce("spans", F.expr(none)).alias("spans"),
-        F.coalesce("others", F.expr("cast(array() as array<bigint>)")).alias("others"))
-    return out.mapInArrow(
-        _cut, "doc_id long, n_words long, removed_words long, text string, "
-              "spans array<struct<first:int,last:int>>, others array<long>")
+    """``docs`` without their repeats; see ``marked`` and ``remove_marked``."""
+    return remove_marked(docs, settle(marked(docs, least, seed), "marked"))
