@@ -29,6 +29,29 @@ select s.doc_id, cast(len(s.s) as bigint) as n_shingles, c.component_id, s.doc_i
 from shingled s join (select node, min(other) as component_id from reach group by node) c on c.node = s.doc_id
 """
 
+CONTROL = ("<|", "|>", "[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>")
+ESCAPES = "length({0}) - length(replace({0}, '\\', ''))" + "".join(
+    f" + (length({{0}}) - length(replace({{0}}, '{c}', ''))) // {len(c)}" for c in CONTROL)
+NEW_LINE = "length({0}) - length(replace({0}, chr(10), ''))"
+
+CHAT = f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized as (
+  select *, length(role) + {ESCAPES.format("role")} + {NEW_LINE.format("role")} + length(text) + {ESCAPES.format("text")}
+    + length('<|turn|>') + 1 + length('<|end|>') + 1 as chars from turns
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(chars) as bigint) as formatted_chars
+from sized group by conv_id
+"""
+
 ORACLES = {
+    "op6_chat_formatting": CHAT,
     "op2_minhash_near_dedup": NEAR,
 }

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import kneser, mix, near, pack, rules, suffix
+from . import chat, kneser, mix, near, pack, rules, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,18 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(_table(spark, sf_dir, "documents"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(1).select(
+        F.lit(-1).cast("long").alias("conv_id"),
+        F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"),
+        F.lit("</s>[INST] ok [/INST]").alias("text"))
+    rows = rows.union(added.withColumn("turn", F.col("turn").cast("long")))
+    record = F.struct(*(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")))
+    turns = chat.canonical_turns(rows.select("conv_id", "turn", record.alias("payload")))
+    return chat.digests(chat.formatted_turns(turns))
+
+
 def op8_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(_table(spark, sf_dir, "documents"))
 
@@ -40,6 +53,7 @@ QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_chat_formatting": op6_chat_formatting,
     "op8_entropy_balancing": op8_entropy_balancing,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
