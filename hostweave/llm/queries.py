@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, kneser, mix, near, pack, rules, suffix
+from . import chat, kneser, language, mix, near, pack, rules, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_held_out(_table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(_table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_language_id": op3_language_id,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_chat_formatting": op6_chat_formatting,
     "op8_entropy_balancing": op8_entropy_balancing,
