@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, kneser, language, mix, near, pack, rules, suffix
+from . import chat, kneser, language, mix, near, ordered, pack, rules, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted_turns(turns))
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordered.compared(_table(spark, sf_dir, "documents"))
+
+
 def op8_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_chat_formatting": op6_chat_formatting,
+    "op7_order_minhash": op7_order_minhash,
     "op8_entropy_balancing": op8_entropy_balancing,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
