@@ -22,8 +22,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, and all texts without words."""
-    kept = near.near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
-    return docs.join(settle(kept, "kept"), docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    kept = near.near_duplicates(docs.select("doc_id", "text")).where("kept") \
+        .select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = settle(kept, "kept")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

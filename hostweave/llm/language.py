@@ -39,7 +39,8 @@ class Automaton:
     """Suffix automaton of one string over small integers, as a transition table.
 
     ``table[state * width + symbol]`` is the next state; the top bit says that the
-    phrase ended before the symbol and a new one starts with it.
+    phrase ended before the symbol and a new one starts with it.  The last state is
+    that of a symbol the string does not hold, which is a phrase of its own.
     """
 
     def __init__(self, symbols: list[int], width: int):
@@ -68,12 +69,13 @@ class Automaton:
                         at = link[at]
                     link[to] = link[new] = copy
             last = new
-        table = np.zeros((len(step), width), np.uint32)
+        table = np.zeros((len(step) + 1, width), np.uint32)
         for state, out in enumerate(step):
             for s, to in out.items():
                 table[state, s] = to
-        ended = table == 0
-        table = np.where(ended, table[0][None, :] | np.uint32(1 << 31), table)
+        begin = np.where(table[0] == 0, np.uint32(len(step)), table[0])
+        table = np.where(table == 0, begin[None, :] | np.uint32(1 << 31), table)
+        table[0] = begin
         self.table = np.ascontiguousarray(table.reshape(-1))
         self.size = len(symbols)
 

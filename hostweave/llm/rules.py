@@ -174,6 +174,6 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the same columns."""
-    measured = with_metrics(docs)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), docs["text"])
     model = fit(settle(with_metrics(docs.select("text")).select("quality"), "metrics"))
-    return judge(measured, model).where("kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return judge(with_metrics(rows), model).where("kept").select("doc.*")
