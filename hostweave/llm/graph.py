@@ -36,10 +36,10 @@ def _forest(batches: Batches) -> Batches:
 
 
 def _rewire(links: DataFrame) -> DataFrame:
-    """Point the two ends of every link at the smallest node next to each end."""
+    """Point each node and all nodes next to it at the smallest of them."""
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m"))
-    out = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = both.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     kept = least.where("m < u").select("u", F.col("m").alias("v"))
     return out.union(kept).where("u <> v").distinct()
 
