@@ -7,17 +7,17 @@ by ranks up to j, so a document stops as soon as all places are filled, after
 about ``m ln m`` offers instead of ``m`` per shingle.
 
 Sets that are equal become one class before anything is compared.  Classes that
-share a band meet in a bucket.  Inside a bucket no pairs are enumerated at first:
-members are checked against one hub, components are formed, and only members
-still in different components are compared with each other.  Links are confirmed
-on the full sets, so no unconfirmed pair joins a group.
+share a band meet in a bucket.  Inside a bucket no pairs are enumerated: members are
+checked against one hub, then a second, and components are formed.  Members of
+buckets that still hold several components are joined on their rarest shingles.
+Links are confirmed on the full sets, so no unconfirmed pair joins a group.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Batches, lists, settle, signed, splitmix, texts, windows, words
@@ -131,6 +131,38 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .where(100 * both >= percent * (F.size("su") + F.size("sv") - both)).select("u", "v")
 
 
+def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of documents in different components that can still be linked.
+
+    ``placed`` has ``doc_id, n, component``.  Two sets of the wanted similarity must
+    share one of their rarest shingles: of ``n`` shingles, rarest first, the first
+    ``n - ceil(n * percent / 100) + 1``.  A passage that many documents share is not
+    rare, so it pairs nobody.  The first shingle that a pair shares also bounds the
+    whole overlap by what stands after it, so a document with many shingles of its own
+    meets few others.  Of the documents behind one shingle, those in its
+    most frequent component are only compared with those outside it.
+    """
+    flat = settle(sets.join(placed, "doc_id").select(
+        "doc_id", "n", "component", F.explode("shingles").alias("g")), "flat")
+    counts = settle(flat.groupBy("g").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    ranked = flat.join(counts, "g", "left").withColumn("rank", F.row_number().over(
+        Window.partitionBy("doc_id").orderBy(F.coalesce("c", F.lit(1)), "g")))
+    prefix = ranked.where(f"c is not null and rank <= n - ceil(n * {percent} / 100) + 1") \
+        .select("doc_id", "n", "component", "g", (F.col("n") - F.col("rank") + 1).alias("rest"))
+    prefix = settle(prefix, "prefix")
+    main = prefix.groupBy("g", "component").agg(F.count("*").alias("c")).groupBy("g").agg(
+        F.max(F.struct("c", "component"))["component"].alias("main"), F.count("*").alias("k")) \
+        .where("k > 1").select("g", "main")
+    main = settle(main, "main")
+    outside = prefix.join(main, "g").where("component <> main")
+    other = prefix.select("g", F.col("doc_id").alias("d2"), F.col("n").alias("n2"),
+                          F.col("component").alias("c2"), F.col("rest").alias("rest2"))
+    return outside.join(other, "g").where("component <> c2 and (c2 = main or doc_id < d2)") \
+        .where(f"n * 100 >= n2 * {percent} and n2 * 100 >= n * {percent}") \
+        .where(f"{100 + percent} * least(rest, rest2) >= {percent} * (n + n2)") \
+        .select(F.least("doc_id", "d2").alias("u"), F.greatest("doc_id", "d2").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS,
                     percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
@@ -171,23 +203,28 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS,
     links = settle(_confirm(tested, sets, percent), "links")
     found = settle(components(links, "parts"), "parts")
 
-    for last in (False, True):
+    def mixed() -> DataFrame:
+        """Members of buckets that still hold more than one component."""
         placed = members.join(found.withColumnRenamed("node", "id"), "id", "left") \
             .withColumn("component", F.coalesce("component", "id"))
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
+        open_ = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")) \
             .where("lo < hi").select("bucket")
-        placed = settle(placed.join(mixed, "bucket", "left_semi").drop("hub", "far"), "placed")
-        other = placed.select("bucket", F.col("id").alias("hub"), F.col("n").alias("hn"),
-                              F.col("component").alias("hc"))
-        if not last:
-            other = other.join(hubs.select("bucket", F.col("far").alias("hub")), ["bucket", "hub"])
-        cross = placed.join(other, "bucket").where("component <> hc").where(fits)
-        if last:
-            cross = cross.where("id < hub")
-        fresh = settle(ordered(cross).join(tested, ["u", "v"], "left_anti"), "pairs")
-        links = links.union(settle(_confirm(fresh, sets, percent), "links"))
-        tested = tested.union(fresh)
-        found = settle(components(links, "parts"), "parts")
+        return settle(placed.join(open_, "bucket", "left_semi").drop("hub"), "mixed")
+
+    placed = mixed()
+    far = placed.where("id = far").select(
+        "bucket", F.col("id").alias("hub"), F.col("n").alias("hn"), F.col("component").alias("hc"))
+    again = ordered(placed.join(far, "bucket").where("component <> hc").where(fits))
+    tested = tested.union(again)
+    again = settle(again.join(settle(tested.groupBy("u", "v").count().where("count = 1"), "pairs"),
+                              ["u", "v"], "left_semi"), "pairs")
+    links = links.union(settle(_confirm(again, sets, percent), "links"))
+    found = settle(components(links, "parts"), "parts")
+
+    placed = mixed().select(F.col("id").alias("doc_id"), "n", "component").distinct()
+    rest = settle(_across(settle(placed, "left"), sets, percent), "pairs")
+    links = links.union(settle(_confirm(rest, sets, percent), "links"))
+    found = settle(components(links, "parts"), "parts")
 
     grouped = classes.join(found.withColumnRenamed("node", "id"), "id", "left") \
         .select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
