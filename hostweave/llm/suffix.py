@@ -3,22 +3,29 @@
 Only suffixes that start at content-selected positions are retained: a position
 is kept when the hash of its ``seed`` words is the least of some run of
 neighbouring positions (a minimiser).  Equal text selects equal positions, so any
-two copies of a passage of ``least`` words retain the same suffix inside its first
-half.  Retained suffixes are sorted by their words; each is compared with the
-neighbour before it and with the first document that has the same half passage,
-and the match is extended word by word to the right and to the left.
+two copies of a passage of ``least`` words retain the same suffix early enough for
+``KEY`` words to follow inside the passage.  Retained suffixes that share these words
+with another are sorted by their words; each is compared with its neighbours (the
+nearest earlier documents on either side, by the words ahead and by those behind)
+and with the first document that starts alike, and the match is extended word by
+word to the right and to the left.
 
 Every compared pair with ``least`` equal words in a row counts as a repeat.  The
 copy in the smaller (document, position) stays; the other is marked.  A marked
 word therefore always has an equal word in an earlier copy, and following the
 copies down ends at one that stays.
+
+Words around a suffix are compared by 24 bits of their hashes, so an edge of a
+repeat may reach one word too far once in 16 million.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +35,9 @@ from .common import (
 
 LEAST = 50
 SEED = 5
+KEY = 12
+RUN_ROWS = 20_000
+BESIDE = 4
 
 STARTS = "doc_id long, key long, pos int"
 SUFFIXES = "key long, doc_id long, pos int, body long, ahead binary, behind binary"
@@ -66,22 +76,21 @@ def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def retained(hashes: np.ndarray, first: np.ndarray, least: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Minimiser positions with half a passage to their right, and that half's hash.
+    """Minimiser positions with ``KEY`` words to their right, and the hash of these.
 
     ``hashes`` are the words of all rows of a batch and ``first`` the first word of
     each row.  A run of positions that spans two rows only adds positions.
     """
-    half = least // 2
-    if len(hashes) < half:
+    width = least - KEY - seed + 1
+    if len(hashes) < max(KEY, width + seed - 1):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     seeds = windows(hashes, seed)
-    width = half - seed + 1
     low = _sliding(seeds, width, np.minimum)
     padded = np.concatenate([np.zeros(width - 1, np.uint64), low, np.zeros(width - 1, np.uint64)])
     chosen = np.flatnonzero(_sliding(padded, width, np.maximum)[:len(seeds)] == seeds)
     row_end = first[np.searchsorted(first, chosen, "right")]
-    chosen = chosen[chosen + half <= row_end]
-    return chosen, _block(hashes, half)[chosen]
+    chosen = chosen[chosen + KEY <= row_end]
+    return chosen, _block(hashes, KEY)[chosen]
 
 
 def _starts(least: int, seed: int):
@@ -104,34 +113,42 @@ def _short(hashes: np.ndarray) -> np.ndarray:
 
 
 def _suffixes(least: int):
-    half = least // 2
+    beyond = least - KEY
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             hashes, first, _, _ = words(batch["text"])
-            blocks = _block(hashes, half) if len(hashes) >= half else hashes[:0]
+            blocks = _block(hashes, KEY) if len(hashes) >= KEY else hashes[:0]
             codes = _short(hashes)
             back = np.ascontiguousarray(codes[::-1])
             total = len(hashes)
             ids, bodies = batch["doc_id"].to_pylist(), batch["body"].to_pylist()
             doc, key, pos, body, ahead, behind = [], [], [], [], [], []
+
+            def packed() -> pa.RecordBatch:
+                return pa.record_batch({
+                    "key": pa.array(signed(blocks[np.array(key, np.int64)])), "doc_id": pa.array(doc, pa.int64()),  # noqa: B023
+                    "pos": pa.array(pos, pa.int32()), "body": pa.array(body, pa.int64()),  # noqa: B023
+                    "ahead": pa.array(ahead, pa.binary()), "behind": pa.array(behind, pa.binary()),  # noqa: B023
+                })
+
             for i, places in enumerate(batch["places"].to_pylist()):
                 a, b = int(first[i]), int(first[i + 1])
                 for p in places:
                     at = a + p
-                    if at + half > b:
+                    if at + KEY > b:
                         continue  # a place of another text with the same id
                     doc.append(ids[i])
                     body.append(bodies[i])
                     pos.append(p)
                     key.append(at)
-                    ahead.append(codes[at + half:min(b, at + least)].tobytes())
-                    behind.append(back[total - at:total - max(a, at - half)].tobytes())
-            yield pa.record_batch({
-                "key": pa.array(signed(blocks[np.array(key, np.int64)])), "doc_id": pa.array(doc, pa.int64()),
-                "pos": pa.array(pos, pa.int32()), "body": pa.array(body, pa.int64()), "ahead": pa.array(ahead, pa.binary()),
-                "behind": pa.array(behind, pa.binary()),
-            })
+                    ahead.append(codes[at + KEY:min(b, at + least)].tobytes())
+                    behind.append(back[total - at:total - max(a, at - beyond)].tobytes())
+                if len(key) >= 20_000:
+                    yield packed()
+                    for column in (doc, key, pos, body, ahead, behind):
+                        column.clear()
+            yield packed()
     return run
 
 
@@ -150,128 +167,137 @@ def _same(a: bytes, b: bytes) -> int:
     return low
 
 
-def _extend(least: int):
-    """Compare each suffix with the one before it, and mark the later copy."""
-    half = least // 2
+def _compare(row: tuple, other: tuple, least: int) -> tuple | None:
+    """The span that the later of two suffixes repeats, if it is long enough.
 
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            doc, body, first, last, other = [], [], [], [], []
-            rows = zip(*(batch[c].to_pylist() for c in (
-                "doc_id", "pos", "body", "ahead", "behind",
-                "doc_id2", "pos2", "body2", "ahead2", "behind2")), strict=True)
-            for d, p, t, f, b, d2, p2, t2, f2, b2 in rows:
-                ahead, back = half + _same(f, f2), _same(b, b2)
-                if ahead + back < least:
-                    continue
-                if (d, p, t) < (d2, p2, t2):
-                    d, p, t, d2 = d2, p2, t2, d
-                doc.append(d)
-                body.append(t)
-                first.append(p - back)
-                last.append(p + ahead)
-                other.append(d2)
-            yield pa.record_batch({
-                "doc_id": pa.array(doc, pa.int64()), "body": pa.array(body, pa.int64()), "first": pa.array(first, pa.int32()),
-                "last": pa.array(last, pa.int32()), "other": pa.array(other, pa.int64()),
-            })
-    return run
+    A suffix is (document, position, body, words ahead, words behind).
+    """
+    ahead, back = KEY + _same(row[3], other[3]), _same(row[4], other[4])
+    if ahead + back < least or row[:3] == other[:3]:
+        return None
+    later, earlier = (row, other) if row[:3] > other[:3] else (other, row)
+    return later[0], later[2], later[1] - back, later[1] + ahead, earlier[0]
 
 
-def _beside(batches: Batches) -> Batches:
-    """Put the previous row of the sorted partition next to each row.
+def _earlier(run: list[tuple]) -> Iterator[tuple[tuple, tuple]]:
+    """Each suffix of a run with the nearest earlier copies on either side, in the
+    order of the words ahead and in that of the words behind."""
+    for order in (run, sorted(run, key=lambda row: (row[4], row[:3]))):
+        for rows in (order, reversed(order)):
+            stack: list[tuple] = []
+            for row in rows:
+                while stack and stack[-1][:3] > row[:3]:
+                    stack.pop()
+                for other in stack[-BESIDE:]:
+                    yield row, other
+                stack.append(row)
 
-    The first and the last row also leave the partition (``edge``), because their
-    other neighbour lies in another one.
+
+SCANNED = SPANS + ", part int, nth int, key long, pos int, ahead binary, behind binary"
+_KINDS = {"doc_id": pa.int64(), "body": pa.int64(), "first": pa.int32(), "last": pa.int32(), "other": pa.int64(),
+          "part": pa.int32(), "nth": pa.int32(), "key": pa.int64(), "pos": pa.int32(),
+          "ahead": pa.binary(), "behind": pa.binary()}
+
+
+def _table(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.record_batch({n: pa.array(c, _KINDS[n]) for n, c in zip(names, columns, strict=True)})
+
+
+def _scan(least: int):
+    """Compare the sorted suffixes of one partition.
+
+    Suffixes with equal words all around are adjacent and are compared with the
+    first of them only.  The others are compared with their neighbours and with the
+    first document of their key.  A key may go on in the next partition:
+    the ends and the first document of the outer keys leave with a ``part``.
     """
-    names = ["key", "doc_id", "pos", "body", "ahead", "behind"]
-    before, part = None, None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch.select(names)])
-        part = batch["part"][0].as_py()
-        edge = None
-        if before is None:
-            edge = table.slice(0, 1)
-            pairs, prior = table.slice(1), table.slice(0, table.num_rows - 1)
-        else:
-            pairs, prior = table, pa.concat_tables([before, table.slice(0, table.num_rows - 1)])
-        before = table.slice(table.num_rows - 1)
-        same = np.asarray(pairs["key"]) == np.asarray(prior["key"])
-        pairs, prior = pairs.filter(pa.array(same)), prior.filter(pa.array(same))
-        if edge is not None:
-            yield from _edge(edge, part, 1)
-        prior = prior.drop_columns(["key"]).rename_columns([n + "2" for n in names[1:]])
-        for name in prior.column_names:
-            pairs = pairs.append_column(name, prior[name])
-        pairs = pairs.append_column("part", pa.array(np.full(len(pairs), part, np.int32)))
-        pairs = pairs.append_column("edge", pa.array(np.zeros(len(pairs), np.int32)))
-        yield from pairs.combine_chunks().to_batches()
-    if before is not None:
-        yield from _edge(before, part, 2)
+    names = list(_KINDS)
 
+    def run(batches: Batches) -> Batches:
+        out: list[tuple] = []
+        run_, now, part, outer = [], None, None, True
+        ends: dict[tuple, int] = {}
+
+        def note(span: tuple | None) -> None:
+            if span:
+                out.append((*span, None, None, None, None, None, None))
+
+        def close(outer: bool) -> None:
+            if not run_:
+                return
+            lead = min(run_)
+            for row in run_:
+                note(_compare(row, lead, least))
+            if len(run_) > 2:
+                for row, other in _earlier(run_):
+                    note(_compare(row, other, least))
+            if outer:
+                for row in (run_[0], lead, run_[-1]):
+                    ends.setdefault((now, *row), len(ends))
 
-def _edge(row: pa.Table, part: int, edge: int) -> list[pa.RecordBatch]:
-    for name in ("doc_id", "pos", "body", "ahead", "behind"):
-        row = row.append_column(name + "2", pa.nulls(1, row.schema.field(name).type))
-    row = row.append_column("part", pa.array([part], pa.int32()))
-    return row.append_column("edge", pa.array([edge], pa.int32())).combine_chunks().to_batches()
+        for batch in batches:
+            columns = (batch[c].to_pylist() for c in ("key", "doc_id", "pos", "body", "ahead", "behind", "part"))
+            for key, *row, part in zip(*columns, strict=True):
+                row = tuple(row)
+                if key != now or len(run_) >= RUN_ROWS:
+                    close(outer or key == now)
+                    outer = outer and now is None or key == now
+                    last = run_[-1] if key == now else None
+                    run_, now = [], key
+                    if last:
+                        note(_compare(row, last, least))
+                elif row[3:] == run_[-1][3:]:
+                    note(_compare(row, run_[-1], least))
+                    continue
+                run_.append(row)
+            if len(out) > 10_000:
+                yield _table(out, names)
+                out.clear()
+        close(True)
+        for (key, doc, pos, body, ahead, behind), nth in ends.items():
+            out.append((doc, body, None, None, None, part, nth, key, pos, ahead, behind))
+        yield _table(out, names)
+    return run
 
 
-PAIRED = SUFFIXES + ", doc_id2 long, pos2 int, body2 long, ahead2 binary, behind2 binary, part int, edge int"
+def _across(least: int):
+    """Compare what the partitions left of one key: each row with the one before it
+    and with the first document.  There are a few rows per partition."""
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        columns = (table[c].to_pylist() for c in ("part", "nth", "doc_id", "pos", "body", "ahead", "behind"))
+        rows = [tuple(r[2:]) for r in sorted(zip(*columns, strict=True))]
+        lead, spans = min(rows), []
+        for k, row in enumerate(rows):
+            spans += [_compare(row, lead, least), _compare(row, rows[k - 1], least) if k else None]
+        return pa.Table.from_batches([_table([s for s in spans if s], list(_KINDS)[:5])])
+    return run
 
 
 def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
-    """Marked spans: ``doc_id, first, last, other`` in words, ``last`` exclusive.
+    """Marked spans: ``doc_id, body, first, last, other`` in words, ``last`` exclusive.
 
     ``other`` is the document with the earlier copy.  A repeat inside one document
     counts too.  Spans of one document may overlap; ``marked`` unites them.  Null
     and short texts have none.  A null ``doc_id`` is skipped.  Rows that repeat an id
     are told apart by ``body``, the hash of the text; rows equal in both are one.
     """
-    if least < 4 * seed:
-        raise ValueError("least must be at least four seeds long")
+    if least < KEY + 2 * seed:
+        raise ValueError(f"least must be at least {KEY + 2 * seed}")
     source = texts(docs.where("doc_id is not null"), "doc_id")
-    starts = settle(source.mapInArrow(_starts(least, seed), STARTS), "starts")
-    shared = settle(starts.groupBy("key").agg(
-        F.count("*").alias("n")).where("n > 1").select("key"), "shared")
-    places = starts.join(shared, "key", "left_semi") \
-        .groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
+    starts = source.mapInArrow(_starts(least, seed), STARTS)
+    shared = settle(starts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    places = starts.join(shared, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
+    places = settle(places, "places")
     bodies = source.withColumn("body", F.xxhash64("text"))
-    suffixes = settle(bodies.join(places, "doc_id").mapInArrow(_suffixes(least), SUFFIXES), "suffixes")
-
-    # Suffixes equal in all words around them need one comparison with their first.
-    word = F.xxhash64("key", "ahead", "behind")
-    alike = suffixes.groupBy("key", "ahead", "behind").agg(
-        F.min(F.struct("doc_id", "pos", "body")).alias("lead"))
-    alike = settle(alike.select("key", "lead.*", "ahead", "behind"), "alike")
-    same = suffixes.select("doc_id", "pos", "body", word.alias("w"), F.length("ahead").alias("a"), F.length("behind").alias("b"))
-    firsts = settle(alike.select(word.alias("w"), F.col("doc_id").alias("d2"), F.col("pos").alias("p2"),
-                                 F.col("body").alias("t2")), "firsts")
-    copies = same.where((F.col("a") + F.col("b")) / 3 + least // 2 >= least).join(firsts, "w") \
-        .where("struct(doc_id, pos, body) > struct(d2, p2, t2)") \
-        .select("doc_id", "body", (F.col("pos") - F.col("b") / 3).cast("int").alias("first"),
-                (F.col("pos") + least // 2 + F.col("a") / 3).cast("int").alias("last"),
-                F.col("d2").alias("other"))
-
-    lead = alike.groupBy("key").agg(F.min(F.struct("doc_id", "pos", "body", "ahead", "behind")).alias("lead")) \
-        .select("key", *(F.col(f"lead.{c}").alias(c + "2") for c in ("doc_id", "pos", "body", "ahead", "behind")))
-    by_lead = alike.join(settle(lead, "lead"), "key").where("doc_id <> doc_id2 or pos <> pos2 or body <> body2")
-
-    ordered = alike.repartitionByRange("key", "ahead", "behind", "doc_id", "pos") \
-        .sortWithinPartitions("key", "ahead", "behind", "doc_id", "pos")
-    beside = settle(ordered.withColumn("part", F.spark_partition_id()).mapInArrow(_beside, PAIRED), "beside")
-    edges = beside.where("edge > 0").withColumn("place", F.dense_rank().over(Window.orderBy("part")))
-    ends = edges.where("edge = 2").select(
-        (F.col("place") + 1).alias("place"), F.col("key").alias("key2"),
-        *(F.col(c).alias(c + "_") for c in ("doc_id", "pos", "body", "ahead", "behind")))
-    across = edges.where("edge = 1").join(ends, "place").where("key = key2").select(
-        "doc_id", "pos", "body", "ahead", "behind",
-        *(F.col(c + "_").alias(c + "2") for c in ("doc_id", "pos", "body", "ahead", "behind")))
-    cols = across.columns
-    compared = by_lead.select(*cols).union(beside.where("edge = 0").select(*cols)).union(across)
-    return copies.union(bounded_batches(compared).mapInArrow(_extend(least), SPANS))
+    suffixes = bodies.join(places, "doc_id").mapInArrow(_suffixes(least), SUFFIXES)
+    order = ["key", "ahead", "behind", "doc_id", "pos", "body"]
+    ordered = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
+    scanned = ordered.withColumn("part", F.spark_partition_id()).mapInArrow(_scan(least), SCANNED)
+    scanned = settle(scanned, "scanned")
+    across = scanned.where("part is not null").groupBy("key").applyInArrow(_across(least), SPANS)
+    names = [x.split()[0] for x in SPANS.split(", ")]
+    return scanned.where("part is null").select(*names).union(across)
 
 
 def marked(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
