@@ -23,12 +23,12 @@ def decode_entities(text: Column) -> Column:
     the cost does not grow with the number of known names.
     """
     known = constant(fixed.ENTITIES, "map<string,string>")
-    reference = r"^(#[0-9]{1,6}|#[xX][0-9a-fA-F]{1,5}|[a-z]{2,6});"
+    reference = r"^(#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|[a-z]{2,6});"
 
     def character(ref: Column) -> Column:
         code = F.when(
-            ref.rlike("^#[xX]"), F.substring(ref, 3, 5)
-        ).otherwise(F.hex(F.substring(ref, 2, 6).try_cast("bigint")))
+            ref.rlike("^#[xX]"), F.substring(ref, 3, F.length(ref))
+        ).otherwise(F.hex(F.substring(ref, 2, F.length(ref)).try_cast("bigint")))
         return F.when(
             ref.startswith("#"), F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
         ).otherwise(F.try_element_at(known, ref))

@@ -26,6 +26,16 @@ def job_rules(jobs: DataFrame) -> DataFrame:
     )
 
 
+def job_flags(jobs: DataFrame) -> DataFrame:
+    """What a job wants done: ``classify`` (by default) and ``extract`` (if asked for)."""
+    def flag(name: str, default: bool) -> Column:
+        value = F.col(name) if name in jobs.columns else F.lit(None).cast("boolean")
+        return F.coalesce(value, F.lit(default))
+
+    return jobs.select(F.col("id").alias("job_id"), flag("classify_niche", True).alias("classify"),
+                       flag("extract_contacts", False).alias("extract"))
+
+
 def niche_policy(ver: DataFrame, jobs: DataFrame) -> DataFrame:
     """Per job: the niche condition, and whether it is dropped for want of labels."""
     labelled = ver.groupBy("job_id").agg(
@@ -45,25 +55,26 @@ def accept(ver: DataFrame, jobs: DataFrame, policy: str = "run") -> DataFrame:
     """Set ``accepted``; both sides of the decision stay in the result.
 
     ``policy='run'`` honours ``skip_tech_filter`` and drops the niche condition
-    of jobs without any usable label; ``'resume'`` does neither.
+    of jobs without any usable label; ``'resume'`` does neither.  Rows of a job that
+    ``jobs`` lacks are decided without stacks and niche.
     """
     rules = job_rules(jobs)
     if policy == "run":
         applied = niche_policy(ver, jobs).select("job_id", F.col("apply_niche").alias("_apply"))
-        rules = rules.join(applied, "job_id")
+        rules = rules.join(applied, "job_id", "left")
         skip = F.col("_skip")
     elif policy == "resume":
         rules = rules.withColumn("_apply", F.col("_classify") & (F.col("_niche") != ""))
         skip = F.lit(False)
     else:
         raise ValueError(f"unknown policy {policy!r}")
-    stack_ok = skip | F.when(
+    stack_ok = F.coalesce(skip, F.lit(False)) | F.when(
         F.size("_stacks") > 0, F.arrays_overlap("platforms", "_stacks")
     ).otherwise(F.size("platforms") > 0)
     label = F.lower(F.trim(F.coalesce(F.col("vertical"), F.lit(""))))
-    niche_ok = ~F.col("_apply") | (label == F.lower(F.trim("_niche")))
+    niche_ok = ~F.coalesce("_apply", F.lit(False)) | (label == F.lower(F.trim("_niche")))
     keep = [c for c in ver.columns if c != "accepted"]
-    return ver.join(rules, "job_id").select(
+    return ver.join(rules, "job_id", "left").select(
         *keep, F.coalesce(stack_ok & niche_ok, F.lit(False)).alias("accepted")
     )
 

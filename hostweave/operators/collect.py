@@ -50,14 +50,15 @@ def reject_reason(target: Column, host: Column, path: Column, match: str) -> Col
 def first_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row per key in the given order, as an aggregate.
 
-    ``min`` of a struct combines on the map side: each task ships at most one
+    ``min_by`` of a struct combines on the map side: each task ships at most one
     row per key, so a key that holds a third of the table costs its reducer
-    one row per map task and nothing is ranked or sorted in a hot group.
+    one row per map task.  Map columns are carried along but do not order rows.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
-    packed = F.struct(*[F.col(c) for c in order + rest])
+    plain = [c for c, kind in df.dtypes if c in rest and "map<" not in kind]
+    place = F.struct(*order, *plain)
     return (
-        df.groupBy(*keys).agg(F.min(packed).alias("_row"))
+        df.groupBy(*keys).agg(F.min_by(F.struct(*order, *rest), place).alias("_row"))
         .select(*keys, *[F.col(f"_row.{c}").alias(c) for c in order + rest])
     )
 

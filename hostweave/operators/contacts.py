@@ -6,6 +6,7 @@ crosses the network; every later step moves only small value rows.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,13 +17,12 @@ from hostweave.functions.stages import once
 from hostweave.operators import tech
 
 VALUE_TYPE = "array<struct<kind:string,network:string,value:string>>"
-CAPS = {"email": 10, "phone": 8, "social": 5}
+KINDS = ("email", "phone", "social")
 
 # Stages of the staged search, in the order they are tried.
 PAYLOAD, FOOTER, HOME, RENDERED_FOOTER, RENDERED_HOME = 0, 1, 2, 3, 4
 FIRST_EXTRA = 5
 FIRST_LINK = FIRST_EXTRA + len(fixed.CONTACT_PATHS)
-MAX_LINKS = 3
 
 _LOCAL = r"A-Za-z0-9._%+\-"
 # A match may only start where a run of address characters starts (or where the
@@ -290,8 +290,8 @@ def _label(anchor: Column) -> Column:
     return F.regexp_replace(anchor, r"<[^>]*>", " ")
 
 
-def footer_links(sites: DataFrame, pages: DataFrame, limit: int = MAX_LINKS) -> DataFrame:
-    """The first ``limit`` captured pages a site's home page links as contact pages."""
+def footer_links(sites: DataFrame, pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """The captured pages a site's home page links as contact pages, in page order."""
     homes = page_roles(pages.select("url", "html")).where(F.col("stage") == HOME)
     homes = homes.join(sites.select("site"), "site", "left_semi")
     homes = once(homes, {"links": link_targets(F.col("url"), F.col("html"))})
@@ -299,15 +299,19 @@ def footer_links(sites: DataFrame, pages: DataFrame, limit: int = MAX_LINKS) ->
     return first_links(links, pages.select(urls.canonical_url(F.col("url")).alias("url")), limit)
 
 
-def first_links(links: DataFrame, captured: DataFrame, limit: int = MAX_LINKS) -> DataFrame:
-    """Drop links the contact paths already cover, keep the first captured ones."""
+def first_links(links: DataFrame, captured: DataFrame, limit: int | None = None) -> DataFrame:
+    """Drop links the contact paths already cover; number the captured rest.
+
+    ``limit`` keeps the first links of a site only.
+    """
     covered = F.array(*[F.concat(F.col("site"), F.lit(p)) for p in ("", *fixed.CONTACT_PATHS)])
     once = links.groupBy("site", "url").agg(F.min("pos").alias("pos"))
     fresh = once.where(~F.array_contains(covered, F.rtrim(F.col("url"), F.lit("/"))))
     known = fresh.join(captured, "url", "left_semi")
     w = Window.partitionBy("site").orderBy("pos", "url")
+    ranked = known.withColumn("nth", F.row_number().over(w))
     return (
-        known.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= limit)
+        (ranked if limit is None else ranked.where(F.col("nth") <= limit))
         .select("site", (F.col("nth") + (FIRST_LINK - 1)).alias("stage"), "url")
     )
 
@@ -395,20 +399,20 @@ def contact_cascade(contacts: DataFrame) -> DataFrame:
 
     The search stops once a site has an e-mail, or a phone and a social handle;
     the first two stages are always searched.  Values are reduced to their
-    first stage and then to one count row per (site, stage), at most
-    ``FIRST_LINK + MAX_LINKS`` rows a site, before anything is ordered.
+    first stage and then to one count row per (site, stage), a few rows more than a
+    site has contact links, before anything is ordered.
     """
     firsts = contacts.groupBy("site", "kind", "network", "value").agg(
         F.min("stage").alias("first_stage")
     )
     per_stage = firsts.groupBy("site", "first_stage").agg(
-        *[F.count_if(F.col("kind") == k).alias(k) for k in CAPS]
+        *[F.count_if(F.col("kind") == k).alias(k) for k in KINDS]
     )
     w = Window.partitionBy("site").orderBy("first_stage").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     running = per_stage.select(
-        "site", "first_stage", *[F.sum(k).over(w).alias(k) for k in CAPS]
+        "site", "first_stage", *[F.sum(k).over(w).alias(k) for k in KINDS]
     )
     enough = (F.col("email") >= 1) | ((F.col("phone") >= 1) & (F.col("social") >= 1))
     stops = running.where(enough).groupBy("site").agg(F.min("first_stage").alias("_stop"))
@@ -418,19 +422,18 @@ def contact_cascade(contacts: DataFrame) -> DataFrame:
     return firsts.join(stops, "site", "left").where(searched).drop("_stop")
 
 
-def assemble_contacts(kept: DataFrame) -> DataFrame:
-    """One row per site: sorted, capped value lists.
+def assemble_contacts(kept: DataFrame, caps: Mapping[str, int] | None = None) -> DataFrame:
+    """One row per site: sorted lists of all its contacts.
 
-    The caps are the report's own (10 e-mails, 8 phones, 5 handles a network)
-    and are applied by rank before any list is built, so no list can grow.
+    ``caps`` (a number per kind) shortens the lists of a report; it is applied by
+    rank before any list is built.
     """
-    w = Window.partitionBy("site", "kind", "network").orderBy("value")
-    caps = F.create_map(*[x for k, n in CAPS.items() for x in (F.lit(k), F.lit(n))])
-    ranked = (
-        kept.select("site", "kind", "network", "value").distinct()
-        .withColumn("_n", F.row_number().over(w))
-        .where(F.col("_n") <= max(CAPS.values())).where(F.col("_n") <= caps[F.col("kind")])
-    )
+    ranked = kept.select("site", "kind", "network", "value").distinct()
+    if caps is not None:
+        w = Window.partitionBy("site", "kind", "network").orderBy("value")
+        most = F.create_map(*[x for k, n in caps.items() for x in (F.lit(k), F.lit(n))])
+        ranked = ranked.withColumn("_n", F.row_number().over(w)) \
+            .where(F.col("_n") <= F.coalesce(most[F.col("kind")], F.col("_n")))
 
     def listed(condition: Column) -> Column:
         return F.array_sort(F.collect_list(F.when(condition, F.col("value"))))

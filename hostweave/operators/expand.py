@@ -121,9 +121,16 @@ def expand_queries(campaigns: DataFrame) -> DataFrame:
     return expand_stack_queries(campaigns).unionByName(expand_or_queries(campaigns))
 
 
-def fan_out_pages(queries: DataFrame, pages: str = "pages_per_query") -> DataFrame:
-    """One row per query and result page, with the address of that page."""
-    last = F.greatest(F.lit(1), F.least(F.lit(10), F.coalesce(F.col(pages), F.lit(1)))) - 1
+def fan_out_pages(
+    queries: DataFrame, pages: str = "pages_per_query", limit: int | None = None
+) -> DataFrame:
+    """One row per query and result page asked for, with the address of that page.
+
+    ``limit`` bounds the pages of a query, as some engines do.
+    """
+    asked = F.coalesce(F.col(pages), F.lit(1))
+    asked = asked if limit is None else F.least(F.lit(limit), asked)
+    last = F.greatest(F.lit(1), asked) - 1
     keep = [c for c in queries.columns if c != pages]
     rows = queries.select(*keep, F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("page_no"))
     return rows.withColumn("search_url", F.concat(

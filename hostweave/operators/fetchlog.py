@@ -65,7 +65,7 @@ def usable_label(label: Column) -> Column:
 
 
 def resolve_verdicts(
-    attempts: DataFrame, keys: tuple[str, ...] = ("doc_id",), limit: int = 3,
+    attempts: DataFrame, keys: tuple[str, ...] = ("doc_id",), limit: int | None = None,
     tokens: list[str] | None = None,
 ) -> DataFrame:
     """The verdict at which retrying stops: usable or not transient, else the last."""
@@ -76,7 +76,8 @@ def resolve_verdicts(
     final = usable_label(F.col("vertical")) | ~transient
     rest = [c for c in attempts.columns if c not in keys]
     row = F.struct(*rest)
-    picked = attempts.where(F.col("n") <= limit).groupBy(*keys).agg(F.coalesce(
+    tried = attempts if limit is None else attempts.where(F.col("n") <= limit)
+    picked = tried.groupBy(*keys).agg(F.coalesce(
         F.min_by(row, F.when(final, F.col("n"))),
         F.max_by(row, F.col("n")),
     ).alias("_row"))
@@ -105,10 +106,10 @@ def failure_classes(log: DataFrame) -> DataFrame:
 
 
 def probe_rollup(log: DataFrame) -> DataFrame:
-    """Per model: probes, successes, success rate and median latency (approximate)."""
+    """Per model: probes, successes, success rate and median latency."""
     ok = F.coalesce(F.col("error"), F.lit("")) == ""
     return log.groupBy("model").agg(
         F.count("*").alias("n_probes"), F.count_if(ok).alias("n_ok"),
         (F.count_if(ok) / F.count("*")).alias("ok_rate"),
-        F.percentile_approx("elapsed_ms", 0.5).alias("median_ms"),
+        F.expr("percentile_disc(0.5) within group (order by elapsed_ms)").cast("bigint").alias("median_ms"),
     )

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from hostweave.operators.collect import first_by
 from hostweave.operators.fetchlog import latest_by, usable_label
+from hostweave.session import settle
 
 SIMILAR_KEYS = ("keywords", "custom_niche", "city", "state", "country", "area")
 FINISHED = ("done", "stopped")
-BROADCAST_IDS = 10_000
 
 
 def append_urls(
@@ -64,7 +64,7 @@ def apply_status(jobs: DataFrame, changes: DataFrame) -> DataFrame:
 
 def recover_orphans(jobs: DataFrame, live: DataFrame, now: Column) -> DataFrame:
     """Running jobs without a live worker become interrupted and end now."""
-    marked = jobs.join(live.select("id", F.lit(True).alias("_live")), "id", "left")
+    marked = jobs.join(live.select("id").distinct().withColumn("_live", F.lit(True)), "id", "left")
     orphan = (F.col("status") == "running") & F.col("_live").isNull()
     return marked.withColumn("recovered", orphan).withColumns({
         "ended_at": F.when(F.col("recovered"), now).otherwise(F.col("ended_at")),
@@ -78,15 +78,13 @@ def list_jobs(
     """Jobs, newest first, with their collected/verified/matched/unknown counts.
 
     With a limit the newest jobs are picked first, and the fact tables are
-    filtered to them before they are counted.  The ids are broadcast only while
-    the limit itself bounds them to ``BROADCAST_IDS`` rows.
+    filtered to them before they are counted.
     """
     if limit is None:
         page, urls_in, ver_in = jobs, urls, ver
     else:
         page = jobs.orderBy(F.desc("created_at"), "id").limit(limit)
         ids = page.select(F.col("id").alias("job_id"))
-        ids = F.broadcast(ids) if limit <= BROADCAST_IDS else ids
         urls_in = urls.join(ids, "job_id", "left_semi")
         ver_in = ver.join(ids, "job_id", "left_semi")
     collected = urls_in.groupBy("job_id").agg(F.count("*").alias("collected"))
@@ -122,13 +120,14 @@ def previous_run(jobs: DataFrame, days: int = 30) -> DataFrame:
     inside a span a running ``last`` finds the match, and across spans a running
     ``last`` over one summary row per span carries it.  A key that holds a third
     of all jobs is therefore never ordered in a single task.
+    A job without a time has no previous run and is none.
     """
     finished = F.col("status").isin(*FINISHED)
     seconds = F.col("created_at").cast("timestamp").cast("bigint")
     rows = jobs.select(
         F.col("id").alias("job_id"), "created_at", similar_key().alias("_key"),
         F.floor(seconds / (86_400 * days)).alias("_span"),
-        F.when(finished, F.col("id")).alias("_done"),
+        F.when(finished & F.col("created_at").isNotNull(), F.col("id")).alias("_done"),
     )
     inside = Window.partitionBy("_key", "_span").orderBy("created_at", "job_id").rowsBetween(
         Window.unboundedPreceding, -1
@@ -144,8 +143,9 @@ def previous_run(jobs: DataFrame, days: int = 30) -> DataFrame:
         "_key", "_span",
         F.last(F.col("_last.job_id"), ignorenulls=True).over(before).alias("_far"),
     )
-    return local.join(carried, ["_key", "_span"]).select(
-        "job_id", F.coalesce("_near", "_far").alias("prev_job_id")
+    same = (local["_key"] == carried["_key"]) & local["_span"].eqNullSafe(carried["_span"])
+    return local.join(carried, same).select(
+        "job_id", F.when(F.col("created_at").isNotNull(), F.coalesce("_near", "_far")).alias("prev_job_id")
     )
 
 
@@ -160,13 +160,14 @@ def new_hosts(jobs: DataFrame, urls: DataFrame) -> DataFrame:
 
 def run_diff(jobs: DataFrame, urls: DataFrame) -> DataFrame:
     """Per job with a previous run: new hosts and the size of the previous run."""
-    pairs = previous_run(jobs).where(F.col("prev_job_id").isNotNull())
-    hosts = urls.select("job_id", "host").distinct()
-    sizes = hosts.groupBy("job_id").agg(F.count("*").alias("prev_total"))
-    fresh = new_hosts(jobs, urls).groupBy("job_id").agg(F.count("*").alias("new_count"))
+    pairs = settle(previous_run(jobs).where(F.col("prev_job_id").isNotNull()), "previous-runs")
+    hosts = settle(urls.select("job_id", "host").distinct(), "hosts")
+    before = hosts.select(F.col("job_id").alias("prev_job_id"), "host", F.lit(True).alias("_known"))
+    compared = hosts.join(pairs, "job_id").join(before, ["prev_job_id", "host"], "left")
+    fresh = compared.groupBy("job_id").agg(F.count_if(F.col("_known").isNull()).alias("new_count"))
+    sizes = hosts.groupBy(F.col("job_id").alias("prev_job_id")).agg(F.count("*").alias("prev_total"))
     return (
-        pairs.join(fresh, "job_id", "left")
-        .join(sizes.withColumnRenamed("job_id", "prev_job_id"), "prev_job_id", "left")
+        pairs.join(fresh, "job_id", "left").join(sizes, "prev_job_id", "left")
         .select("job_id", "prev_job_id", F.coalesce("new_count", F.lit(0)).alias("new_count"),
                 F.coalesce("prev_total", F.lit(0)).alias("prev_total"))
     )
@@ -224,5 +225,6 @@ def delete_jobs(
 
 def upgrade(old: DataFrame, new: DataFrame) -> DataFrame:
     """Union of an old and a current table; text columns the old one lacks are ``''``."""
-    missing = [c for c in new.columns if c not in old.columns]
-    return old.unionByName(new, allowMissingColumns=True).fillna("", subset=missing)
+    texts = {f.name for f in new.schema.fields if f.dataType.simpleString() == "string"}
+    missing = {c: F.lit("") for c in new.columns if c not in old.columns and c in texts}
+    return old.withColumns(missing).unionByName(new, allowMissingColumns=True)

@@ -73,8 +73,8 @@ def parse_responses(
         .when(readable, F.coalesce(data["vertical"], F.lit("Other"))).otherwise("Other"),
         "confidence": F.when(readable & ~empty, number).otherwise(F.lit(0.0)),
         "reason": F.when(empty, fixed.EMPTY_RESPONSE)
-        .when(readable, F.when(said != "", said).otherwise(F.substring(trace, 1, 240)))
-        .otherwise(F.concat(F.lit(fixed.UNREADABLE_RESPONSE), F.substring("_clean", 1, 200))),
+        .when(readable, F.when(said != "", said).otherwise(trace))
+        .otherwise(F.concat(F.lit(fixed.UNREADABLE_RESPONSE), F.col("_clean"))),
     }).drop("_raw", "_clean", "_json", "_data")
 
 
@@ -129,11 +129,16 @@ def _score_batches(profiles: DataFrame, scorer: Scorer) -> DataFrame:
 
 
 def sweep_unknown(
-    ver: DataFrame, verdicts: DataFrame, keys: tuple[str, ...] = ("job_id", "domain")
+    ver: DataFrame, verdicts: DataFrame, keys: tuple[str, ...] = ("job_id", "domain"),
+    order: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Second verdicts replace the label of rows that have none."""
+    """Second verdicts replace the label of rows that have none.
+
+    Of several verdicts on one row the last in ``order`` counts.
+    """
     fields = ["vertical", "confidence", "reason"]
-    second = verdicts.select(*keys, F.struct(*fields).alias("_second"))
+    last = F.max_by(F.struct(*fields), F.struct(*order, F.xxhash64(*fields)))
+    second = verdicts.groupBy(*keys).agg(last.alias("_second"))
     replace = ~usable_label(F.col("vertical")) & F.col("_second").isNotNull()
     joined = ver.join(second, list(keys), "left").withColumn("_replace", replace)
     return joined.withColumns({

@@ -13,9 +13,10 @@ from hostweave.functions.stages import constant, once
 HITS_TYPE = "array<struct<platform:string,evidence:array<string>>>"
 
 
-def page_blob(html: str = "html", headers: str | None = "headers_text", cap: int = 400_000) -> Column:
-    """Lower-cased markup, capped, followed by the response headers."""
-    body = F.lower(F.substring(F.coalesce(F.col(html), F.lit("")), 1, cap))
+def page_blob(html: str = "html", headers: str | None = "headers_text", cap: int | None = None) -> Column:
+    """Lower-cased markup, followed by the response headers; ``cap`` cuts the markup."""
+    body = F.coalesce(F.col(html), F.lit(""))
+    body = F.lower(body if cap is None else F.substring(body, 1, cap))
     if headers is None:
         return body
     return F.concat(body, F.lit(" "), F.lower(F.coalesce(F.col(headers), F.lit(""))))
@@ -29,8 +30,10 @@ def header_text(headers: Column) -> Column:
     return F.array_join(pairs, " ")
 
 
-def scan_markers(blob: Column, markers: Mapping[str, Sequence[str]]) -> Column:
-    """Platforms with a marker in ``blob`` and their first three markers.
+def scan_markers(
+    blob: Column, markers: Mapping[str, Sequence[str]], evidence: int | None = None
+) -> Column:
+    """Platforms with a marker in ``blob`` and their markers (the first ``evidence``, if given).
 
     The dictionary is a literal inside one projection.  There is no join, so the
     markup is read where it was scanned and never duplicated or shuffled.
@@ -42,8 +45,8 @@ def scan_markers(blob: Column, markers: Mapping[str, Sequence[str]]) -> Column:
 
     def hit(entry: Column) -> Column:
         found = F.filter(entry["markers"], lambda m: F.contains(blob, m))
-        return F.struct(entry["platform"].alias("platform"),
-                        F.slice(found, 1, 3).alias("evidence"))
+        shown = found if evidence is None else F.slice(found, 1, evidence)
+        return F.struct(entry["platform"].alias("platform"), shown.alias("evidence"))
 
     return F.filter(F.transform(platforms_, hit), lambda h: F.size(h["evidence"]) > 0)
 
@@ -67,7 +70,7 @@ def platforms(hits: Column) -> Column:
 
 def fingerprint(
     pages: DataFrame, html: str = "html", headers: str | None = "headers_text",
-    cap: int = 400_000, markers: Mapping[str, Sequence[str]] = fixed.FINGERPRINTS,
+    cap: int | None = None, markers: Mapping[str, Sequence[str]] = fixed.FINGERPRINTS,
     implied: bool = True,
 ) -> DataFrame:
     """Replace a page's markup by ``hits``, its platforms with evidence."""
@@ -94,17 +97,14 @@ def explode_hits(fp: DataFrame) -> DataFrame:
     )
 
 
-def markers_from_table(table: DataFrame, limit: int = 2_000) -> dict[str, list[str]]:
-    """Read a user's (platform, marker) table as a dictionary.
+def markers_from_table(table: DataFrame) -> dict[str, list[str]]:
+    """Read a user's (platform, marker) table, of any length, as a dictionary.
 
-    The table becomes part of the plan, so its size is checked and a larger one
-    is refused, not cut.
+    Like the built-in one the dictionary becomes a literal of the plan, so it is a
+    table written by people, not one that grows with the pages.
     """
-    rows = table.select("platform", "marker").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"marker table has more than {limit} rows")
     out: dict[str, list[str]] = {}
-    for platform, marker in sorted(rows):
+    for platform, marker in sorted(table.select("platform", "marker").distinct().toLocalIterator()):
         out.setdefault(platform, []).append(marker)
     return out
 

@@ -12,16 +12,18 @@ from hostweave.functions import blocks, fixed, markup, urls
 from hostweave.functions.stages import once
 
 
-def page_text(pages: DataFrame, html: str = "html", cap: int = 3_000, floor: int = 100) -> DataFrame:
-    """Add ``title`` and ``text``; both are empty below ``floor`` visible characters."""
+def page_text(
+    pages: DataFrame, html: str = "html", cap: int | None = None, floor: int = 100
+) -> DataFrame:
+    """Add ``title``, the whole visible ``text`` and ``short``: under ``floor`` characters.
+
+    ``cap`` cuts the text where a caller needs it bounded.
+    """
     staged = once(pages, {
-        "_full": markup.visible_text(F.col(html)), "_title": markup.title_of(F.col(html)),
+        "title": markup.title_of(F.col(html)), "text": markup.visible_text(F.col(html)),
     })
-    enough = F.length("_full") >= floor
-    return staged.withColumns({
-        "title": F.when(enough, F.col("_title")).otherwise(""),
-        "text": F.when(enough, F.substring("_full", 1, cap)).otherwise(""),
-    }).drop("_full", "_title")
+    flagged = staged.withColumn("short", F.length("text") < floor)
+    return flagged if cap is None else flagged.withColumn("text", F.substring("text", 1, cap))
 
 
 def host_words(url: Column) -> Column:
@@ -30,9 +32,9 @@ def host_words(url: Column) -> Column:
     return F.regexp_extract_all(stem, F.lit("[a-z]+"), F.lit(0))
 
 
-def path_words(url: Column, limit: int = 8) -> Column:
+def path_words(url: Column, limit: int | None = None) -> Column:
     words = F.regexp_extract_all(F.lower(urls.raw_path_of(url)), F.lit("[a-z]+"), F.lit(0))
-    return F.slice(words, 1, limit)
+    return words if limit is None else F.slice(words, 1, limit)
 
 
 def url_hint(url: Column) -> Column:

@@ -21,7 +21,7 @@ from hostweave.operators.collect import clean_urls, first_by, first_per_host
 from hostweave.operators.expand import expand_queries
 from hostweave.operators.fetchlog import latest_by, resolve_fetch
 from hostweave.session import settle
-from hostweave.sources.tables import CAPS, bulk_urls
+from hostweave.sources.tables import bulk_urls
 
 SOCIALS = "map<string,array<string>>"
 
@@ -36,49 +36,63 @@ class Run:
     queries: DataFrame | None = None
 
 
-def resolved_pages(fetch_log: DataFrame) -> DataFrame:
-    """One usable page per requested address: ``url, final_url, html, headers_text``."""
+def resolved_pages(fetch_log: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One usable page per requested address: ``url, final_url, html, headers_text``.
+
+    Only attempts on hosts of ``wanted`` addresses are resolved; a site's contact and
+    linked pages lie on the same host.  The semi-join stands before the aggregate,
+    so bodies of other sites are neither compared nor shuffled.
+    """
     log = fetch_log.select(
         urls.canonical_url(F.col("url")).alias("url"), "attempt", "status", "final_url",
         "headers_text", "body",
     )
+    hosts = wanted.select(urls.host_of(F.col("url")).alias("_host")).distinct()
+    log = log.join(hosts, urls.host_of(F.col("url")) == F.col("_host"), "left_semi")
     landed = F.when(F.col("final_url") != "", F.col("final_url")).otherwise(F.col("url"))
     return resolve_fetch(log).where("ok").select(
         "url", landed.alias("final_url"), F.col("body").alias("html"), "headers_text"
     )
 
 
-def page_facts(pages: DataFrame, wanted: DataFrame) -> DataFrame:
+def page_facts(pages: DataFrame, wanted: DataFrame, with_contacts: bool = True) -> DataFrame:
     """Everything later steps need from a page; the markup ends here.
 
-    Stack and text are only worked out for ``wanted`` addresses, contacts for
-    every page, since contact pages are not collected themselves.  The result is
-    written once because profiles and contacts both read it.
+    Stack and text are only worked out for ``wanted`` addresses, contacts (unless
+    nobody asks for them) for every page of their hosts, since contact pages are
+    not collected themselves.  The result is written once because profiles and
+    contacts both read it.
     """
+    if not with_contacts:
+        pages = pages.join(wanted.select("url"), "url", "left_semi")
     flagged = pages.join(wanted.select("url", F.lit(True).alias("wanted")), "url", "left")
     is_wanted = F.coalesce("wanted", F.lit(False))
     staged = text.page_text(once(flagged, {
         "wanted": is_wanted,
-        "_blob": F.when(is_wanted, tech.page_blob("html", "headers_text", CAPS["tech"])).otherwise(""),
+        "_blob": F.when(is_wanted, tech.page_blob("html", "headers_text")).otherwise(""),
         "_readable": F.when(is_wanted, F.col("html")).otherwise(""),
     }), html="_readable")
     staged = tech.with_hits(staged.select(
         "url", "final_url", "wanted", "title", "text", "_blob",
-        F.substring("html", 1, CAPS["contacts"]).alias("html"),
+        "html",
     ))
+    if not with_contacts:
+        return settle(staged.drop("html"), "page-facts")
     return settle(contacts.page_contacts(staged, landed="final_url"), "page-facts")
 
 
-def rendered_facts(rendered: DataFrame) -> DataFrame:
-    """Hits and contacts of pages captured after client-side rendering."""
-    capped = rendered.select(
-        urls.canonical_url(F.col("url")).alias("url"),
-        F.substring("html", 1, CAPS["rendered"]).alias("html"),
-    )
-    staged = tech.with_hits(
-        once(capped, {"_blob": tech.page_blob("html", None, CAPS["rendered"])})
-    )
-    return settle(contacts.page_contacts(staged), "rendered-facts")
+def rendered_facts(rendered: DataFrame, wanted: DataFrame, with_contacts: bool = True) -> DataFrame:
+    """Hits and contacts of pages captured after client-side rendering.
+
+    Of several captures of one address the longest counts.
+    """
+    pages = rendered.select(urls.canonical_url(F.col("url")).alias("url"), "html")
+    hosts = wanted.select(urls.host_of(F.col("url")).alias("_host")).distinct()
+    pages = pages.join(hosts, urls.host_of(F.col("url")) == F.col("_host"), "left_semi")
+    single = latest_by(pages.withColumn("_size", F.length("html")), ["url"], ["_size", "html"]).drop("_size")
+    staged = tech.with_hits(once(single, {"_blob": tech.page_blob("html", None)}))
+    staged = contacts.page_contacts(staged) if with_contacts else staged.drop("html")
+    return settle(staged, "rendered-facts")
 
 
 def profiles(
@@ -120,21 +134,33 @@ def site_contacts(facts: DataFrame, rendered: DataFrame | None = None) -> DataFr
     return contacts.assemble_contacts(contacts.contact_cascade(found))
 
 
+def page_work(
+    wanted: DataFrame, fetch_log: DataFrame, rendered: DataFrame | None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Facts of captured and rendered pages on the hosts of wanted addresses."""
+    facts = page_facts(resolved_pages(fetch_log, wanted), wanted)
+    return facts, None if rendered is None else rendered_facts(rendered, wanted)
+
+
 def verify(
-    collected: DataFrame, fetch_log: DataFrame, rendered: DataFrame | None = None,
+    collected: DataFrame, jobs: DataFrame, facts: DataFrame, late: DataFrame | None = None,
     scorer: labels.Scorer | None = None,
 ) -> DataFrame:
     """Verification rows of collected (job_id, host, url, write_order) rows.
 
     A page that several jobs collected is profiled once.  Rows that land on the
-    same domain within a job collapse to the last one collected.
+    same domain within a job collapse to the last one collected.  A job that does
+    not classify keeps the label Unknown; one that does not ask for contacts has
+    none.
     """
     wanted = collected.select("url").distinct()
-    facts = page_facts(resolved_pages(fetch_log), wanted)
-    late = None if rendered is None else rendered_facts(rendered)
+    flags = acceptance.job_flags(jobs)
+    classify = F.coalesce("classify", F.lit(True))
+    extract = F.coalesce("extract", F.lit(False))
     joined = (
         collected.withColumnRenamed("host", "requested_host")
         .join(profiles(wanted, facts, late, scorer), "url")
+        .join(flags, "job_id", "left")
         .withColumn("site", contacts.site_base(F.col("final_url")))
         .join(site_contacts(facts, late), "site", "left")
     )
@@ -142,10 +168,12 @@ def verify(
     rows = joined.select(
         "job_id", "requested_host", "write_order",
         F.col("final_url").alias("url"), urls.host_of(F.col("final_url")).alias("domain"),
-        "platforms", "vertical", "confidence", "reason",
-        F.coalesce("emails", empty).alias("emails"),
-        F.coalesce("phones", empty).alias("phones"),
-        F.coalesce("socials", F.create_map().cast(SOCIALS)).alias("socials"),
+        "platforms", F.when(classify, F.col("vertical")).otherwise("Unknown").alias("vertical"),
+        F.when(classify, F.col("confidence")).otherwise(F.lit(0.0)).alias("confidence"),
+        F.when(classify, F.col("reason")).otherwise("").alias("reason"),
+        F.coalesce(F.when(extract, F.col("emails")), empty).alias("emails"),
+        F.coalesce(F.when(extract, F.col("phones")), empty).alias("phones"),
+        F.coalesce(F.when(extract, F.col("socials")), F.create_map().cast(SOCIALS)).alias("socials"),
     )
     last = latest_by(rows, ["job_id", "domain"], ["write_order", "requested_host"])
     return settle(last, "verifications")
@@ -160,7 +188,8 @@ def run_campaign(
     collected = settle(first_per_host(clean_urls(links)).withColumn(
         "write_order", F.struct("query_idx", "page_no", "rank")
     ), "urls")
-    ver = acceptance.accept(verify(collected, fetch_log, rendered, scorer), jobs)
+    facts, late = page_work(collected.select("url").distinct(), fetch_log, rendered)
+    ver = acceptance.accept(verify(collected, jobs, facts, late, scorer), jobs)
     return Run(
         urls=collected, verifications=ver, summary=acceptance.run_summary(collected, ver),
         queries=None if campaigns is None else expand_queries(campaigns),
@@ -178,7 +207,8 @@ def run_bulk(
         ["list_id", "pos", "url"],
     )
     collected = settle(first.withColumn("write_order", F.struct("list_id", "pos")), "urls")
-    ver = acceptance.accept(verify(collected, fetch_log, rendered, scorer), jobs, policy="resume")
+    facts, late = page_work(collected.select("url").distinct(), fetch_log, rendered)
+    ver = acceptance.accept(verify(collected, jobs, facts, late, scorer), jobs, policy="resume")
     return Run(urls=collected, verifications=ver,
                summary=acceptance.run_summary(collected, ver))
 
@@ -189,24 +219,26 @@ def run_resume(
 ) -> Run:
     """Finish interrupted jobs.
 
-    Unverified hosts are verified, unknown labels are asked again, missing
-    contacts are looked up again, and every row is decided anew.  ``ver`` has
+    Unverified hosts are verified; unknown labels are asked again for jobs that
+    classify, missing contacts are looked up again for jobs that want them, and
+    every row is decided anew.  Pages are worked on once for both.  ``ver`` has
     ``requested_host``, so a redirected host is not taken for an open one.
     """
     todo = settle(history.remaining_urls(collected, ver, host="requested_host"), "todo")
-    fresh = verify(todo, fetch_log, rendered, scorer)
-    unknown = ~labels.usable_label(F.col("vertical"))
-    again = settle(ver.where(unknown | history.without_contacts()).select(
-        "job_id", "domain", urls.canonical_url(F.col("url")).alias("url")
+    flagged = ver.join(acceptance.job_flags(jobs), "job_id", "left")
+    unknown = ~labels.usable_label(F.col("vertical")) & F.coalesce("classify", F.lit(True))
+    bare = history.without_contacts() & F.coalesce("extract", F.lit(False))
+    again = settle(flagged.where(unknown | bare).select(
+        "job_id", "domain", urls.canonical_url(F.col("url")).alias("url"), unknown.alias("unknown")
     ), "again")
     wanted = again.select("url").distinct()
-    facts = page_facts(resolved_pages(fetch_log), wanted)
-    late = None if rendered is None else rendered_facts(rendered)
-    asked = profiles(wanted, facts, late, scorer)
-    verdicts = again.join(
+    facts, late = page_work(todo.select("url").union(wanted).distinct(), fetch_log, rendered)
+    fresh = verify(todo, jobs, facts, late, scorer)
+    asked = profiles(again.where("unknown").select("url").distinct(), facts, late, scorer)
+    verdicts = again.where("unknown").join(
         asked.select("url", "vertical", "confidence", "reason"), "url"
-    ).drop("url")
-    kept = fill_contacts(labels.sweep_unknown(ver, verdicts), site_contacts(facts, late))
+    ).drop("url", "unknown")
+    kept = fill_contacts(labels.sweep_unknown(ver, verdicts), site_contacts(facts, late), jobs)
     both = kept.withColumn("_round", F.lit(0)).unionByName(
         fresh.withColumn("_round", F.lit(1)), allowMissingColumns=True
     )
@@ -217,11 +249,12 @@ def run_resume(
                summary=acceptance.run_summary(collected, done))
 
 
-def fill_contacts(ver: DataFrame, found: DataFrame) -> DataFrame:
-    """Give rows without any contact those found for their address."""
+def fill_contacts(ver: DataFrame, found: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Give rows without any contact those found for their address, if the job asks."""
     fields = ["emails", "phones", "socials"]
-    rows = ver.withColumns({
-        "site": contacts.site_base(F.col("url")), "_bare": history.without_contacts(),
+    rows = ver.join(acceptance.job_flags(jobs), "job_id", "left").withColumns({
+        "site": contacts.site_base(F.col("url")),
+        "_bare": history.without_contacts() & F.coalesce("extract", F.lit(False)),
     })
     joined = rows.join(
         found.select("site", F.struct(*fields).alias("_found")), "site", "left"
@@ -237,8 +270,8 @@ def verify_domains(
 ) -> DataFrame:
     """Stack and label of given addresses, without a job."""
     wanted = addresses.select(urls.canonical_url(F.col("url")).alias("url")).distinct()
-    facts = page_facts(resolved_pages(fetch_log), wanted)
-    late = None if rendered is None else rendered_facts(rendered)
+    facts = page_facts(resolved_pages(fetch_log, wanted), wanted, with_contacts=False)
+    late = None if rendered is None else rendered_facts(rendered, wanted, with_contacts=False)
     rows = profiles(wanted, facts, late, scorer)
     return rows.select(
         F.col("final_url").alias("url"), urls.host_of(F.col("final_url")).alias("domain"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostweave.functions import fixed
@@ -12,15 +12,19 @@ def _joined(values: Column, separator: str) -> Column:
     return F.coalesce(F.array_join(values, separator), F.lit(""))
 
 
-def results_table(ver: DataFrame, accepted_only: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Domain, address, stack, niche, confidence, accepted yes/no, short reason."""
+def results_table(
+    ver: DataFrame, accepted_only: bool = False, keys: tuple[str, ...] = (),
+    reason_chars: int | None = None,
+) -> DataFrame:
+    """Domain, address, stack, niche, confidence, accepted yes/no, reason (whole by default)."""
+    reason = F.coalesce("reason", F.lit(""))
     rows = ver.where("accepted") if accepted_only else ver
     return rows.select(
         *keys, "domain", "url",
         _joined(F.col("platforms"), "|").alias("tech_stack"),
         F.col("vertical").alias("niche"), "confidence",
         F.when(F.col("accepted"), "yes").otherwise("no").alias("accepted"),
-        F.substring(F.coalesce("reason", F.lit("")), 1, 300).alias("reason"),
+        (reason if reason_chars is None else F.substring(reason, 1, reason_chars)).alias("reason"),
     )
 
 
@@ -53,14 +57,22 @@ def write_history(df: DataFrame, path: str, buckets: int = 64, mode: str = "erro
     """Parquet laid out by a hash of the job, so reading one job skips the rest.
 
     Partitioning by ``job_id`` itself would make one folder per job; a fixed
-    number of buckets keeps file counts bounded.  The random salt spreads a job
-    that fills most of its bucket over several writers.
+    number of buckets keeps file counts bounded.  A rebalance lets adaptive
+    execution split a bucket that one job fills over as many writers as it needs.
     """
-    bucket = F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")
-    plain = [name for name, kind in df.dtypes if "map<" not in kind]
-    salted = df.withColumns({
-        "job_bucket": bucket, "_salt": F.pmod(F.xxhash64(*plain), F.lit(8)),
-    })
-    salted.repartition("job_bucket", "_salt").drop("_salt").write.mode(mode).partitionBy(
-        "job_bucket"
-    ).parquet(path)
+    placed = df.withColumn("job_bucket", job_bucket(F.col("job_id"), buckets))
+    placed.hint("rebalance", "job_bucket").write.mode(mode).partitionBy("job_bucket").parquet(path)
+
+
+def job_bucket(job_id: Column, buckets: int = 64) -> Column:
+    return F.pmod(F.xxhash64(job_id), F.lit(buckets)).cast("int")
+
+
+def read_history(spark: SparkSession, path: str, ids: list[str] | None = None, buckets: int = 64) -> DataFrame:
+    """Rows of ``write_history``; with ``ids``, only their buckets are listed and read."""
+    rows = spark.read.parquet(path)
+    if ids is not None:
+        wanted = spark.range(1).select(F.explode(F.lit(list(ids))).alias("id")).select(
+            job_bucket(F.col("id"), buckets).alias("b")).distinct().collect() if ids else []
+        rows = rows.where(F.col("job_bucket").isin([r["b"] for r in wanted])).where(F.col("job_id").isin(list(ids)))
+    return rows.drop("job_bucket")

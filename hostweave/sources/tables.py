@@ -7,30 +7,24 @@ from pyspark.sql import functions as F
 
 from hostweave.functions import markup, urls
 from hostweave.functions.stages import once
+from hostweave.operators.tech import header_text
 
 PARAMS = (
     "keywords string, custom_niche string, vertical string, country string, state string, "
     "city string, area string, tech_stacks array<string>, pages_per_query int, "
     "classify_niche boolean, extract_contacts boolean, skip_tech_filter boolean"
 )
-# Body caps in characters: fingerprints, contacts, rendered pages.
-CAPS = {"tech": 400_000, "contacts": 500_000, "rendered": 800_000}
 
 
-def captured_pages(spark: SparkSession, path: str, use: str = "tech") -> DataFrame:
-    """Captured pages with the body cap of their use."""
-    pages = spread(spark.read.parquet(path))
-    return pages.withColumn("html", F.substring("html", 1, CAPS[use]))
+def captured_pages(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
+    """Captured pages, whole unless the caller names a ``cap`` in characters.
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a table that arrives in fewer splits than there are cores.
-
-    Parquet splits at row groups, so a small table may be a single split and its
-    page work a single task.  A table with enough splits is returned unchanged.
+    A ``headers`` map of the capture becomes ``headers_text``.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    pages = spark.read.parquet(path)
+    if "headers" in pages.columns:
+        pages = pages.withColumn("headers_text", header_text(F.col("headers"))).drop("headers")
+    return pages if cap is None else pages.withColumn("html", F.substring("html", 1, cap))
 
 
 def serp_links(pages: DataFrame, rendered: bool = False) -> DataFrame:

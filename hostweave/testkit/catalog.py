@@ -52,12 +52,6 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*[convert(f) for f in df.schema.fields])
 
 
-# Views whose rows are costly to work on: whole pages, texts and stored JSON.
-COSTLY = {"documents", "fx_pages", "fx_crawl", "fx_rendered", "fx_serp_html", "fx_serp_pages",
-          "fx_fetch_log", "fx_run_log", "fx_history", "fx_responses", "fx_campaigns", "fx_urls",
-          "fx_status_changes"}
-
-
 class Tables:
     """The overlays of one folder, shaped as the operators want them."""
 
@@ -67,8 +61,7 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self._views:
-            table = spark_overlay(self._spark, self._dir, name)
-            self._views[name] = tables.spread(table) if name in COSTLY else table
+            self._views[name] = spark_overlay(self._spark, self._dir, name)
         return self._views[name]
 
     @property
@@ -287,7 +280,7 @@ def failure_classes(t):
 
 @on
 def probe_rollup(t):
-    return fetchlog.probe_rollup(t.fx_probe_log).drop("median_ms")
+    return fetchlog.probe_rollup(t.fx_probe_log)
 
 
 # --- page profiling -----------------------------------------------------------
@@ -297,7 +290,7 @@ def _fingerprint(t, **kw):
 
 
 def _late(t):
-    return tech.fingerprint(t.fx_rendered.select("page_id", "html"), headers=None, cap=800_000)
+    return tech.fingerprint(t.fx_rendered.select("page_id", "html"), headers=None)
 
 
 @on
@@ -334,7 +327,7 @@ def stack_counts(t):
 
 @on
 def page_text(t):
-    return text.page_text(t.fx_pages).select("page_id", "title", "text")
+    return text.page_text(t.fx_pages).select("page_id", "title", "text", "short")
 
 
 @on
@@ -535,7 +528,7 @@ def run_diff(t):
 
 @on
 def remaining_urls(t):
-    return history.remaining_urls(t.urls, t.verified())
+    return history.remaining_urls(t.urls, t.verified("accepted").where("accepted"))
 
 
 @on
@@ -584,7 +577,7 @@ def _lineitem_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _live_rows(rows: DataFrame) -> DataFrame:
     """The history overlay's columns, derived row by row from a stream of line items."""
-    return rows.where("l_quantity > 10").selectExpr(
+    return rows.selectExpr(
         "concat('job_', l_orderkey) as job_id",
         "concat('s', l_suppkey % 20, '.example') as domain",
         "l_linenumber as version",
@@ -625,7 +618,7 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _verdict_columns(ver: DataFrame) -> DataFrame:
     return ver.select("job_id", "requested_host", "domain", "url", "platforms", "vertical",
-                      "confidence", "emails", "phones", "socials", "accepted")
+                      "confidence", "reason", "emails", "phones", "socials", "accepted")
 
 
 def _rendered(t):

@@ -142,8 +142,7 @@ def text_ctes(source: str) -> str:
     """CTE ``texts``: the source plus title and text."""
     return f"""
 full_text as (select *, {visible('html', TEXT_SKIPS)} as ft, {title('html')} as tt from {source}),
-texts as (select * exclude (ft, tt), case when length(ft) >= 100 then tt else '' end as title,
-  case when length(ft) >= 100 then substring(ft, 1, 3000) else '' end as text from full_text)"""
+texts as (select * exclude (ft, tt), tt as title, ft as text, length(ft) < 100 as short from full_text)"""
 
 
 def footer(x: str) -> str:
@@ -161,7 +160,7 @@ def host_words(u: str) -> str:
 
 def path_words(u: str) -> str:
     raw = f"regexp_replace(regexp_extract({absolute(u)}, '{SCHEME}[^/?#]*([^?#]*)', 1), ';[^/]*$', '')"
-    return words(f"lower({raw})") + "[1:8]"
+    return words(f"lower({raw})")
 
 
 def hint(u: str) -> str:
@@ -239,7 +238,7 @@ urls_once as (select job_id, host, seq, tiebreak from url_ranks where rn = 1)"""
 def results(where: str) -> str:
     return f"""with {LATEST} select job_id, domain, url, array_to_string({comma('platforms')}, '|') as tech_stack,
   vertical as niche, confidence, case when accepted = 1 then 'yes' else 'no' end as accepted,
-  substring(coalesce(reason, ''), 1, 300) as reason from latest {where}"""
+  coalesce(reason, '') as reason from latest {where}"""
 
 
 oracle("results_export", results(""))
@@ -302,7 +301,7 @@ both_q as (select * from stack_q union all select * from or_q),
 queries as (with {numbered('both_q')})
 select campaign_id, query_idx, query, cast(page_no as bigint) as page_no,
   'https://www.google.com/search?q=' || replace(url_encode(query), '%20', '+') || '&num=10&start=' || cast(page_no * 10 as varchar) || '&hl=en' as search_url
-from queries join (select campaign_id, unnest(range(0, greatest(1, least(10, pages_per_query)))) as page_no from fx_campaigns) using (campaign_id)""")
+from queries join (select campaign_id, unnest(range(0, greatest(1, pages_per_query))) as page_no from fx_campaigns) using (campaign_id)""")
 
 
 # --- cleaning and collection --------------------------------------------------
@@ -355,13 +354,14 @@ landed as (select 'job_' || cast(page_id % 5 as varchar) as job_id, page_id as w
 ranked as (select *, row_number() over (partition by job_id, domain order by write_order desc, url desc) as rn from landed)
 select job_id, write_order, url, final_url, domain from ranked where rn = 1""")
 oracle("resolve_verdicts", f"""with marked as (select *, trim(vertical) not in ('', 'Unknown') or not regexp_matches(lower(reason), '{"|".join(fixed.TRANSIENT_TOKENS)}') as final from fx_verdicts),
-ranked as (select *, row_number() over (partition by doc_id order by case when final then 0 else 1 end, case when final then n else -n end) as rn from marked where n <= 3)
+ranked as (select *, row_number() over (partition by doc_id order by case when final then 0 else 1 end, case when final then n else -n end) as rn from marked)
 select doc_id, cast(n as bigint) as n, vertical, reason from ranked where rn = 1""")
 CLASS = """case when error = '' then 'ok' when error like '%404%' then '404' when error like '%401%' or error like '%403%' then 'auth'
   when error like '%429%' then '429' when lower(error) like '%timeout%' then 'timeout' else 'other' end"""
 oracle("failure_classes", f"""select model, {CLASS} as failure_class, count(*) as n_probes, min(elapsed_ms) as min_ms, max(elapsed_ms) as max_ms from fx_probe_log group by 1, 2""")
 oracle("probe_rollup", """select model, count(*) as n_probes, count(*) filter (where error = '') as n_ok,
-  cast(count(*) filter (where error = '') as double) / count(*) as ok_rate from fx_probe_log group by 1""")
+  cast(count(*) filter (where error = '') as double) / count(*) as ok_rate,
+  quantile_disc(elapsed_ms, 0.5) as median_ms from fx_probe_log group by 1""")
 
 
 # --- page profiling -----------------------------------------------------------
@@ -371,13 +371,13 @@ MARKERS = f"markers(pi, platform, mi, marker) as (values {values([(i, p, j, m) f
 
 def hits(name: str, source: str, key: str, blob: str) -> str:
     return f"""{name}_blob as (select {key}, {blob} as b from {source}),
-{name}_own as (select {key}, platform, list(marker order by mi)[1:3] as evidence from {name}_blob join markers on contains(b, marker) group by {key}, platform),
+{name}_own as (select {key}, platform, list(marker order by mi) as evidence from {name}_blob join markers on contains(b, marker) group by {key}, platform),
 {name} as (select * from {name}_own union all select {key}, 'WordPress', null from {name}_own w where platform = 'WooCommerce'
   and not exists (select 1 from {name}_own o where o.{key} = w.{key} and o.platform = 'WordPress'))"""
 
 
-HITS = MARKERS + ", " + hits("hits", "fx_pages", "page_id", "lower(substring(html, 1, 400000)) || ' ' || lower(headers_text)")
-LATE = hits("late", "fx_rendered", "page_id", "lower(substring(html, 1, 800000))")
+HITS = MARKERS + ", " + hits("hits", "fx_pages", "page_id", "lower(html) || ' ' || lower(headers_text)")
+LATE = hits("late", "fx_rendered", "page_id", "lower(html)")
 oracle("tech_fingerprint", f"with {HITS} select page_id, platform, array_to_string(evidence, '|') as evidence from hits_own")
 oracle("tech_implied", f"with {HITS} select page_id, platform, array_to_string(evidence, '|') as evidence from hits")
 oracle("tech_merge", f"""with {HITS}, {LATE} select page_id, platform, array_to_string(evidence, '|') as evidence from (
@@ -390,7 +390,7 @@ SPA = "(" + " or ".join(f"contains(html, {lit(m)})" for m in fixed.SPA_MARKERS)
 oracle("spa_pages", f"select {host('url')} as host, count(*) as n_pages, count(*) filter (where {SPA}) as n_spa from fx_pages group by 1")
 oracle("stack_counts", f"""with {HITS} select platform, count(distinct {host('url')}) as n_sites, count(*) as n_pages
 from hits join fx_pages using (page_id) group by 1""")
-oracle("page_text", f"with {text_ctes('fx_pages')} select page_id, title, text from texts")
+oracle("page_text", f"with {text_ctes('fx_pages')} select page_id, title, text, short from texts")
 TOKENS = f"""tokens as (select url, 'host' as part, cast(generate_subscripts(w, 1) - 1 as bigint) as pos, unnest(w) as token from (select url, {host_words('url')} as w from pages)
 union all select url, 'path', cast(generate_subscripts(w, 1) - 1 as bigint), unnest(w) from (select url, {path_words('url')} as w from pages))"""
 oracle("url_tokens", f"with {TOKENS} select * from tokens")
@@ -485,7 +485,7 @@ def link_ctes(p: str, crawl: str, sites: str) -> str:
 {p}site_order as (select site, url, min(pos) as pos from {p}page_order group by 1, 2),
 {p}unseen as (select s.* from {p}site_order s where rtrim(url, '/') <> site and not exists (select 1 from paths where s.url = s.site || path)),
 {p}link_ranks as (select site, url, row_number() over (partition by site order by pos, url) as nth from {p}unseen where url in (select {canon('url')} from {crawl})),
-{p}links as (select site, nth + 15 as stage, url from {p}link_ranks where nth <= 3)"""
+{p}links as (select site, nth + 15 as stage, url from {p}link_ranks)"""
 
 
 def cascade_ctes(p: str, crawl: str, sites: str, rendered: str) -> str:
@@ -523,13 +523,13 @@ oracle("contact_cascade", f"with {CASCADE} select site, kind, network, value, st
 
 
 def assembled(name: str, source: str) -> str:
-    def listed(kind, net, cap):
-        return f"(list(value order by value) filter (where kind = '{kind}' and network = '{net}'))[1:{cap}]"
+    def listed(kind, net):
+        return f"list(value order by value) filter (where kind = '{kind}' and network = '{net}')"
     nets = ", ".join(
-        f"case when count(*) filter (where network = '{n}') > 0 then '{n}=' || array_to_string({listed('social', n, 5)}, ',') end"
+        f"case when count(*) filter (where network = '{n}') > 0 then '{n}=' || array_to_string({listed('social', n)}, ',') end"
         for n in sorted(fixed.SOCIAL_PATTERNS))
-    return f"""{name} as (select site, coalesce(array_to_string({listed('email', '', 10)}, '|'), '') as emails,
-  coalesce(array_to_string({listed('phone', '', 8)}, '|'), '') as phones,
+    return f"""{name} as (select site, coalesce(array_to_string({listed('email', '')}, '|'), '') as emails,
+  coalesce(array_to_string({listed('phone', '')}, '|'), '') as phones,
   array_to_string(list_filter([{nets}], lambda v: v is not null), '|') as socials from {source} group by site)"""
 
 
@@ -549,7 +549,7 @@ parsed as (select *, try_cast(o as json) as j from objects),
 read_ as (select *, case when j is not null then coalesce(try_cast(coalesce(j->>'$.confidence', '0') as double), -1) else -1 end as conf from parsed)
 select conv_id, cast(turn as bigint) as turn, case when r = '' then 'Unknown' when conf >= 0 then coalesce(j->>'$.vertical', 'Other') else 'Other' end as vertical,
   case when r <> '' and conf >= 0 then conf else 0.0::double end as confidence,
-  case when r = '' then 'model returned empty response' when conf >= 0 then coalesce(j->>'$.reason', '') else 'could not parse JSON · raw: ' || substring(c, 1, 200) end as reason from read_""")
+  case when r = '' then 'model returned empty response' when conf >= 0 then coalesce(j->>'$.reason', '') else 'could not parse JSON · raw: ' || c end as reason from read_""")
 
 
 def lexicon_ctes(source: str) -> str:
@@ -581,19 +581,19 @@ from latest l left join urls_once u on l.job_id = u.job_id and l.domain = u.host
 def rules(source: str = "latest") -> str:
     return f"""
 rules as (select id as job_id, {comma('stacks')} as st, case when trim(custom_niche) <> '' then trim(custom_niche) when vertical <> 'all' then vertical else '' end as niche,
-  classify_niche, skip_tech_filter from fx_jobs),
+  classify_niche, skip_tech_filter, extract_contacts from fx_jobs),
 label_counts as (select job_id, count(*) as n_rows, count(*) filter (where not {UNLABELLED}) as n_ok from {source} group by 1),
 policy as (select r.*, classify_niche and niche <> '' as wanted, coalesce(n_ok, 0) = 0 and coalesce(n_rows, 0) > 0 as none_ok from rules r left join label_counts using (job_id))"""
 
 
 def accepted(platforms: str, apply: str, skip: str) -> str:
-    return (f"(({skip} or case when len(st) > 0 then len(list_intersect({platforms}, st)) > 0 else len({platforms}) > 0 end) "
-            f"and (not ({apply}) or lower(trim(coalesce(vertical, ''))) = lower(niche)))")
+    return (f"((coalesce({skip}, false) or case when len(st) > 0 then len(list_intersect({platforms}, st)) > 0 else len({platforms}) > 0 end) "
+            f"and (not coalesce({apply}, false) or lower(trim(coalesce(vertical, ''))) = lower(niche)))")
 
 
 oracle("niche_fallback", f"with {LATEST}, {rules()} select job_id, niche, wanted and not none_ok as apply_niche, wanted and none_ok as niche_fallback from policy")
-oracle("accept", f"""with {LATEST}, {rules()} select job_id, domain, {accepted(comma('platforms'), 'wanted and not none_ok', 'skip_tech_filter')} as accepted from latest join policy using (job_id)""")
-oracle("accept_resume", f"""with {LATEST}, {rules()} select job_id, domain, {accepted(comma('platforms'), 'wanted', 'false')} as accepted from latest join policy using (job_id)""")
+oracle("accept", f"""with {LATEST}, {rules()} select job_id, domain, {accepted(comma('platforms'), 'wanted and not none_ok', 'skip_tech_filter')} as accepted from latest left join policy using (job_id)""")
+oracle("accept_resume", f"""with {LATEST}, {rules()} select job_id, domain, {accepted(comma('platforms'), 'wanted', 'false')} as accepted from latest left join policy using (job_id)""")
 oracle("run_summary", f"""with {LATEST}, {FIRST_URLS}, ids as (select job_id from urls_once union select job_id from latest)
 select job_id, (select count(*) from urls_once u where u.job_id = i.job_id) as collected, (select count(*) from latest v where v.job_id = i.job_id) as analysed,
   (select count(*) from latest v where v.job_id = i.job_id and accepted = 1) as matched, (select count(*) from latest v where v.job_id = i.job_id and accepted = 0) as rejected,
@@ -635,7 +635,7 @@ oracle("previous_run", f"with {PREVIOUS} select * from pairs")
 oracle("new_hosts", f"with {DIFF} select * from fresh")
 oracle("run_diff", f"""with {DIFF} select job_id, prev_job_id, (select count(*) from fresh f where f.job_id = l.job_id) as new_count,
   (select count(*) from hosts h where h.job_id = l.prev_job_id) as prev_total from linked l""")
-oracle("remaining_urls", f"with {FIRST_URLS} select job_id, host, cast(seq as bigint) as seq, tiebreak from urls_once u where not exists (select 1 from fx_history v where v.job_id = u.job_id and v.domain = u.host)")
+oracle("remaining_urls", f"with {LATEST}, {FIRST_URLS} select job_id, host, cast(seq as bigint) as seq, tiebreak from urls_once u where not exists (select 1 from latest v where v.accepted = 1 and v.job_id = u.job_id and v.domain = u.host)")
 oracle("backfill_set", f"with {LATEST} select job_id, domain, cast(version as bigint) as version from latest where emails = '' and phones = '' and {SOCIAL_TEXT} = ''")
 oracle("patch_rows", f"""with {FIRST_URLS}, ranked as (select *, row_number() over (partition by job_id, url order by version, tiebreak) as rn from fx_history)
 select r.job_id, domain, cast(version as bigint) as version, r.tiebreak, vertical, case when u.host is not null then 'new@' || u.host else array_to_string({comma('emails')}, '|') end as emails,
@@ -652,7 +652,7 @@ oracle("schema_upgrade", """select job_id, domain, cast(version as bigint) as ve
 # --- streams ------------------------------------------------------------------
 
 LIVE = """live as (select job_id, domain, version, tiebreak, case when l_returnflag = 'N' then 'Unknown' when l_returnflag = 'A' then 'Jewelry' else 'Fashion' end as vertical, l_linestatus = 'F' as accepted
-from (select 'job_' || cast(l_orderkey as varchar) as job_id, 's' || cast(l_suppkey % 20 as varchar) || '.example' as domain, l_linenumber as version, l_partkey * 100000000 + l_suppkey * 10000 + cast(l_quantity * 100 as bigint) as tiebreak, l_returnflag, l_linestatus from lineitem where l_quantity > 10))"""
+from (select 'job_' || cast(l_orderkey as varchar) as job_id, 's' || cast(l_suppkey % 20 as varchar) || '.example' as domain, l_linenumber as version, l_partkey * 100000000 + l_suppkey * 10000 + cast(l_quantity * 100 as bigint) as tiebreak, l_returnflag, l_linestatus from lineitem))"""
 oracle("stream_first", "select distinct job_id, host from fx_urls")
 oracle("stream_upsert", f"""with {LIVE}, r as (select *, row_number() over (partition by job_id, domain order by version desc, tiebreak desc) as rn from live)
 select job_id, domain, cast(version as bigint) as version, tiebreak, vertical, accepted from r where rn = 1""")
@@ -675,8 +675,8 @@ def profile_ctes(p: str, wanted: str) -> str:
     order = "src, case when evidence is null then 1 else 0 end, pi"
     return f"""
 {p}pages as (select w.url, landed, headers_text, html from {wanted} w join run_pages r using (url)),
-{hits(p + 'static', p + 'pages', 'url', "lower(substring(html, 1, 400000)) || ' ' || lower(headers_text)")},
-{hits(p + 'shown', 'run_rendered', 'url', 'lower(substring(html, 1, 800000))')},
+{hits(p + 'static', p + 'pages', 'url', "lower(html) || ' ' || lower(headers_text)")},
+{hits(p + 'shown', 'run_rendered', 'url', 'lower(html)')},
 {p}again as (select w.url from {wanted} w left join {p}static s using (url) group by w.url having count(*) filter (where s.platform not in {FRAMEWORK_LIST}) = 0),
 {p}all_hits as (select url, platform, evidence, 0 as src from {p}static union all
   select url, platform, evidence, 1 from {p}shown l where url in (select url from {p}again) and not exists (select 1 from {p}static s where s.url = l.url and s.platform = l.platform)),
@@ -695,16 +695,18 @@ def verify_ctes(p: str, collected: str) -> str:
     return f"""
 {p}wanted as (select distinct url from {collected}),
 {profile_ctes(p, p + 'wanted')},
-{p}rows as (select c.job_id, c.host as requested_host, {host('r.landed')} as domain, r.landed as url, platforms, vertical, confidence,
-  coalesce(emails, '') as emails, coalesce(phones, '') as phones, coalesce(socials, '') as socials,
+{p}rows as (select c.job_id, c.host as requested_host, {host('r.landed')} as domain, r.landed as url, platforms,
+  case when coalesce(j.classify_niche, true) then r.vertical else 'Unknown' end as vertical, case when coalesce(j.classify_niche, true) then confidence else 0.0::double end as confidence,
+  case when coalesce(j.classify_niche, true) then reason else '' end as reason,
+  case when j.extract_contacts then coalesce(emails, '') else '' end as emails, case when j.extract_contacts then coalesce(phones, '') else '' end as phones, case when j.extract_contacts then coalesce(socials, '') else '' end as socials,
   row_number() over (partition by c.job_id, {host('r.landed')} order by w desc, c.host desc) as rn
-  from {collected} c join {p}profiles r using (url) left join {p}contacts k on k.site = rtrim({canon('r.landed')}, '/')),
+  from {collected} c join {p}profiles r using (url) left join {p}contacts k on k.site = rtrim({canon('r.landed')}, '/') left join fx_jobs j on j.id = c.job_id),
 {p}ver as (select * exclude (rn) from {p}rows where rn = 1)"""
 
 
 def decided(ver: str, apply: str, skip: str) -> str:
-    return f"""{rules(ver)} select job_id, requested_host, domain, url, array_to_string(platforms, '|') as platforms, vertical, confidence, emails, phones, socials,
-  {accepted('platforms', apply, skip)} as accepted from {ver} join policy using (job_id)"""
+    return f"""{rules(ver)} select job_id, requested_host, domain, url, array_to_string(platforms, '|') as platforms, vertical, confidence, reason, emails, phones, socials,
+  {accepted('platforms', apply, skip)} as accepted from {ver} left join policy using (job_id)"""
 
 
 RUN_URLS = f"""{clean_ctes('fx_run_links')}, {first_host('job_id', 'query_idx, page_no, rank')},
@@ -719,12 +721,13 @@ known as (select job_id, host as requested_host, url, host as domain, case when
   case when rank % 4 < 2 then 'old@shop.co' else '' end as emails from collected where query_idx = 0),
 todo as (select job_id, host, url, w from collected c where not exists (select 1 from known k where k.job_id = c.job_id and k.requested_host = c.host)),
 {verify_ctes('v_', 'todo')},
-a_wanted as (select distinct url from known where vertical = 'Unknown' or emails = ''),
+flagged as (select k.*, k.vertical = 'Unknown' and coalesce(j.classify_niche, true) as ask, k.emails = '' and coalesce(j.extract_contacts, false) as bare from known k left join fx_jobs j on j.id = k.job_id),
+a_wanted as (select distinct url from flagged where ask or bare),
 {profile_ctes('a_', 'a_wanted')},
-patched as (select k.job_id, k.requested_host, k.domain, k.url, ['Wix'] as platforms, case when k.vertical = 'Unknown' then p.vertical else k.vertical end as vertical,
-  case when k.vertical = 'Unknown' then p.confidence else k.confidence end as confidence, case when k.emails = '' then coalesce(c.emails, '') else k.emails end as emails,
-  case when k.emails = '' then coalesce(c.phones, '') else '' end as phones, case when k.emails = '' then coalesce(c.socials, '') else '' end as socials
-  from known k left join a_profiles p using (url) left join a_contacts c on c.site = rtrim(k.url, '/')),
+patched as (select k.job_id, k.requested_host, k.domain, k.url, ['Wix'] as platforms, case when k.ask then p.vertical else k.vertical end as vertical,
+  case when k.ask then p.confidence else k.confidence end as confidence, case when k.ask then p.reason else '' end as reason, case when k.bare then coalesce(c.emails, '') else k.emails end as emails,
+  case when k.bare then coalesce(c.phones, '') else '' end as phones, case when k.bare then coalesce(c.socials, '') else '' end as socials
+  from flagged k left join a_profiles p using (url) left join a_contacts c on c.site = rtrim(k.url, '/')),
 every as (select *, 0 as round_ from patched union all select *, 1 from v_ver),
 every_rank as (select *, row_number() over (partition by job_id, domain order by round_ desc, requested_host desc) as rn from every),
 current_rows as (select * exclude (rn, round_) from every_rank where rn = 1), {decided('current_rows', 'wanted', 'false')}""")

@@ -109,7 +109,7 @@ select concat('job_', cast(o_orderkey as string)) as id, o_orderdate as created_
   concat('City', cast(o_custkey % 10 as string)) as city, case when o_custkey % 7 = 0 then null else '' end as state,
   'X' as country, '' as area,
   case o_custkey % 4 when 0 then '' when 1 then 'Shopify' when 2 then 'Shopify,WooCommerce' else case when o_orderkey % 2 = 0 then 'React,Wix' else 'Wix,React' end end as stacks,
-  o_custkey % 12 as pages_per_query, o_custkey % 6 <> 5 as classify_niche, o_custkey % 8 = 0 as skip_tech_filter
+  o_custkey % 12 as pages_per_query, o_custkey % 6 <> 5 as classify_niche, o_custkey % 4 <> 3 as extract_contacts, o_custkey % 8 = 0 as skip_tech_filter
 from @orders
 """,
     "fx_jobs_raw": """
@@ -131,7 +131,7 @@ select concat('job_', cast(l_orderkey as string)) as job_id, concat('s', cast(l_
   case l_partkey % 4 when 0 then 'a@b.co,c@d.co' when 1 then 'x@y.io' else '' end as emails,
   case l_partkey % 6 when 0 then '+15551234567' else '' end as phones,
   case l_partkey % 5 when 0 then '{"instagram": ["shopa", "shopb"], "tiktok": ["t"]}' when 1 then '{"instagram": ["cut' when 2 then '{}' else '' end as socials
-from @lineitem where l_quantity > 10
+from @lineitem
 """,
     "fx_status_changes": """
 select concat('job_', cast(l_orderkey + 500 as string)) as id, cast(l_linenumber as bigint) * 10000000000 + l_partkey * 1000000 + l_suppkey * 100 + cast(l_quantity as bigint) as seq, l_shipdate as changed_at,
