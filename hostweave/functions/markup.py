@@ -86,5 +86,6 @@ def anchor_tags(html: Column) -> Column:
 
 
 def href_of(tag: Column) -> Column:
-    raw = F.regexp_extract(tag, r"""(?is)^<a\b[^>]*?\shref\s*=\s*["']([^"']*)["']""", 1)
+    pattern = r"""(?is)^<a\b[^>]*?\shref\s*=\s*(?:["']([^"']*)["']|([^\s"'>]+))"""
+    raw = F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2))
     return F.replace(raw, F.lit("&amp;"), F.lit("&"))

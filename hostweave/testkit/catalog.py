@@ -175,6 +175,36 @@ def job_detail(t):
     return tables.job_detail(t.urls, t.verified(), ids)
 
 
+@query
+def pages_profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored captures, read back whole with their header map, and fingerprinted."""
+    path = work_dir(spark, "captured")
+    t = Tables(spark, sf_dir)
+    headers = F.create_map(F.lit("server"), F.lit("nginx"), F.lit("x-page"), F.col("page_id").cast("string"))
+    t.fx_pages.select("page_id", "html", headers.alias("headers")).write.parquet(path)
+    hits = tech.fingerprint(tables.captured_pages(spark, path))
+    return flat(tech.explode_hits(hits))
+
+
+@query
+def results_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results table written as TSV and read back."""
+    path = work_dir(spark, "results-tsv")
+    table = exports.results_table(Tables(spark, sf_dir).verifications, keys=("job_id",))
+    exports.write_tsv(table, path)
+    return spark.read.schema(table.schema).csv(
+        path, header=True, sep="\t", quote='"', escape='"', multiLine=True).fillna("")
+
+
+@query
+def history_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verification rows of a few jobs from a bucketed history; other buckets are not read."""
+    path = work_dir(spark, "history")
+    exports.write_history(Tables(spark, sf_dir).verified("vertical", "accepted"), path)
+    rows = exports.read_history(spark, path, [f"job_{i}" for i in range(1, 40)])
+    return flat(rows.select("job_id", "domain", "version", "vertical", "accepted"))
+
+
 # --- query expansion ----------------------------------------------------------
 
 @on

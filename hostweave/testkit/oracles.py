@@ -175,7 +175,8 @@ def flat_list(x: str) -> str:
 # --- sources and sinks --------------------------------------------------------
 
 def href(tag: str) -> str:
-    raw = f"""regexp_extract({tag}, '(?is)^<a\\b[^>]*?\\shref\\s*=\\s*["'']([^"'']*)["'']', 1)"""
+    pattern = r"""'(?is)^<a\b[^>]*?\shref\s*=\s*(?:["'']([^"'']*)["'']|([^\s"''>]+))'"""
+    raw = f"(regexp_extract({tag}, {pattern}, 1) || regexp_extract({tag}, {pattern}, 2))"
     return f"replace({raw}, '&amp;', '&')"
 
 
@@ -243,6 +244,9 @@ def results(where: str) -> str:
 
 oracle("results_export", results(""))
 oracle("results_export_accepted", results("where accepted = 1"))
+oracle("results_tsv", results(""))
+oracle("history_lookup", f"""with {LATEST} select job_id, domain, cast(version as bigint) as version, vertical, accepted = 1 as accepted
+from latest where job_id in (select 'job_' || i from range(1, 40) r(i))""")
 oracle("outreach_export", f"""with {LATEST} select job_id, domain, url, vertical as niche, confidence,
   array_to_string({comma('platforms')}, '|') as tech_stack, array_to_string({comma('emails')}, '; ') as emails,
   array_to_string({comma('phones')}, '; ') as phones,
@@ -379,6 +383,8 @@ def hits(name: str, source: str, key: str, blob: str) -> str:
 HITS = MARKERS + ", " + hits("hits", "fx_pages", "page_id", "lower(html) || ' ' || lower(headers_text)")
 LATE = hits("late", "fx_rendered", "page_id", "lower(html)")
 oracle("tech_fingerprint", f"with {HITS} select page_id, platform, array_to_string(evidence, '|') as evidence from hits_own")
+oracle("pages_profiled", f"""with {MARKERS}, {hits('hits', 'fx_pages', 'page_id', "lower(html) || ' server:nginx x-page:' || cast(page_id as varchar)")}
+select page_id, platform, array_to_string(evidence, '|') as evidence from hits""")
 oracle("tech_implied", f"with {HITS} select page_id, platform, array_to_string(evidence, '|') as evidence from hits")
 oracle("tech_merge", f"""with {HITS}, {LATE} select page_id, platform, array_to_string(evidence, '|') as evidence from (
 select * from hits union all select * from late l where not exists (select 1 from hits h where h.page_id = l.page_id and h.platform = l.platform))""")

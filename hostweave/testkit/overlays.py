@@ -77,7 +77,7 @@ from @pages
     "fx_serp_html": """
 select page_id, case page_id % 3 when 0 then 'google' when 1 then 'bing' else 'ddg' end as engine,
   case page_id % 3
-    when 0 then concat('<a href="/url?q=https%3A%2F%2Fshop', cast(page_id as string), '.com%2Fx&amp;sa=U">r</a><a href="https://maps.google.com/x">m</a><a class="z" href="', url, '">d</a><a href="/url?sa=1">n</a>', html)
+    when 0 then concat('<a href="/url?q=https%3A%2F%2Fshop', cast(page_id as string), '.com%2Fx&amp;sa=U">r</a><a href="https://maps.google.com/x">m</a><a class="z" href="', url, '">d</a><a href="/url?sa=1">n</a><a class=p href=https://plain', cast(page_id as string), '.com/q?a=1&amp;b=2 rel=x>u</a>', html)
     when 1 then concat('<ol><li class="b_algo b2"><h2><a href="', url, '">t</a></h2><a href="https://skip.com/">s</a></li><li class="b_ad"><h2><a href="https://ad.com/">a</a></h2></li><li class="b_algo"><div></div><h2 class="q"><a target="_blank" href="/local">l</a><a href="https://b', cast(page_id as string), '.com/">t</a></h2></li></ol>', html)
     else concat('<a rel="nofollow" class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fd', cast(page_id as string), '.com%2F&amp;rut=1">t</a><a class="x result__url" href="', url, '">u</a><a class="result__snippet" href="https://no.com">s</a>', html)
   end as html

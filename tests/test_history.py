@@ -138,7 +138,9 @@ def test_verdict_and_response_rules(spark):
         (2, 1, "Unknown", "model rejection"), (2, 2, "Jewelry", ""),
         (3, 1, "Unknown", "timeout"), (3, 2, "", "rate"), (3, 3, "Unknown", "5xx"), (3, 4, "Retail", ""),
     ], "doc_id int, n int, vertical string, reason string")
-    got = {r.doc_id: (r.n, r.vertical) for r in fetchlog.resolve_verdicts(attempts).collect()}
+    whole = {r.doc_id: (r.n, r.vertical) for r in fetchlog.resolve_verdicts(attempts).collect()}
+    assert whole[3] == (4, "Retail")
+    got = {r.doc_id: (r.n, r.vertical) for r in fetchlog.resolve_verdicts(attempts, limit=3).collect()}
     assert got == {1: (3, "Jewelry"), 2: (1, "Unknown"), 3: (3, "Unknown")}
     responses = {
         '<think>{"vertical":"Other"}</think>{"vertical":"Jewelry","confidence":0.9}': ("Jewelry", 0.9),
@@ -173,7 +175,7 @@ def test_exports_round_trip(spark, tmp_path):
     exports.write_tsv(exports.outreach_table(ver, accepted_only=True), f"{tmp_path}/tsv")
     row = spark.read.csv(f"{tmp_path}/csv", header=True, escape='"').collect()[0]
     assert (row.tech_stack, row.accepted) == ("Wix|React", "yes")
-    assert row.reason.startswith('say "hi",\tthen') and len(row.reason) == 300
+    assert row.reason.startswith('say "hi",\tthen') and len(row.reason) == len('say "hi",\tthen') + 400
     row = spark.read.csv(f"{tmp_path}/tsv", header=True, sep="\t", escape='"').collect()[0]
     assert (row.emails, row.tiktok, row.instagram) == ("e@a.co; f@a.co", "t1; t2", None)
     assert len(row) == 15
@@ -232,3 +234,61 @@ def test_hot_job_gives_same_counts_in_any_layout(spark):
     ]
     assert results[0] == results[1]
     assert ("hot", 3000, 3000, 1500, 1500, 0, 3000) in results[0]
+
+
+# --- rows that joins must neither lose nor multiply -----------------------------
+
+def test_rows_of_unknown_jobs_stay_and_are_decided(spark):
+    ver = spark.createDataFrame([("a", "x.com", ["Wix"], "Jewelry"), ("ghost", "y.com", ["Wix"], "Unknown"),
+                                 ("ghost", "z.com", [], "Unknown")],
+                                "job_id string, domain string, platforms array<string>, vertical string")
+    jobs = spark.createDataFrame([("a", ["Shopify"], "", "all", True, False)],
+                                 "id string, tech_stacks array<string>, custom_niche string, vertical string, "
+                                 "classify_niche boolean, skip_tech_filter boolean")
+    for policy in ("run", "resume"):
+        got = {r.domain: r.accepted for r in acceptance.accept(ver, jobs, policy).collect()}
+        assert got == {"x.com": False, "y.com": True, "z.com": False}
+
+
+def test_duplicate_live_ids_verdicts_and_null_times(spark):
+    jobs = spark.createDataFrame([("a", "running", None), ("b", "running", None)],
+                                 "id string, status string, ended_at timestamp_ntz")
+    live = spark.createDataFrame([("a",), ("a",)], "id string")
+    assert history.recover_orphans(jobs, live, F.lit(None).cast("timestamp_ntz")).count() == 2
+    ver = spark.createDataFrame([("a", "x.com", "Unknown", 0.0, "")],
+                                "job_id string, domain string, vertical string, confidence double, reason string")
+    verdicts = spark.createDataFrame([("a", "x.com", "Old", 0.5, "r", 1), ("a", "x.com", "New", 0.4, "r", 2)],
+                                     "job_id string, domain string, vertical string, confidence double, reason string, n int")
+    swept = labels.sweep_unknown(ver, verdicts, order=("n",)).collect()
+    assert [r.vertical for r in swept] == ["New"]
+    columns = "id string, created_at timestamp_ntz, status string, tech_stacks array<string>, " + ", ".join(
+        f"{c} string" for c in history.SIMILAR_KEYS)
+    same = spark.createDataFrame([("n1", None, "done", [], *[""] * 6), ("n2", None, "done", [], *[""] * 6)], columns)
+    assert sorted(tuple(r) for r in history.previous_run(same).collect()) == [("n1", None), ("n2", None)]
+
+
+def test_first_rows_carry_maps_and_upgrades_keep_nulls(spark):
+    rows = spark.createDataFrame([(1, 2, {"a": "b"}), (1, 1, {"c": "d"})], "k int, o int, m map<string,string>")
+    assert collect.first_by(rows, ["k"], ["o"]).first().m == {"c": "d"}
+    old = spark.createDataFrame([(1,)], "k int")
+    new = spark.createDataFrame([(2, None)], "k int, t string")
+    assert {r.k: r.t for r in history.upgrade(old, new).collect()} == {1: "", 2: None}
+
+
+def test_history_lookup_lists_only_its_buckets(spark, tmp_path):
+    rows = spark.range(500).selectExpr("concat('job_', id) as job_id", "id as n")
+    exports.write_history(rows, str(tmp_path / "h"))
+    found = exports.read_history(spark, str(tmp_path / "h"), ["job_7"])
+    assert [r.n for r in found.collect()] == [7]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "job_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_runs_read_only_wanted_hosts(spark):
+    from hostweave.plans import runs
+    log = spark.createDataFrame(
+        [(f"https://s{i}.com/", 1, 200, "", "", "<p>body</p>") for i in range(50)],
+        "url string, attempt int, status int, final_url string, headers_text string, body string")
+    wanted = spark.createDataFrame([("https://s3.com/",)], "url string")
+    pages = runs.resolved_pages(log, wanted)
+    assert [r.url for r in pages.collect()] == ["https://s3.com/"]

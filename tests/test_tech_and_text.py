@@ -31,9 +31,9 @@ def test_markers_match_a_plain_scan(spark):
 
 def test_headers_and_implied(spark):
     got = scan(spark, [(1, "", "X-ShopId: 1"), (2, "wc_add_to_cart", None), (3, None, None),
-                       (4, "x" * 400_000 + "cdn.shopify.com", "")])
+                       (4, "x" * 900_000 + "cdn.shopify.com", "")])
     assert got == {1: {"Shopify": ["x-shopid"]},
-                   2: {"WooCommerce": ["wc_add_to_cart"], "WordPress": None}, 3: {}, 4: {}}
+                   2: {"WooCommerce": ["wc_add_to_cart"], "WordPress": None}, 3: {}, 4: {"Shopify": ["cdn.shopify.com"]}}
 
 
 def test_rerender_and_merge(spark):
@@ -76,11 +76,11 @@ def test_visible_text(spark):
     assert got == pages
 
 
-def test_short_pages_are_empty(spark):
+def test_short_pages_are_flagged_and_whole(spark):
     df = spark.createDataFrame([("<title> T </title><p>" + "x" * 97 + "</p>",), ("<title>T</title>" + "y" * 4000,)],
                                "html string")
     rows = text.page_text(df).collect()
-    assert [(r.title, len(r.text)) for r in rows] == [("T", 97), ("T", 4000)]
+    assert [(r.title, len(r.text), r.short) for r in rows] == [("T", 99, True), ("T", 4002, False)]
 
 
 def test_footer_like_blocks(spark):
