@@ -179,18 +179,13 @@ def identify(docs: DataFrame, classifier: Classifier) -> DataFrame:
 
     Texts that are null or hold no letter get ``und`` and 0, as does everything if
     no language was learned.  ``score`` is the share of phrases that the winner saves
-    against the next language; equal counts go to the first name and score 0.
+    against the next language; equal counts go to the first name and score 0.  The
+    classifier travels with the tasks; its size is bounded by ``train``.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(classifier)
-
-    def run(batches: Batches) -> Batches:
-        yield from _predict(shared.value)(batches)
-
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = bounded_batches(docs).select(
         "doc_id", "held_out", F.when(letters, prepared(F.col("text"))).otherwise("").alias("prepared"))
-    return rows.mapInArrow(run, RESULT)
+    return rows.mapInArrow(_predict(classifier), RESULT)
 
 
 def identify_held_out(docs: DataFrame) -> DataFrame:
