@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hostweave.functions import fixed, markup, urls
 from hostweave.functions.stages import once
-from hostweave.operators import tech
+from hostweave.operators import tech, text
 
 VALUE_TYPE = "array<struct<kind:string,network:string,value:string>>"
 KINDS = ("email", "phone", "social")
@@ -266,9 +266,8 @@ def contact_candidates(sites: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
-def link_targets(home: Column, html: Column) -> Column:
+def link_targets(home: Column, html: Column, footer: Column) -> Column:
     """Contact-like same-host links in the footer, or in the page if it has none."""
-    footer = markup.strict_footer(html)
     region = F.when(footer != "", footer).otherwise(html)
     origin = F.regexp_extract(home, "^(https?://[^/?#]+)", 1)
     words = "|".join(fixed.CONTACT_LINK_WORDS)
@@ -294,7 +293,8 @@ def footer_links(sites: DataFrame, pages: DataFrame, limit: int | None = None) -
     """The captured pages a site's home page links as contact pages, in page order."""
     homes = page_roles(pages.select("url", "html")).where(F.col("stage") == HOME)
     homes = homes.join(sites.select("site"), "site", "left_semi")
-    homes = once(homes, {"links": link_targets(F.col("url"), F.col("html"))})
+    homes = text.with_footer(homes, name="_footer")
+    homes = once(homes, {"links": link_targets(F.col("url"), F.col("html"), F.col("_footer"))})
     links = homes.select("site", F.posexplode("links").alias("pos", "url"))
     return first_links(links, pages.select(urls.canonical_url(F.col("url")).alias("url")), limit)
 
@@ -326,7 +326,8 @@ def page_contacts(pages: DataFrame, html: str = "html", landed: str = "url") ->
     one expression over an array, which keeps the plan a third of the size.
     """
     keep = [c for c in pages.columns if c != html]
-    staged = once(pages, _page_columns(html, landed), drop=(html,))
+    marked = text.with_footer(pages, html, "_footer")
+    staged = once(marked, _page_columns(html, landed), drop=(html, "_footer"))
     return staged.select(
         *keep, F.col("_found")[0].alias("payload"), F.col("_found")[1].alias("footer"),
         F.col("_found")[2].alias("whole"), "links", "spa",
@@ -337,11 +338,11 @@ def page_contacts(pages: DataFrame, html: str = "html", landed: str = "url") ->
 def _page_columns(html: str, landed: str) -> dict[str, Column]:
     page = F.col(html)
     places = F.array(
-        F.array_join(payloads(page), "\n\x01.\x01\n"), markup.strict_footer(page), page
+        F.array_join(payloads(page), "\n\x01.\x01\n"), F.col("_footer"), page
     )
     return {
         "_found": F.transform(places, contacts_in),
-        "links": link_targets(F.col(landed), page), "spa": tech.looks_like_spa(page),
+        "links": link_targets(F.col(landed), page, F.col("_footer")), "spa": tech.looks_like_spa(page),
     }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -64,29 +64,38 @@ def token_frequency(tokens: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
-def page_footers(pages: DataFrame, html: str = "html", heuristic: bool = True) -> DataFrame:
-    """Replace a page's markup by its ``footer``.
+def _marked_blocks() -> Callable[[Column], Column]:
+    """A vectorised search for footer-like blocks; null stays null."""
+    find, hints = blocks.marked_block, tuple(fixed.FOOTER_HINTS)
+
+    @F.pandas_udf("string")
+    def marked(html: pd.Series) -> pd.Series:
+        return html.map(lambda page: None if page is None else find(page, hints))
 
-    A real ``<footer>`` is cut out natively.  Only pages without one that do
-    carry a footer-like class, id or role go through Python, because finding
-    the matching close tag needs a tag counter.
+    return marked
+
+
+def with_footer(
+    pages: DataFrame, html: str = "html", name: str = "footer", heuristic: bool = True
+) -> DataFrame:
+    """Add a page's footer: its ``<footer>``, else a block marked as one, else ``''``.
+
+    A real ``<footer>`` is cut out natively.  Only pages without one that do carry a
+    footer-like class, id or role send their markup to Python, because finding the
+    matching close tag needs a tag counter.  Pages are scanned once.
     """
-    keep = [c for c in pages.columns if c != html]
-    staged = once(pages, {"footer": markup.strict_footer(F.col(html))})
+    staged = once(pages, {"_strict": markup.strict_footer(F.col(html))})
     if not heuristic:
-        return staged.select(*keep, "footer")
+        return staged.withColumnRenamed("_strict", name)
     words = "|".join(fixed.FOOTER_HINTS)
     marked = rf"(?is)<(?:div|section|aside)\b[^>]*(?:{words})"
-    needs = (F.col("footer") == "") & F.col(html).rlike(marked)
-    native = staged.where(~needs).select(*keep, "footer")
-    searched = staged.where(needs).select(*keep, html)
-    schema = native.schema
-    find, hints = blocks.marked_block, tuple(fixed.FOOTER_HINTS)
+    needs = (F.col("_strict") == "") & F.col(html).rlike(marked)
+    found = _marked_blocks()(F.when(needs, F.col(html)))
+    return staged.withColumn(
+        name, F.coalesce(F.nullif("_strict", F.lit("")), found, F.lit(""))).drop("_strict")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf[keep].copy()
-            out["footer"] = [find(page, hints) for page in pdf[html]]
-            yield out
 
-    return native.unionByName(searched.mapInPandas(cut, schema))
+def page_footers(pages: DataFrame, html: str = "html", heuristic: bool = True) -> DataFrame:
+    """Replace a page's markup by its ``footer``."""
+    keep = [c for c in pages.columns if c != html]
+    return with_footer(pages, html, heuristic=heuristic).select(*keep, "footer")

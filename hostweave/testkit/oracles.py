@@ -149,6 +149,11 @@ def footer(x: str) -> str:
     return f"regexp_extract({x}, '(?is)<footer\\b.*?(?:</footer\\s*>|\\z)', 0)"
 
 
+def any_footer(x: str) -> str:
+    """The views put a marked block last and never nest it, so a pattern suffices here."""
+    return f"coalesce(nullif({footer(x)}, ''), regexp_extract({x}, '(?is)<div class=\"site-footer\">.*?(?:</div>|\\z)', 0))"
+
+
 def words(x: str) -> str:
     return f"regexp_extract_all({x}, '[a-z]+')"
 
@@ -481,7 +486,7 @@ def link_ctes(p: str, crawl: str, sites: str) -> str:
     """CTEs ``{p}home`` and ``{p}links``; ``crawl`` has url, landed, html."""
     return rf"""
 {p}home as (select site, c.url as page, html, landed, {host('landed')} as host from {sites} join {crawl} c on rtrim({canon('landed')}, '/') = site),
-{p}home_anchors as (select site, page, landed, host, regexp_extract_all(coalesce(nullif({footer('html')}, ''), html), '(?is)<a\b[^>]*>.*?(?:</a\s*>|\z)') as l from {p}home),
+{p}home_anchors as (select site, page, landed, host, regexp_extract_all(coalesce(nullif({any_footer('html')}, ''), html), '(?is)<a\b[^>]*>.*?(?:</a\s*>|\z)') as l from {p}home),
 {p}anchor_rows as (select site, page, landed, host, generate_subscripts(l, 1) as pos, unnest(l) as a from {p}home_anchors),
 {p}anchor_parts as (select site, page, landed, host, pos, trim({href('a')}) as h, lower(regexp_replace(a, '<[^>]*>', ' ', 'g')) as label from {p}anchor_rows),
 {p}full_links as (select site, page, host, pos, case when starts_with(h, 'http') then h when starts_with(h, '/') then regexp_extract(landed, '^https?://[^/?#]+', 0) || h end as full_url
@@ -502,9 +507,9 @@ def cascade_ctes(p: str, crawl: str, sites: str, rendered: str) -> str:
 {p}late as (select site, r.html from (select rtrim({canon('url')}, '/') as site, html from {rendered}) r join {p}shells using (site)),
 {p}sources as (
   select site, 0 as stage, b as blob from {p}blobs
-  union all select site, 1, {footer('html')} from {p}home
+  union all select site, 1, {any_footer('html')} from {p}home
   union all select site, 2, html from {p}home
-  union all select site, 3, {footer('html')} from {p}late
+  union all select site, 3, {any_footer('html')} from {p}late
   union all select site, 4, html from {p}late
   union all select site, n, html from {sites} cross join paths join {crawl} c on c.url = site || path
   union all select site, stage, html from {p}links join {crawl} c using (url)),
