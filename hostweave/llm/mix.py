@@ -140,6 +140,7 @@ def rounded(units: DataFrame, state: DataFrame, cap: float = CAP) -> DataFrame:
             due["source"].alias("s"),
             F.when(F.coalesce("mass", F.lit(0.0)) > 0, F.greatest("due", F.lit(0.0)) / F.col("mass"))
             .otherwise(1.0).alias("f"))
+        factor = settle(factor, "factor")  # a row per source, of known size
         rated = units.where(here).join(factor, F.col("source").eqNullSafe(F.col("s"))).select(
             *units.columns, F.least(F.lit(cap), F.col("r") * F.col("f")).alias("rate"))
         done = settle(_systematic(rated), "tier")
