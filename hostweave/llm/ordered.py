@@ -48,11 +48,11 @@ def _point_codes(points: np.ndarray) -> np.ndarray:
 
 
 def sketch(points: np.ndarray, k: int = K, sketches: int = SKETCHES, size: int = TUPLE) -> np.ndarray:
-    """The signature of a text: one 32-bit hash per sketch, 0 where a sketch is empty.
+    """The signature of a text: one 16-bit hash per sketch, 0 where a sketch is empty.
 
     A sketch with fewer than ``size`` k-mers hashes those it has.
     """
-    out = np.zeros(sketches, np.uint32)
+    out = np.zeros(sketches, np.uint16)
     hashes = kmers(points, k)
     n = len(hashes)
     if not n:
@@ -90,7 +90,7 @@ def sketch(points: np.ndarray, k: int = K, sketches: int = SKETCHES, size: int =
     sums = np.zeros(sketches, np.uint64)
     np.add.at(sums, sketch_of, picked * multipliers(size)[step])
     filled = np.bincount(sketch_of, minlength=sketches) > 0
-    codes = (splitmix(sums) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    codes = (splitmix(sums) >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
     return np.where(filled, codes, out)
 
 
@@ -104,12 +104,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a[used] == b[used]).mean() ** (1 / TUPLE)) if used.any() else 1.0
 
 
-def as_text(signature: np.ndarray) -> str:
-    return signature.astype(">u4").tobytes().hex()
+def as_bytes(signature: np.ndarray) -> bytes:
+    return signature.astype(">u2").tobytes()
 
 
-def from_text(value: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(value), ">u4")
+def as_text(signature: np.ndarray) -> str:
+    return as_bytes(signature).hex()
 
 
 def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
@@ -132,8 +132,8 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - half] + following[:half]
 
 
-RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
-          "edited_fingerprint string, near_edited double, near_next double")
+RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint binary, "
+          "edited_fingerprint binary, near_edited double, near_next double")
 EDGED = RESULT + ", part int, first boolean, last boolean, text string"
 
 
@@ -148,7 +148,7 @@ class _Row:
         changed = edited(self.text, following)
         other = sketch(code_points(changed))
         return (self.doc_id, len(self.text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(),
-                as_text(self.signature), as_text(other), likeness(self.signature, other),
+                as_bytes(self.signature), as_bytes(other), likeness(self.signature, other),
                 likeness(self.signature, signature))
 
 
@@ -156,7 +156,7 @@ def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(),
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64(),
           pa.int32(), pa.bool_(), pa.bool_(), pa.string()]
 
 
@@ -175,13 +175,13 @@ def _beside(batches: Batches) -> Batches:
             row = _Row(doc_id, text)
             if not started:
                 started = True
-                done.append((doc_id, len(text), None, as_text(row.signature), None, None, None, part, True, False, text))
+                done.append((doc_id, len(text), None, as_bytes(row.signature), None, None, None, part, True, False, text))
             if before is not None:
                 done.append((*before.against(text, row.signature), part, False, False, None))
             before = row
         yield _rows(done, EDGED)
     if before is not None:
-        yield _rows([(before.doc_id, len(before.text), None, as_text(before.signature), None, None, None,
+        yield _rows([(before.doc_id, len(before.text), None, as_bytes(before.signature), None, None, None,
                       part, False, True, before.text)], EDGED)
 
 
@@ -190,7 +190,7 @@ def _last_rows(batches: Batches) -> Batches:
         done = []
         for doc_id, text, following, signature in zip(*(
                 batch[c].to_pylist() for c in ("doc_id", "text", "following", "signature")), strict=True):
-            done.append(_Row(doc_id, text).against(following, from_text(signature)))
+            done.append(_Row(doc_id, text).against(following, np.frombuffer(signature, ">u2")))
         yield _rows(done, RESULT)
 
 
@@ -212,4 +212,5 @@ def compared(docs: DataFrame) -> DataFrame:
         F.when(F.col("place") == 1, count).otherwise(F.col("place") - 1).alias("place"),
         F.col("text").alias("following"), F.col("fingerprint").alias("signature"))
     lasts = edges.where("not first").select("place", "doc_id", "text").join(firsts, "place")
-    return inside.union(lasts.mapInArrow(_last_rows, RESULT))
+    out = inside.union(lasts.mapInArrow(_last_rows, RESULT))
+    return out.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
