@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write a table that later steps read more than once, and read it back."""
     path = shared_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
