@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         base = "file://" + tempfile.mkdtemp(prefix="llm-")
         spark.conf.set("spark.checkpoint.dir", base)
