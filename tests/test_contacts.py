@@ -131,12 +131,14 @@ def test_cascade_equals_staged_search(spark):
         assert got.get(site, set()) == staged_search(values), site
 
 
-def test_assembled_lists_are_sorted_and_capped(spark):
+def test_assembled_lists_are_sorted_and_whole(spark):
     rows = [("s", 0, "email", "", f"e{i:02d}@a.co") for i in range(12)]
     rows += [("s", 0, "social", "tiktok", f"t{i}") for i in range(7)]
     df = spark.createDataFrame(
         rows, "site string, stage int, kind string, network string, value string")
     row = contacts.assemble_contacts(df.union(df)).collect()[0]
-    assert row.emails == [f"e{i:02d}@a.co" for i in range(10)]
+    assert row.emails == [f"e{i:02d}@a.co" for i in range(12)]
     assert row.phones == []
-    assert row.socials == {"tiktok": [f"t{i}" for i in range(5)]}
+    assert row.socials == {"tiktok": [f"t{i}" for i in range(7)]}
+    row = contacts.assemble_contacts(df, {"email": 10, "social": 5}).collect()[0]
+    assert (len(row.emails), len(row.socials["tiktok"])) == (10, 5)
