@@ -8,10 +8,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from hostweave.testkit.catalog import QUERIES
+from hostweave.testkit.oracles import ORACLES as SQL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
-QUERIES, SQL = driver.queries(), driver.oracle_sql()
 
 
 def norm(value):
@@ -31,6 +32,7 @@ def run_sql(sql: str, sf_dir: str):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(driver.queries()) and set(SQL) <= set(driver.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
