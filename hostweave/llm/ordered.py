@@ -57,11 +57,8 @@ def sketch(points: np.ndarray, k: int = K, sketches: int = SKETCHES, size: int =
     n = len(hashes)
     if not n:
         return out
-    bits = max(1, int(n - 1).bit_length())
-    low = np.uint64((1 << bits) - 1)
-    runs = np.sort((hashes & ~low) | np.arange(n, dtype=np.uint64))
-    place = (runs & low).astype(np.int64)
-    name = runs & ~low
+    place = np.argsort(hashes, kind="stable")
+    name = hashes[place]
     new = np.append(True, name[1:] != name[:-1])
     if new.all():
         ranked = splitmix(name)

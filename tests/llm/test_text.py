@@ -176,6 +176,15 @@ def test_order_minhash_follows_edits_and_order():
     assert ordered.likeness(ordered.sketch(ordered.code_points("")), ordered.sketch(ordered.code_points(""))) == 1.0
 
 
+def test_order_minhash_keeps_its_ranks_when_a_text_grows():
+    rng = random.Random(11)
+    for n in range(1020, 1041):
+        text = "".join(rng.choice("abcdefghij ") for _ in range(n))
+        longer = text + "".join(rng.choice("abcdefghij ") for _ in range(8))
+        a, b = (ordered.sketch(ordered.code_points(t)) for t in (text, longer))
+        assert ordered.likeness(a, b) > 0.9
+
+
 @pytest.mark.parametrize("parts", [1, 3, 40])
 def test_each_text_is_compared_with_the_next(spark, parts):
     rng = random.Random(9)
