@@ -1,28 +1,23 @@
-"""Repeated passages by sparse suffix arrays.
-
-Only suffixes that start at content-selected positions are retained: a position
-is kept when the hash of its ``seed`` words is the least of some run of
-neighbouring positions (a minimiser).  Equal text selects equal positions, so any
-two copies of a passage of ``least`` words retain the same suffix early enough for
-``KEY`` words to follow inside the passage.  Retained suffixes that share these words
-with another are sorted by their words; each is compared with its neighbours (the
-nearest earlier documents on either side, by the words ahead and by those behind)
-and with the first document that starts alike, and the match is extended word by
-word to the right and to the left.
-
-Every compared pair with ``least`` equal words in a row counts as a repeat.  The
-copy in the smaller (document, position) stays; the other is marked.  A marked
-word therefore always has an equal word in an earlier copy, and following the
-copies down ends at one that stays.
-
-Words around a suffix are compared by 24 bits of their hashes, so an edge of a
-repeat may reach one word too far once in 16 million.
+"""Repeated passages by sorted suffixes of ``least`` words.
+
+Suffixes are first sampled at content-selected positions: a position is kept when
+the hash of its ``seed`` words is the least of some run of neighbouring positions
+(a minimiser).  Equal text selects equal positions, so any two copies of a passage
+of ``least`` words keep the same position early enough for ``KEY`` words, its key,
+to follow inside the passage.  Only around keys that stand at two places or more
+can text repeat: the suffixes whose first ``least`` words cover such a key are
+sorted by these words, and equal ones are adjacent.
+
+Every suffix that equals an earlier one in ``least`` words is a repeat, whatever
+number of documents hold its key or its words.  The copy in the smallest (document,
+position) stays; the others are marked.  A marked word therefore always has an
+equal word in an earlier copy, and following the copies down ends at one that stays.
+
+``least`` words are compared by a 64-bit hash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,12 +31,10 @@ from .common import (
 LEAST = 50
 SEED = 5
 KEY = 12
-RUN_ROWS = 20_000
-BESIDE = 4
+SLICE_ROWS = 200_000
 
 STARTS = "doc_id long, key long, pos int"
-SUFFIXES = "key long, doc_id long, pos int, body long, ahead binary, behind binary"
-SPANS = "doc_id long, body long, first int, last int, other long"
+SUFFIXES = "words long, doc_id long, pos int, body long"
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -107,177 +100,101 @@ def _starts(least: int, seed: int):
     return run
 
 
-def _short(hashes: np.ndarray) -> np.ndarray:
-    """Three bytes of each word hash, as raw bytes."""
-    return np.ascontiguousarray(hashes, ">u8").view(np.uint8).reshape(-1, 8)[:, :3]
-
-
 def _suffixes(least: int):
-    beyond = least - KEY
-
+    """Every suffix whose first ``least`` words cover a place, with their hash."""
     def run(batches: Batches) -> Batches:
         for batch in batches:
             hashes, first, _, _ = words(batch["text"])
-            blocks = _block(hashes, KEY) if len(hashes) >= KEY else hashes[:0]
-            codes = _short(hashes)
-            back = np.ascontiguousarray(codes[::-1])
-            total = len(hashes)
-            ids, bodies = batch["doc_id"].to_pylist(), batch["body"].to_pylist()
-            doc, key, pos, body, ahead, behind = [], [], [], [], [], []
-
-            def packed() -> pa.RecordBatch:
-                return pa.record_batch({
-                    "key": pa.array(signed(blocks[np.array(key, np.int64)])), "doc_id": pa.array(doc, pa.int64()),  # noqa: B023
-                    "pos": pa.array(pos, pa.int32()), "body": pa.array(body, pa.int64()),  # noqa: B023
-                    "ahead": pa.array(ahead, pa.binary()), "behind": pa.array(behind, pa.binary()),  # noqa: B023
-                })
-
-            for i, places in enumerate(batch["places"].to_pylist()):
-                a, b = int(first[i]), int(first[i + 1])
-                for p in places:
-                    at = a + p
-                    if at + KEY > b:
-                        continue  # a place of another text with the same id
-                    doc.append(ids[i])
-                    body.append(bodies[i])
-                    pos.append(p)
-                    key.append(at)
-                    ahead.append(codes[at + KEY:min(b, at + least)].tobytes())
-                    behind.append(back[total - at:total - max(a, at - beyond)].tobytes())
-                if len(key) >= 20_000:
-                    yield packed()
-                    for column in (doc, key, pos, body, ahead, behind):
-                        column.clear()
-            yield packed()
+            if len(hashes) < least:
+                continue
+            places = batch["places"]
+            row = np.repeat(np.arange(len(batch)), np.diff(places.offsets.to_numpy()))
+            at = first[row] + places.flatten().to_numpy()
+            low = np.maximum(at - (least - KEY), first[row])
+            high = np.minimum(at, first[row + 1] - least)
+            fits = high >= low  # not so at a place of another text with the same id
+            steps = np.zeros(len(hashes) + 1, np.int64)
+            np.add.at(steps, low[fits], 1)
+            np.add.at(steps, high[fits] + 1, -1)
+            chosen = np.flatnonzero(np.cumsum(steps) > 0)
+            row = np.searchsorted(first, chosen, "right") - 1
+            found = pa.record_batch({
+                "words": pa.array(signed(_block(hashes, least)[chosen])),
+                "doc_id": batch["doc_id"].take(pa.array(row)),
+                "pos": pa.array((chosen - first[row]).astype(np.int32)),
+                "body": batch["body"].take(pa.array(row)),
+            })
+            for start in range(0, len(found), SLICE_ROWS):
+                yield found.slice(start, SLICE_ROWS)
     return run
 
 
-def _same(a: bytes, b: bytes) -> int:
-    """Equal words at the start of two rows of word codes."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n // 3
-    low, high = 0, n // 3
-    while high - low > 1:
-        mid = (low + high) // 2
-        if a[:3 * mid] == b[:3 * mid]:
-            low = mid
-        else:
-            high = mid
-    return low
-
-
-def _compare(row: tuple, other: tuple, least: int) -> tuple | None:
-    """The span that the later of two suffixes repeats, if it is long enough.
-
-    A suffix is (document, position, body, words ahead, words behind).
-    """
-    ahead, back = KEY + _same(row[3], other[3]), _same(row[4], other[4])
-    if ahead + back < least or row[:3] == other[:3]:
-        return None
-    later, earlier = (row, other) if row[:3] > other[:3] else (other, row)
-    return later[0], later[2], later[1] - back, later[1] + ahead, earlier[0]
+SCANNED = "doc_id long, pos int, body long, other long, words long, lead boolean"
 
 
-def _earlier(run: list[tuple]) -> Iterator[tuple[tuple, tuple]]:
-    """Each suffix of a run with the nearest earlier copies on either side, in the
-    order of the words ahead and in that of the words behind."""
-    for order in (run, sorted(run, key=lambda row: (row[4], row[:3]))):
-        for rows in (order, reversed(order)):
-            stack: list[tuple] = []
-            for row in rows:
-                while stack and stack[-1][:3] > row[:3]:
-                    stack.pop()
-                for other in stack[-BESIDE:]:
-                    yield row, other
-                stack.append(row)
+def _table(words_, doc_id, pos, body, other=None, lead: bool | None = None) -> pa.RecordBatch:
+    n = len(doc_id)
+    return pa.record_batch({
+        "doc_id": pa.array(doc_id, pa.int64()), "pos": pa.array(pos, pa.int32()), "body": pa.array(body, pa.int64()),
+        "other": pa.nulls(n, pa.int64()) if other is None else pa.array(other, pa.int64()),
+        "words": pa.nulls(n, pa.int64()) if lead is None else pa.array(words_, pa.int64()),
+        "lead": pa.array([lead] * n, pa.bool_()),
+    })
 
 
-SCANNED = SPANS + ", part int, nth int, key long, pos int, ahead binary, behind binary"
-_KINDS = {"doc_id": pa.int64(), "body": pa.int64(), "first": pa.int32(), "last": pa.int32(), "other": pa.int64(),
-          "part": pa.int32(), "nth": pa.int32(), "key": pa.int64(), "pos": pa.int32(),
-          "ahead": pa.binary(), "behind": pa.binary()}
+def _scan(batches: Batches) -> Batches:
+    """Compare each sorted suffix of a partition with the first that has its words.
 
-
-def _table(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-    return pa.record_batch({n: pa.array(c, _KINDS[n]) for n, c in zip(names, columns, strict=True)})
-
-
-def _scan(least: int):
-    """Compare the sorted suffixes of one partition.
-
-    Suffixes with equal words all around are adjacent and are compared with the
-    first of them only.  The others are compared with their neighbours and with the
-    first document of their key.  A key may go on in the next partition:
-    the ends and the first document of the outer keys leave with a ``part``.
+    The words that a partition begins with may have started in an earlier one:
+    their rows leave with ``words`` (``lead`` false) to be compared afterwards, as do
+    the first rows of the first and of the last words (``lead`` true).
+    """
+    lead, outer = None, None
+    for batch in batches:
+        if not len(batch):
+            continue
+        rows = [batch[c].to_numpy(zero_copy_only=False) for c in ("words", "doc_id", "pos", "body")]
+        if lead is None:
+            lead = outer = tuple(c[0] for c in rows)
+            yield _table(*([x] for x in outer), lead=True)
+        rows = [np.append(x, c) for x, c in zip(lead, rows, strict=True)]
+        name = rows[0]
+        new = np.append(True, name[1:] != name[:-1])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(name)), 0))
+        later = np.zeros(len(name), bool)
+        for c in rows[1:]:
+            later |= c != c[first]
+        edge = name == outer[0]
+        edge[0] = later[0] = False  # the lead, not a row of this batch
+        if edge.any():
+            yield _table(*(c[edge] for c in rows), lead=False)
+        inside = later & ~edge
+        yield _table(*(c[inside] for c in rows), other=rows[1][first[inside]])
+        lead = tuple(c[first[-1]] for c in rows)
+    if lead is not None:
+        yield _table(*([x] for x in lead), lead=True)
+
+
+def _across(leads: dict[int, tuple]):
+    """Compare the rows that ``_scan`` left open with the first of their words.
+
+    ``leads`` holds at most two rows per partition.
     """
-    names = list(_KINDS)
-
     def run(batches: Batches) -> Batches:
-        out: list[tuple] = []
-        run_, now, part, outer = [], None, None, True
-        ends: dict[tuple, int] = {}
-
-        def note(span: tuple | None) -> None:
-            if span:
-                out.append((*span, None, None, None, None, None, None))
-
-        def close(outer: bool) -> None:
-            if not run_:
-                return
-            lead = min(run_)
-            for row in run_:
-                note(_compare(row, lead, least))
-            if len(run_) > 2:
-                for row, other in _earlier(run_):
-                    note(_compare(row, other, least))
-            if outer:
-                for row in (run_[0], lead, run_[-1]):
-                    ends.setdefault((now, *row), len(ends))
-
         for batch in batches:
-            columns = (batch[c].to_pylist() for c in ("key", "doc_id", "pos", "body", "ahead", "behind", "part"))
-            for key, *row, part in zip(*columns, strict=True):
-                row = tuple(row)
-                if key != now or len(run_) >= RUN_ROWS:
-                    close(outer or key == now)
-                    outer = outer and now is None or key == now
-                    last = run_[-1] if key == now else None
-                    run_, now = [], key
-                    if last:
-                        note(_compare(row, last, least))
-                elif row[3:] == run_[-1][3:]:
-                    note(_compare(row, run_[-1], least))
-                    continue
-                run_.append(row)
-            if len(out) > 10_000:
-                yield _table(out, names)
-                out.clear()
-        close(True)
-        for (key, doc, pos, body, ahead, behind), nth in ends.items():
-            out.append((doc, body, None, None, None, part, nth, key, pos, ahead, behind))
-        yield _table(out, names)
-    return run
-
-
-def _across(least: int):
-    """Compare what the partitions left of one key: each row with the one before it
-    and with the first document.  There are a few rows per partition."""
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        columns = (table[c].to_pylist() for c in ("part", "nth", "doc_id", "pos", "body", "ahead", "behind"))
-        rows = [tuple(r[2:]) for r in sorted(zip(*columns, strict=True))]
-        lead, spans = min(rows), []
-        for k, row in enumerate(rows):
-            spans += [_compare(row, lead, least), _compare(row, rows[k - 1], least) if k else None]
-        return pa.Table.from_batches([_table([s for s in spans if s], list(_KINDS)[:5])])
+            rows = [batch[c].to_numpy(zero_copy_only=False) for c in ("words", "doc_id", "pos", "body")]
+            name, at = np.unique(rows[0], return_inverse=True)
+            first = np.array([leads[x] for x in name.tolist()], np.int64).reshape(-1, 3)[at]
+            later = (np.stack(rows[1:], axis=1) != first).any(axis=1)
+            yield _table(*(c[later] for c in rows), other=first[later, 0])
     return run
 
 
 def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
-    """Marked spans: ``doc_id, body, first, last, other`` in words, ``last`` exclusive.
+    """Marked spans of ``least`` words: ``doc_id, body, first, last, other`` in words,
+    ``last`` exclusive.
 
-    ``other`` is the document with the earlier copy.  A repeat inside one document
+    ``other`` is the document with the earliest copy.  A repeat inside one document
     counts too.  Spans of one document may overlap; ``marked`` unites them.  Null
     and short texts have none.  A null ``doc_id`` is skipped.  Rows that repeat an id
     are told apart by ``body``, the hash of the text; rows equal in both are one.
@@ -291,34 +208,27 @@ def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
     places = settle(places, "places")
     bodies = source.withColumn("body", F.xxhash64("text"))
     suffixes = bodies.join(places, "doc_id").mapInArrow(_suffixes(least), SUFFIXES)
-    order = ["key", "ahead", "behind", "doc_id", "pos", "body"]
-    ordered = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
-    scanned = ordered.withColumn("part", F.spark_partition_id()).mapInArrow(_scan(least), SCANNED)
-    scanned = settle(scanned, "scanned")
-    across = scanned.where("part is not null").groupBy("key").applyInArrow(_across(least), SPANS)
-    names = [x.split()[0] for x in SPANS.split(", ")]
-    return scanned.where("part is null").select(*names).union(across)
+    order = ["words", "doc_id", "pos", "body"]
+    ordered = bounded_batches(suffixes).repartitionByRange(*order).sortWithinPartitions(*order)
+    scanned = settle(ordered.mapInArrow(_scan, SCANNED), "scanned")
+    leads = scanned.where("lead").groupBy("words").agg(F.min(F.struct("doc_id", "pos", "body")).alias("first"))
+    across = scanned.where("not lead").mapInArrow(
+        _across({r["words"]: tuple(r["first"]) for r in leads.collect()}), SCANNED)
+    names = ["doc_id", "body", "pos", "other"]
+    return scanned.where("lead is null").select(*names).union(across.select(*names)).select(
+        "doc_id", "body", F.col("pos").alias("first"), (F.col("pos") + least).alias("last"), "other")
 
 
 def marked(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
     """One row per text with marked words: ``doc_id``, ``body``, its disjoint ``spans``
     (``first``, ``last`` exclusive, in words) and ``others``, the documents that
-    hold the earlier copies it was compared with."""
-    spans = repeats(docs, least, seed).groupBy("doc_id", "body", "first", "last") \
-        .agg(F.min("other").alias("other")).groupBy("doc_id", "body").agg(
-        F.sort_array(F.collect_list(F.struct("first", "last"))).alias("s"),
-        F.sort_array(F.collect_set("other")).alias("others"))
-    united = F.aggregate(
-        "s", F.expr("cast(array() as array<struct<first:int,last:int>>)"),
-        lambda out, x: F.when(
-            (F.size(out) > 0) & (F.element_at(out, -1)["last"] >= x["first"]),
-            F.concat(
-                F.slice(out, 1, F.size(out) - 1),
-                F.array(F.struct(
-                    F.element_at(out, -1)["first"].alias("first"),
-                    F.greatest(F.element_at(out, -1)["last"], x["last"]).alias("last")))),
-        ).otherwise(F.concat(out, F.array(x))))
-    return spans.select("doc_id", "body", united.alias("spans"), "others")
+    hold the earliest copies."""
+    found = repeats(docs, least, seed).groupBy("doc_id", "body").agg(
+        F.sort_array(F.collect_set("first")).alias("s"), F.sort_array(F.collect_set("other")).alias("others"))
+    begins = F.filter("s", lambda x, i: F.coalesce(x - F.get("s", i - 1) > least, F.lit(True)))
+    ends = F.filter("s", lambda x, i: F.coalesce(F.get("s", i + 1) - x > least, F.lit(True)))
+    spans = F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("first"), (b + least).alias("last")))
+    return found.select("doc_id", "body", spans.alias("spans"), "others")
 
 
 def _cut(batches: Batches) -> Batches:

@@ -124,3 +124,28 @@ def test_repeats_edge_rows(spark):
         (1, 2, 0, "a b"), (1, 200, 0, long), (2, 201, 200, "z"), (2, 201, 200, "z"), (3, 0, 0, None),
         (None, 200, 0, long)], key=str)
     assert suffix.remove_repeats(df.limit(0)).count() == 0
+
+
+def same_as_brute_force(spark, docs):
+    got = {r.doc_id: r for r in suffix.remove_repeats(spark.createDataFrame(docs, DOCS)).collect()}
+    _, later = plain.repeated(docs, suffix.LEAST)
+    assert any(later.values())
+    for i, _ in docs:
+        assert {x for s in got[i].spans for x in range(s["first"], s["last"])} == later[i]
+
+
+@pytest.mark.parametrize("parts", [4, 60])
+def test_partners_behind_a_common_passage_are_found_across_partitions(spark, parts):
+    rng = random.Random(12)
+    notice = " ".join(f"n{i}" for i in range(35))
+    docs = []
+    for i in rng.sample(range(400), 400):
+        before = " ".join(f"b{i // 2}x{k}" for k in range(15))  # shared by two documents
+        docs.append((i, f"a{i} {before} {notice} " + " ".join(f"c{rng.randrange(10**6)}" for _ in range(40))))
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        same_as_brute_force(spark, docs)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
