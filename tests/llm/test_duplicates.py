@@ -149,3 +149,22 @@ def test_partners_behind_a_common_passage_are_found_across_partitions(spark, par
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_partner_among_many_nearly_long_ones_is_found(spark):
+    rng = random.Random(13)
+    docs: list[tuple] = []
+
+    def add(words):
+        docs.append((len(docs), f"o{len(docs)}a {' '.join(words)} o{len(docs)}b"))
+
+    for g in range(5):
+        line = [f"g{g}w{k}" for k in range(75)]
+        for k in range(150):
+            if k == 75:
+                add(line[12:62])  # the only one that shares 50 words with the whole line
+            size = rng.randrange(45, 50)
+            at = rng.randrange(76 - size)
+            add(line[at:at + size])
+        add(line)
+    same_as_brute_force(spark, docs)
