@@ -36,19 +36,33 @@ class Run:
     queries: DataFrame | None = None
 
 
-def resolved_pages(fetch_log: DataFrame, wanted: DataFrame) -> DataFrame:
+def site_hosts(fetch_log: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Hosts (``_host``) that ``wanted`` addresses ask for or land on."""
+    landed = fetch_log.where("status < 400 and final_url <> ''").select(
+        urls.canonical_url(F.col("url")).alias("url"), "final_url"
+    ).join(wanted.select("url"), "url", "left_semi")
+    asked = wanted.select(urls.host_of(F.col("url")).alias("_host"))
+    return settle(asked.union(landed.select(urls.host_of(F.col("final_url")))).distinct(), "hosts")
+
+
+def resolved_pages(
+    fetch_log: DataFrame, wanted: DataFrame, hosts: DataFrame | None = None
+) -> DataFrame:
     """One usable page per requested address: ``url, final_url, html, headers_text``.
 
-    Only attempts on hosts of ``wanted`` addresses are resolved; a site's contact and
-    linked pages lie on the same host.  The semi-join stands before the aggregate,
-    so bodies of other sites are neither compared nor shuffled.
+    Only addresses that lie or land on ``hosts`` (by default the `site_hosts` of
+    ``wanted``) are resolved; a site's contact and linked pages are among them.  They
+    are picked without bodies and the semi-join stands before the aggregate, so
+    bodies of other sites are not compared.
     """
     log = fetch_log.select(
         urls.canonical_url(F.col("url")).alias("url"), "attempt", "status", "final_url",
         "headers_text", "body",
     )
-    hosts = wanted.select(urls.host_of(F.col("url")).alias("_host")).distinct()
-    log = log.join(hosts, urls.host_of(F.col("url")) == F.col("_host"), "left_semi")
+    places = F.array(urls.host_of(F.col("url")), urls.host_of(F.col("final_url")))
+    near = log.select("url", F.explode(places).alias("_host")).join(
+        site_hosts(fetch_log, wanted) if hosts is None else hosts, "_host", "left_semi")
+    log = log.join(near.select("url").distinct(), "url", "left_semi")
     landed = F.when(F.col("final_url") != "", F.col("final_url")).otherwise(F.col("url"))
     return resolve_fetch(log).where("ok").select(
         "url", landed.alias("final_url"), F.col("body").alias("html"), "headers_text"
@@ -81,13 +95,12 @@ def page_facts(pages: DataFrame, wanted: DataFrame, with_contacts: bool = True)
     return settle(contacts.page_contacts(staged, landed="final_url"), "page-facts")
 
 
-def rendered_facts(rendered: DataFrame, wanted: DataFrame, with_contacts: bool = True) -> DataFrame:
-    """Hits and contacts of pages captured after client-side rendering.
+def rendered_facts(rendered: DataFrame, hosts: DataFrame, with_contacts: bool = True) -> DataFrame:
+    """Hits and contacts of pages on ``hosts`` captured after client-side rendering.
 
     Of several captures of one address the longest counts.
     """
     pages = rendered.select(urls.canonical_url(F.col("url")).alias("url"), "html")
-    hosts = wanted.select(urls.host_of(F.col("url")).alias("_host")).distinct()
     pages = pages.join(hosts, urls.host_of(F.col("url")) == F.col("_host"), "left_semi")
     single = latest_by(pages.withColumn("_size", F.length("html")), ["url"], ["_size", "html"]).drop("_size")
     staged = tech.with_hits(once(single, {"_blob": tech.page_blob("html", None)}))
@@ -137,9 +150,11 @@ def site_contacts(facts: DataFrame, rendered: DataFrame | None = None) -> DataFr
 def page_work(
     wanted: DataFrame, fetch_log: DataFrame, rendered: DataFrame | None
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Facts of captured and rendered pages on the hosts of wanted addresses."""
-    facts = page_facts(resolved_pages(fetch_log, wanted), wanted)
-    return facts, None if rendered is None else rendered_facts(rendered, wanted)
+    """Facts of captured and rendered pages on the hosts that wanted addresses ask for
+    or land on."""
+    hosts = site_hosts(fetch_log, wanted)
+    facts = page_facts(resolved_pages(fetch_log, wanted, hosts), wanted)
+    return facts, None if rendered is None else rendered_facts(rendered, hosts)
 
 
 def verify(
@@ -270,8 +285,9 @@ def verify_domains(
 ) -> DataFrame:
     """Stack and label of given addresses, without a job."""
     wanted = addresses.select(urls.canonical_url(F.col("url")).alias("url")).distinct()
-    facts = page_facts(resolved_pages(fetch_log, wanted), wanted, with_contacts=False)
-    late = None if rendered is None else rendered_facts(rendered, wanted, with_contacts=False)
+    hosts = site_hosts(fetch_log, wanted)
+    facts = page_facts(resolved_pages(fetch_log, wanted, hosts), wanted, with_contacts=False)
+    late = None if rendered is None else rendered_facts(rendered, hosts, with_contacts=False)
     rows = profiles(wanted, facts, late, scorer)
     return rows.select(
         F.col("final_url").alias("url"), urls.host_of(F.col("final_url")).alias("domain"),

@@ -292,3 +292,29 @@ def test_runs_read_only_wanted_hosts(spark):
     wanted = spark.createDataFrame([("https://s3.com/",)], "url string")
     pages = runs.resolved_pages(log, wanted)
     assert [r.url for r in pages.collect()] == ["https://s3.com/"]
+
+
+def test_contacts_of_a_landing_host_are_found(spark):
+    from hostweave.plans import runs
+
+    def row(url, landed, body):
+        return (url, 1, 200, landed, "", body)
+
+    log = spark.createDataFrame([
+        row("https://a.com/", "https://b.com/", "<p>home</p>"),
+        row("https://b.com/contact", "", "<a href='mailto:hi@b.com'>m</a>"),
+        row("https://c.com/", "https://b.com/", "<a href='mailto:other@b.com'>m</a>"),
+        row("https://x.com/contact", "", "<a href='mailto:no@x.com'>m</a>"),
+    ], "url string, attempt int, status int, final_url string, headers_text string, body string")
+    wanted = spark.createDataFrame([("https://a.com/",)], "url string").select(
+        runs.urls.canonical_url(runs.F.col("url")).alias("url"))
+    rendered = spark.createDataFrame([("https://b.com/", "<p>late</p>"), ("https://x.com/", "<p>x</p>")],
+                                     "url string, html string")
+    seen = {r.url for r in runs.resolved_pages(log, wanted).collect()}
+    assert len(seen) == 3 and not any("x.com" in u for u in seen)
+    facts, late = runs.page_work(wanted, log, rendered)
+    assert late.count() == 1
+    assert "other@b.com" in runs.site_contacts(facts).first().emails
+    without = log.where("url <> 'https://c.com/'")
+    facts, _ = runs.page_work(wanted, without, None)
+    assert runs.site_contacts(facts).first().emails == ["hi@b.com"]
