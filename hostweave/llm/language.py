@@ -5,7 +5,7 @@ A text is parsed greedily into the longest phrases that the automaton knows; a
 text in the same language needs few of them.  The language with the fewest phrases,
 normalised by the size of its training text, wins.
 
-Automata are transition tables over a small alphabet.  Blocks of many texts are
+Automata are transition tables, each over all characters of its own training text.  Blocks of many texts are
 parsed side by side: one array operation advances every block by one character, so
 no Python step is made per character.  A text longer than a block is parsed block
 by block in full, which adds at most one phrase per block.
@@ -23,7 +23,7 @@ from .common import Batches, bounded_batches
 TRAIN_CHARS = 24_000
 TRAIN_DOCS = 60
 DOC_CHARS = 600
-ALPHABET = 64
+DENSE = 64
 BLOCK = 512
 UNKNOWN = "und"
 
@@ -69,38 +69,57 @@ class Automaton:
                         at = link[at]
                     link[to] = link[new] = copy
             last = new
-        table = np.zeros((len(step) + 1, width), np.uint32)
-        for state, out in enumerate(step):
-            for s, to in out.items():
-                table[state, s] = to
-        begin = np.where(table[0] == 0, np.uint32(len(step)), table[0])
-        table = np.where(table == 0, begin[None, :] | np.uint32(1 << 31), table)
-        table[0] = begin
-        self.table = np.ascontiguousarray(table.reshape(-1))
+        self.width, begin = width, np.full(width, len(step), np.uint32)
+        for s, to in step[0].items():
+            begin[s] = to
+        self.begin, self.table = begin, None
+        if width <= DENSE:
+            table = np.tile(begin | np.uint32(1 << 31), (len(step) + 1, 1))
+            for state, out in enumerate(step):
+                for s, to in out.items():
+                    table[state, s] = to
+            table[0] = begin
+            self.table = table.reshape(-1)
+        else:
+            edges = sorted((state * width + s, to) for state, out in enumerate(step) for s, to in out.items())
+            self.edges, self.to = (np.array(x, t) for x, t in zip(zip(*edges, strict=True), (np.int64, np.uint32), strict=True))
         self.size = len(symbols)
 
+    def follow(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The next states.  A wide table is mostly empty, so only its entries are kept."""
+        key = state * self.width + symbol
+        if self.table is not None:
+            return self.table[key]
+        at = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+        begin = self.begin[symbol]
+        return np.where(self.edges[at] == key, self.to[at], np.where(state == 0, begin, begin | np.uint32(1 << 31)))
+
 
 class Classifier:
-    """Automata of all languages over one alphabet."""
+    """Automata of all languages, each over the characters of its own sample.
+
+    Texts are coded once over the characters of all samples; ``own`` turns these
+    codes into the symbols of a language, the last of which means an unknown one.
+    """
 
     def __init__(self, samples: dict[str, str]):
-        counts: dict[str, int] = {}
-        for text in samples.values():
-            for c in text:
-                counts[c] = counts.get(c, 0) + 1
-        letters = sorted(counts, key=lambda c: (-counts[c], c))[:ALPHABET - 1]
         self.languages = sorted(samples)
-        self.points = np.array(sorted(ord(c) for c in letters), np.uint32)
-        self.width = len(letters) + 1
-        self.automata = [Automaton([x for x in self.symbols(samples[n]).tolist() if x < self.width - 1], self.width)
-                         for n in self.languages]
+        self.points = np.array(sorted({ord(c) for text in samples.values() for c in text}), np.uint32)
+        self.own, self.automata = [], []
+        for name in self.languages:
+            coded = self.symbols(samples[name])
+            letters = np.unique(coded)
+            own = np.full(len(self.points) + 1, len(letters), np.int32)
+            own[letters] = np.arange(len(letters))
+            self.own.append(own)
+            self.automata.append(Automaton(own[coded].tolist(), len(letters) + 1))
 
     def symbols(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         if not len(self.points):
-            return np.full(len(points), self.width - 1, np.uint8)
+            return np.zeros(len(points), np.int32)
         at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
-        return np.where(self.points[at] == points, at, self.width - 1).astype(np.uint8)
+        return np.where(self.points[at] == points, at, len(self.points)).astype(np.int32)
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Normalised phrases per text (rows) and language (columns)."""
@@ -121,8 +140,8 @@ class Classifier:
         for step in range(int(length.max()) if len(length) else 0):
             n = live[step]
             symbol = coded[begin[:n] + step]
-            for state, ended, automaton in zip(states, ends, self.automata, strict=True):
-                to = automaton.table[state[:n] * self.width + symbol]
+            for state, ended, own, automaton in zip(states, ends, self.own, self.automata, strict=True):
+                to = automaton.follow(state[:n], own[symbol])
                 ended[:n] += to >> np.uint32(31)
                 state[:n] = to & np.uint32(0x7FFFFFFF)
         for k, (ended, automaton) in enumerate(zip(ends, self.automata, strict=True)):

@@ -144,6 +144,20 @@ def test_cross_parsing_counts_phrases():
     assert got.round().tolist() == [phrases_by_hand(train, t) for t in texts]
 
 
+def test_letters_of_all_scripts_are_kept():
+    rng = random.Random(14)
+    scripts = {n: "".join(chr(first + k) for k in range(size)) + " " for n, first, size in (
+        ("ar", 0x627, 28), ("el", 0x3B1, 25), ("la", 0x61, 26), ("ru", 0x430, 32), ("zh", 0x4E00, 900))}
+    trains = {n: "".join(rng.choice(s) for _ in range(4000 if n != "el" else 500)) for n, s in scripts.items()}
+    model = language.Classifier(trains)
+    texts = [trains[n][200:400] for n in sorted(trains)] + ["".join(rng.choice(s) for _ in range(200)) for s in scripts.values()]
+    cost = model.phrases(texts)
+    assert cost[:5].argmin(axis=1).tolist() == [0, 1, 2, 3, 4]
+    for k, n in enumerate(model.languages):
+        got = cost[:, k] / math.log2(model.automata[k].size + 2)
+        assert got.round().tolist() == [phrases_by_hand(trains[n], t) for t in texts]
+
+
 def test_languages_are_told_apart(spark):
     rng = random.Random(1)
     words = {"aa": "the of and to in that was".split(), "bb": "der die und nicht für über".split()}
