@@ -51,7 +51,109 @@ select conv_id, count(*) as n_turns,
 from sized group by conv_id
 """
 
+CRC_TABLE = """select list_transform(range(256), lambda k: list_reduce(
+    list_concat([k], [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, b: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t"""
+
+
+def crc32(codes: str) -> str:
+    """CRC-32 of a list of bytes, with the table ``t`` in scope."""
+    return f"""xor(list_reduce(list_concat([4294967295], {codes}),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
+LEAF = "sha256(" + " || ".join(
+    f"coalesce(strlen(cast({c} as varchar)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+DIGITS = "list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ord(x) as bigint))"
+
+
+def levels(nodes: str, rows: str, depth: int) -> str:
+    """Trees of eight over the ``nodes`` (tree, idx, total, d), level by level, and the
+    ``rows`` (tree, pos, cur, proof) folded with their siblings."""
+    out = ""
+    for k in range(depth):
+        n, w = (nodes, rows) if k == 0 else (f"{nodes}{k}", f"{rows}{k}")
+        out += f""", {nodes}{k + 1} as (
+  select tree, idx // 8 as idx, (total + 7) // 8 as total,
+    case when total > 1 then sha256(string_agg(d, '' order by idx)) else any_value(d) end as d
+  from {n} group by tree, idx // 8, total
+), {rows}{k + 1} as (
+  select w.* replace (w.pos // 8 as pos,
+      case when n.total > 1 then sha256(l || w.cur || r) else w.cur end as cur,
+      case when n.total > 1 then w.proof || l || r else w.proof end as proof)
+  from {w} w join (
+    select w.rid, any_value(n.total) as total,
+      coalesce(string_agg(n.d, '' order by n.idx) filter (n.idx < w.pos), '') as l,
+      coalesce(string_agg(n.d, '' order by n.idx) filter (n.idx > w.pos), '') as r
+    from {w} w join {n} n on n.tree is not distinct from w.tree and n.idx // 8 = w.pos // 8
+    group by w.rid) n on n.rid = w.rid
+)"""
+    return out
+
+
+#: Holds for 8 ** 8 documents of a language and 8 ** 4 languages.
+MERKLE = f"""
+with crc as ({CRC_TABLE}), leaf as (
+  select doc_id, lang as tree, {LEAF.format("text")} as leaf,
+    case when {crc32(DIGITS)} % 3 = 0 then {LEAF.format(LOWER.format("text"))} else {LEAF.format("text")} end as claim
+  from documents, crc
+), placed as (
+  select *, row_number() over (partition by tree order by doc_id nulls first, leaf, claim) - 1 as idx,
+    count(*) over (partition by tree) as total, row_number() over (order by tree nulls first, doc_id, leaf) as rid
+  from leaf
+), n as (select tree, idx, total, leaf as d from placed),
+w as (select rid, doc_id, leaf, tree, idx as pos, claim as cur, '' as proof from placed)
+{levels("n", "w", 8)}, sub as (
+  select tree as name, d, row_number() over (order by tree nulls first) - 1 as idx, count(*) over () as total from n8
+), m as (select 0 as tree, idx, total, d from sub),
+v as (
+  select w.rid, w.doc_id, w.leaf, s.d as subroot, 0 as tree, s.idx as pos, w.cur, w.proof
+  from w8 w join sub s on s.name is not distinct from w.tree
+)
+{levels("m", "v", 4)}
+select v.doc_id, v.leaf, v.subroot, m.d as root, sha256(v.proof) as proof_sha256, v.cur as folded_root,
+  v.cur = m.d as verified
+from v4 v, m4 m
+"""
+
+LETTERS = """flatten(list_transform(string_split(id || ':' || run, ''),
+    lambda x: case when ord(x) < 128 then [cast(ord(x) as bigint)] else [195, ord(x) - 64] end))"""
+
+VARIANTS = f"""
+with recursive crc as ({CRC_TABLE}), runs as (
+  select id, run, count(*) as k from (
+    select cast(doc_id as varchar) as id, unnest(regexp_extract_all({LOWER.format("text")}, '[A-Za-zÀ-ÿ]+')) as run
+    from documents)
+  where length(run) >= 6 group by all
+), coded as (select run, k, coalesce({crc32(LETTERS)}, 1) as h from runs, crc),
+words as (
+  select word, cast(sum(k) as bigint) as n from (
+    select case when h % 199 = 0 then run[:h % length(run)] || run[h % length(run) + 2:] else run end as word, k from coded)
+  where length(word) >= 6 group by word having sum(k) >= 5
+), cut as (
+  select word, i, word[:i - 1] || word[i + 1:] as rest from (select word, unnest(range(1, length(word) + 1)) as i from words)
+), pairs as (
+  select a.word, b.word as near from cut a join cut b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select a.word, b.word from cut a join words b on a.rest = b.word
+  union select b.word, a.word from cut a join words b on a.rest = b.word
+), best as (
+  select p.word, count(*) as n_near, arg_min(p.near, (-w.n, p.near)) as near, max(w.n) as near_n
+  from pairs p join words w on w.word = p.near group by p.word
+), formed as (
+  select w.word, w.n, coalesce(b.n_near, 0) as n_near,
+    case when b.near_n >= 5 * w.n then b.near end as form, case when b.near_n >= 5 * w.n then b.near_n end as form_n
+  from words w left join best b on b.word = w.word
+), led(word, root, form) as (
+  select word, word, form from formed
+  union all select l.word, f.word, f.form from led l join formed f on f.word = l.form
+)
+select f.word, f.form, l.root, f.n, f.n_near, f.form_n
+from formed f join led l on l.word = f.word and l.form is null
+"""
+
 ORACLES = {
     "op6_chat_formatting": CHAT,
     "op2_minhash_near_dedup": NEAR,
+    "op11_merkle_manifest": MERKLE,
+    "op13_spelling_variants": VARIANTS,
 }

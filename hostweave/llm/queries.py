@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, kneser, language, mix, near, ordered, pack, pages, rules, suffix
+from . import bpe, chat, kneser, language, merkle, mix, near, ordered, pack, pages, rules, suffix, variants
+
+
+TOKENIZERS = "/opt/tokenizers"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +64,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "removed_words", "spans", "others")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_kneser_ney": op1_kneser_ney,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -72,4 +87,7 @@ QUERIES = {
     "op8_entropy_balancing": op8_entropy_balancing,
     "op9_quality_rules": op9_quality_rules,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_byte_pairs": op12_byte_pairs,
+    "op13_spelling_variants": op13_spelling_variants,
 }
