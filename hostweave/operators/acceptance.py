@@ -27,13 +27,15 @@ def job_rules(jobs: DataFrame) -> DataFrame:
 
 
 def job_flags(jobs: DataFrame) -> DataFrame:
-    """What a job wants done: ``classify`` (by default) and ``extract`` (if asked for)."""
+    """What a job wants done: ``classify`` (by default), ``extract`` (if asked for) and the
+    ``niche`` its sites are asked about (``''``: the categories)."""
     def flag(name: str, default: bool) -> Column:
         value = F.col(name) if name in jobs.columns else F.lit(None).cast("boolean")
         return F.coalesce(value, F.lit(default))
 
     return jobs.select(F.col("id").alias("job_id"), flag("classify_niche", True).alias("classify"),
-                       flag("extract_contacts", False).alias("extract"))
+                       flag("extract_contacts", False).alias("extract"),
+                       F.trim(F.coalesce(F.col("custom_niche"), F.lit(""))).alias("niche"))
 
 
 def niche_policy(ver: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -64,16 +64,21 @@ def usable_label(label: Column) -> Column:
     return ~F.trim(F.coalesce(label, F.lit(""))).isin("", "Unknown")
 
 
+def final_verdict(vertical: Column, reason: Column, tokens: list[str] | None = None) -> Column:
+    """Whether asking again is pointless: a usable label, or a failure that is not transient."""
+    said = F.lower(F.coalesce(reason, F.lit("")))
+    transient = F.lit(False)
+    for token in tokens or fixed.TRANSIENT_TOKENS:
+        transient = transient | said.contains(token)
+    return usable_label(vertical) | ~transient
+
+
 def resolve_verdicts(
     attempts: DataFrame, keys: tuple[str, ...] = ("doc_id",), limit: int | None = None,
     tokens: list[str] | None = None,
 ) -> DataFrame:
     """The verdict at which retrying stops: usable or not transient, else the last."""
-    reason = F.lower(F.coalesce(F.col("reason"), F.lit("")))
-    transient = F.lit(False)
-    for token in tokens or fixed.TRANSIENT_TOKENS:
-        transient = transient | reason.contains(token)
-    final = usable_label(F.col("vertical")) | ~transient
+    final = final_verdict(F.col("vertical"), F.col("reason"), tokens)
     rest = [c for c in attempts.columns if c not in keys]
     row = F.struct(*rest)
     tried = attempts if limit is None else attempts.where(F.col("n") <= limit)

@@ -1,4 +1,12 @@
-"""Niche labels: classifier inputs, response parsing and a default scorer."""
+"""Niche labels: classifier inputs, asking a service, response parsing, a default scorer.
+
+A *service* is what answers the questions of `label_requests`: a function without
+arguments that is called once per task and returns the task's own answering
+function (a client, a loaded model).  That function gets a batch with ``request`` and
+``n`` (1 for the first attempt) and returns ``content`` for each row, and if it has
+them ``reasoning`` and ``error``.  If it has a ``close`` method, the task calls it at
+its end.
+"""
 
 from __future__ import annotations
 
@@ -11,10 +19,12 @@ from pyspark.sql import types as T
 
 from hostweave.functions import fixed
 from hostweave.functions.stages import once
-from hostweave.operators.fetchlog import usable_label
+from hostweave.operators.fetchlog import final_verdict, resolve_verdicts, usable_label
 from hostweave.operators.text import url_hint
+from hostweave.session import settle
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
+Service = Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]
 VERDICT_SCHEMA = "vertical string, confidence double, reason string"
 
 
@@ -128,6 +138,60 @@ def _score_batches(profiles: DataFrame, scorer: Scorer) -> DataFrame:
     return profiles.mapInPandas(run, schema)
 
 
+def ask(
+    questions: DataFrame, service: Service, keys: tuple[str, ...] = ("url", "niche"),
+    attempts: int = 3, tokens: list[str] | None = None,
+) -> DataFrame:
+    """Verdicts of a service on ``questions`` (``keys`` and ``request``).
+
+    A round asks every open question once and is written before the next; only
+    questions whose answer failed for a transient reason are asked again, so the
+    table shrinks and nothing answered is asked twice if an executor is lost
+    later.  After ``attempts`` rounds the last answer counts.  A batch on which the
+    service raises an error gets that error as its reason.
+    """
+    key_fields = [f for f in questions.schema.fields if f.name in keys]
+    answer_schema = T.StructType(key_fields + T._parse_datatype_string(
+        "request string, n int, content string, reasoning string, error string").fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        answer = service()
+        try:
+            for pdf in batches:
+                try:
+                    said = answer(pdf[["request", "n"]]).reset_index(drop=True)
+                except Exception as e:  # whatever a user's client raises is an answer
+                    said = pd.DataFrame({"error": [f"API error: {e}"] * len(pdf)})
+                out = pdf.reset_index(drop=True)
+                for c in ("content", "reasoning", "error"):
+                    out[c] = said[c] if c in said else None
+                yield out
+        finally:
+            getattr(answer, "close", lambda: None)()
+
+    rounds, todo = [], questions.select(*keys, "request")
+    failed = F.coalesce("error", F.lit("")) != ""
+    for n in range(1, attempts + 1):
+        raw = todo.withColumn("n", F.lit(n)).mapInPandas(run, answer_schema)
+        parsed = parse_responses(raw, reasoning="reasoning").withColumns({
+            "vertical": F.when(failed, "Unknown").otherwise(F.col("vertical")),
+            "confidence": F.when(failed, F.lit(0.0)).otherwise(F.col("confidence")),
+            "reason": F.when(failed, F.col("error")).otherwise(F.col("reason")),
+        })
+        final = final_verdict(F.col("vertical"), F.col("reason"), tokens)
+        answered = settle(parsed.select(
+            *keys, "n", "vertical", "confidence", "reason", F.when(~final, F.col("request")).alias("request"),
+        ), f"answers-{n}")
+        rounds.append(answered.drop("request"))
+        todo = answered.where(F.col("request").isNotNull()).select(*keys, "request")
+        if n == attempts or todo.isEmpty():
+            break
+    tried = rounds[0]
+    for later in rounds[1:]:
+        tried = tried.unionByName(later)
+    return resolve_verdicts(tried, keys, tokens=tokens).select(*keys, "vertical", "confidence", "reason")
+
+
 def sweep_unknown(
     ver: DataFrame, verdicts: DataFrame, keys: tuple[str, ...] = ("job_id", "domain"),
     order: tuple[str, ...] = (),

@@ -124,9 +124,11 @@ def merge_passes(static: DataFrame, rendered: DataFrame, key: str = "page_id") -
     """Add platforms that only the rendered page shows; earlier evidence wins.
 
     Both sides carry just the key and the hit lists, so the join never moves
-    markup.
+    markup.  Of several rendered rows with one key the one with most hits counts (ties
+    by their text).
     """
-    extra = rendered.select(key, F.col("hits").alias("_rendered"))
+    most = F.max_by("hits", F.struct(F.size("hits"), F.to_json("hits")))
+    extra = rendered.groupBy(key).agg(most.alias("_rendered"))
 
     def merged() -> Column:
         known = platforms(F.col("hits"))

@@ -36,6 +36,15 @@ class Run:
     queries: DataFrame | None = None
 
 
+@dataclass
+class PageWork:
+    """Facts of captured pages, stacks of rendered ones, contacts of searched sites."""
+
+    facts: DataFrame
+    late: DataFrame | None
+    found: DataFrame | None
+
+
 def site_hosts(fetch_log: DataFrame, wanted: DataFrame) -> DataFrame:
     """Hosts (``_host``) that ``wanted`` addresses ask for or land on."""
     landed = fetch_log.where("status < 400 and final_url <> ''").select(
@@ -45,77 +54,92 @@ def site_hosts(fetch_log: DataFrame, wanted: DataFrame) -> DataFrame:
     return settle(asked.union(landed.select(urls.host_of(F.col("final_url")))).distinct(), "hosts")
 
 
-def resolved_pages(
-    fetch_log: DataFrame, wanted: DataFrame, hosts: DataFrame | None = None
-) -> DataFrame:
-    """One usable page per requested address: ``url, final_url, html, headers_text``.
+def needs(collected: DataFrame, jobs: DataFrame) -> DataFrame:
+    """What the jobs that collected an address ask for: ``url, label, search``.
+
+    An address without a job is labelled and not searched for contacts.
+    """
+    asked = collected.select("job_id", "url").join(acceptance.job_flags(jobs), "job_id", "left")
+    return settle(asked.groupBy("url").agg(
+        F.max(F.coalesce("classify", F.lit(True))).alias("label"),
+        F.max(F.coalesce("extract", F.lit(False))).alias("search"),
+    ), "needs")
 
-    Only addresses that lie or land on ``hosts`` (by default the `site_hosts` of
-    ``wanted``) are resolved; a site's contact and linked pages are among them.  They
-    are picked without bodies and the semi-join stands before the aggregate, so
-    bodies of other sites are not compared.
+
+def resolved_pages(fetch_log: DataFrame, wanted: DataFrame, hosts: DataFrame) -> DataFrame:
+    """One usable page per address: ``url, final_url, html, headers_text, search``.
+
+    Resolved are ``wanted`` addresses and those that lie or land on ``hosts``, where
+    contacts are searched (``search``); a site's contact and linked pages are among
+    them.  Addresses are picked without bodies before the aggregate, so bodies of
+    other sites are not compared.
     """
     log = fetch_log.select(
         urls.canonical_url(F.col("url")).alias("url"), "attempt", "status", "final_url",
         "headers_text", "body",
     )
     places = F.array(urls.host_of(F.col("url")), urls.host_of(F.col("final_url")))
-    near = log.select("url", F.explode(places).alias("_host")).join(
-        site_hosts(fetch_log, wanted) if hosts is None else hosts, "_host", "left_semi")
-    log = log.join(near.select("url").distinct(), "url", "left_semi")
+    near = log.select("url", F.explode(places).alias("_host")).join(hosts, "_host", "left_semi")
+    picked = near.select("url", F.lit(True).alias("search")).union(
+        wanted.select("url", F.lit(False))).groupBy("url").agg(F.max("search").alias("search"))
     landed = F.when(F.col("final_url") != "", F.col("final_url")).otherwise(F.col("url"))
-    return resolve_fetch(log).where("ok").select(
-        "url", landed.alias("final_url"), F.col("body").alias("html"), "headers_text"
+    return resolve_fetch(log.join(picked, "url")).where("ok").select(
+        "url", landed.alias("final_url"), F.col("body").alias("html"), "headers_text", "search"
     )
 
 
 def page_facts(pages: DataFrame, wanted: DataFrame, with_contacts: bool = True) -> DataFrame:
     """Everything later steps need from a page; the markup ends here.
 
-    Stack and text are only worked out for ``wanted`` addresses, contacts (unless
-    nobody asks for them) for every page of their hosts, since contact pages are
-    not collected themselves.  The result is written once because profiles and
-    contacts both read it.
+    Stack (and, if a job asks for a label, text) is worked out for ``wanted``
+    addresses, contacts for pages on the hosts that are searched, since contact
+    pages are not collected themselves.  The result is written once because profiles
+    and contacts both read it.
     """
-    if not with_contacts:
-        pages = pages.join(wanted.select("url"), "url", "left_semi")
-    flagged = pages.join(wanted.select("url", F.lit(True).alias("wanted")), "url", "left")
+    flagged = pages.join(wanted.select("url", F.col("label").alias("_label"), F.lit(True).alias("wanted")), "url", "left")
     is_wanted = F.coalesce("wanted", F.lit(False))
     staged = text.page_text(once(flagged, {
         "wanted": is_wanted,
         "_blob": F.when(is_wanted, tech.page_blob("html", "headers_text")).otherwise(""),
-        "_readable": F.when(is_wanted, F.col("html")).otherwise(""),
+        "_readable": F.when(F.coalesce("_label", F.lit(False)), F.col("html")).otherwise(""),
+        "_searched": F.when(F.col("search"), F.col("html")).otherwise(""),
     }), html="_readable")
     staged = tech.with_hits(staged.select(
-        "url", "final_url", "wanted", "title", "text", "_blob",
-        "html",
+        "url", "final_url", "wanted", "search", "title", "text", "_blob", "_searched",
     ))
     if not with_contacts:
-        return settle(staged.drop("html"), "page-facts")
-    return settle(contacts.page_contacts(staged, landed="final_url"), "page-facts")
+        return settle(staged.drop("_searched"), "page-facts")
+    return settle(contacts.page_contacts(staged, html="_searched", landed="final_url"), "page-facts")
+
 
+def _longest(pages: DataFrame) -> DataFrame:
+    """Of several captures of one address the longest."""
+    return latest_by(pages.withColumn("_size", F.length("html")), ["url"], ["_size", "html"]).drop("_size")
 
-def rendered_facts(rendered: DataFrame, hosts: DataFrame, with_contacts: bool = True) -> DataFrame:
-    """Hits and contacts of pages on ``hosts`` captured after client-side rendering.
+
+def rendered_hits(rendered: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Stacks of ``wanted`` addresses as captured after client-side rendering.
 
     Of several captures of one address the longest counts.
     """
     pages = rendered.select(urls.canonical_url(F.col("url")).alias("url"), "html")
-    pages = pages.join(hosts, urls.host_of(F.col("url")) == F.col("_host"), "left_semi")
-    single = latest_by(pages.withColumn("_size", F.length("html")), ["url"], ["_size", "html"]).drop("_size")
-    staged = tech.with_hits(once(single, {"_blob": tech.page_blob("html", None)}))
-    staged = contacts.page_contacts(staged) if with_contacts else staged.drop("html")
-    return settle(staged, "rendered-facts")
+    single = _longest(pages.join(wanted.select("url"), "url", "left_semi"))
+    staged = tech.with_hits(once(single, {"_blob": tech.page_blob("html", None)}, drop=("html",)))
+    return settle(staged, "rendered-hits")
 
 
-def profiles(
-    wanted: DataFrame, facts: DataFrame, rendered: DataFrame | None = None,
-    scorer: labels.Scorer | None = None,
-) -> DataFrame:
-    """Stack and label of each wanted address.
+def rendered_contacts(rendered: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Contacts of rendered pages on ``hosts``, where contacts are searched."""
+    pages = rendered.select(urls.canonical_url(F.col("url")).alias("url"), "html")
+    near = pages.join(hosts, urls.host_of(F.col("url")) == F.col("_host"), "left_semi")
+    return settle(contacts.page_contacts(_longest(near)), "rendered-contacts")
 
-    An address without a usable page keeps ``ok = false`` and no stack, but is
-    still labelled, from the words of its URL.
+
+def profiles(wanted: DataFrame, facts: DataFrame, rendered: DataFrame | None = None) -> DataFrame:
+    """Stack, title and text of each wanted address.
+
+    An address without a usable page keeps ``ok = false`` and no stack, title or
+    text.
     """
     known = facts.where("wanted").select("url", "final_url", "title", "text", "hits")
     pages = wanted.select("url").join(known, "url", "left").select(
@@ -129,56 +153,81 @@ def profiles(
         candidates = tech.rerender_candidates(pages, ok="ok").select("url")
         late = rendered.select("url", "hits").join(candidates, "url", "left_semi")
         pages = tech.merge_passes(pages, late, key="url")
-    labelled = labels.label_pages(
-        pages.withColumnsRenamed({"url": "requested", "final_url": "url"}), scorer
-    )
-    return labelled.select(
-        F.col("requested").alias("url"), "ok", F.col("url").alias("final_url"), "hits",
-        tech.platforms(F.col("hits")).alias("platforms"), "vertical", "confidence", "reason",
-    )
+    return once(pages, {"platforms": tech.platforms(F.col("hits"))})
+
+
+def judged(
+    rows: DataFrame, work: PageWork, scorer: labels.Scorer | None = None,
+    service: labels.Service | None = None,
+) -> DataFrame:
+    """Add stack and verdict to ``rows`` (``url``, ``niche`` and ``classify``).
+
+    A ``service`` is asked once for each address and niche that is to be classified,
+    about the niche if there is one, else about the categories.  Without one the
+    scorer (or the lexicon) labels each address, whatever the niche.  An address without
+    a page is judged by the words of its URL.
+    """
+    pages = profiles(rows.select("url").distinct(), work.facts, work.late)
+    shown = pages.withColumnsRenamed({"url": "requested", "final_url": "url"})
+    if service is None:
+        told = labels.label_pages(shown, scorer).withColumnsRenamed({"url": "final_url", "requested": "url"})
+        return rows.join(told.drop("title", "text"), "url")
+    questions = rows.where("classify").select(F.col("url").alias("requested"), "niche").distinct()
+    asked = questions.join(shown.select("requested", "url", "title", "text"), "requested")
+    asked = labels.label_requests(asked.withColumn("about", F.col("niche")), niche="about")
+    answers = labels.ask(asked, service, keys=("requested", "niche")).withColumnRenamed("requested", "url")
+    return rows.join(pages.drop("title", "text"), "url").join(answers, ["url", "niche"], "left")
 
 
 def site_contacts(facts: DataFrame, rendered: DataFrame | None = None) -> DataFrame:
-    """Assembled contacts per site base address."""
-    sites = facts.where("wanted").select(
+    """Assembled contacts per site base address of searched pages."""
+    sites = facts.where("wanted and search").select(
         contacts.site_base(F.col("final_url")).alias("site")
     ).distinct()
     found = contacts.staged_contacts(sites, facts, rendered, landed="final_url")
     return contacts.assemble_contacts(contacts.contact_cascade(found))
 
 
-def page_work(
-    wanted: DataFrame, fetch_log: DataFrame, rendered: DataFrame | None
-) -> tuple[DataFrame, DataFrame | None]:
-    """Facts of captured and rendered pages on the hosts that wanted addresses ask for
-    or land on."""
-    hosts = site_hosts(fetch_log, wanted)
-    facts = page_facts(resolved_pages(fetch_log, wanted, hosts), wanted)
-    return facts, None if rendered is None else rendered_facts(rendered, hosts)
+def page_work(wanted: DataFrame, fetch_log: DataFrame, rendered: DataFrame | None) -> PageWork:
+    """Work on the pages of ``wanted`` addresses (`needs`), and on the pages of the hosts
+    that addresses with ``search`` ask for or land on.
+
+    If no address is searched for contacts, nothing is extracted and no other page
+    of a host is read.
+    """
+    searched = wanted.where("search")
+    search = not searched.isEmpty()
+    hosts = site_hosts(fetch_log, searched) if search else searched.select(F.lit("").alias("_host")).limit(0)
+    facts = page_facts(resolved_pages(fetch_log, wanted, hosts), wanted, search)
+    late = None if rendered is None else rendered_hits(rendered, wanted)
+    shown = None if rendered is None or not search else rendered_contacts(rendered, hosts)
+    return PageWork(facts, late, site_contacts(facts, shown) if search else None)
 
 
 def verify(
-    collected: DataFrame, jobs: DataFrame, facts: DataFrame, late: DataFrame | None = None,
-    scorer: labels.Scorer | None = None,
+    collected: DataFrame, jobs: DataFrame, work: PageWork,
+    scorer: labels.Scorer | None = None, service: labels.Service | None = None,
 ) -> DataFrame:
     """Verification rows of collected (job_id, host, url, write_order) rows.
 
-    A page that several jobs collected is profiled once.  Rows that land on the
-    same domain within a job collapse to the last one collected.  A job that does
-    not classify keeps the label Unknown; one that does not ask for contacts has
-    none.
+    A page that several jobs collected is profiled once, and asked about once per
+    niche.  Rows that land on the same domain within a job collapse to the last one
+    collected.  A job that does not classify keeps the label Unknown; one that does
+    not ask for contacts has none.
     """
-    wanted = collected.select("url").distinct()
     flags = acceptance.job_flags(jobs)
-    classify = F.coalesce("classify", F.lit(True))
-    extract = F.coalesce("extract", F.lit(False))
-    joined = (
-        collected.withColumnRenamed("host", "requested_host")
-        .join(profiles(wanted, facts, late, scorer), "url")
-        .join(flags, "job_id", "left")
-        .withColumn("site", contacts.site_base(F.col("final_url")))
-        .join(site_contacts(facts, late), "site", "left")
-    )
+    rows = collected.withColumnRenamed("host", "requested_host").join(flags, "job_id", "left").withColumns({
+        "niche": F.coalesce("niche", F.lit("")), "classify": F.coalesce("classify", F.lit(True)),
+        "extract": F.coalesce("extract", F.lit(False)),
+    })
+    classify, extract = F.col("classify"), F.col("extract")
+    joined = judged(rows, work, scorer, service).drop("hits")
+    if work.found is not None:
+        joined = joined.withColumn("site", contacts.site_base(F.col("final_url"))).join(work.found, "site", "left")
+    else:
+        joined = joined.withColumns({
+            "emails": F.array().cast("array<string>"), "phones": F.array().cast("array<string>"),
+            "socials": F.create_map().cast(SOCIALS)})
     empty = F.array().cast("array<string>")
     rows = joined.select(
         "job_id", "requested_host", "write_order",
@@ -197,14 +246,14 @@ def verify(
 def run_campaign(
     jobs: DataFrame, links: DataFrame, fetch_log: DataFrame,
     campaigns: DataFrame | None = None, rendered: DataFrame | None = None,
-    scorer: labels.Scorer | None = None,
+    scorer: labels.Scorer | None = None, service: labels.Service | None = None,
 ) -> Run:
     """Links and fetch attempts of campaigns to accepted and rejected sites."""
     collected = settle(first_per_host(clean_urls(links)).withColumn(
         "write_order", F.struct("query_idx", "page_no", "rank")
     ), "urls")
-    facts, late = page_work(collected.select("url").distinct(), fetch_log, rendered)
-    ver = acceptance.accept(verify(collected, jobs, facts, late, scorer), jobs)
+    work = page_work(needs(collected, jobs), fetch_log, rendered)
+    ver = acceptance.accept(verify(collected, jobs, work, scorer, service), jobs)
     return Run(
         urls=collected, verifications=ver, summary=acceptance.run_summary(collected, ver),
         queries=None if campaigns is None else expand_queries(campaigns),
@@ -214,6 +263,7 @@ def run_campaign(
 def run_bulk(
     lists: DataFrame, jobs: DataFrame, fetch_log: DataFrame,
     rendered: DataFrame | None = None, scorer: labels.Scorer | None = None,
+    service: labels.Service | None = None,
 ) -> Run:
     """Verify given addresses: canonical form and excluded domains only."""
     usable = bulk_urls(lists).where(~F.col("skipped") & (F.col("host") != ""))
@@ -222,8 +272,8 @@ def run_bulk(
         ["list_id", "pos", "url"],
     )
     collected = settle(first.withColumn("write_order", F.struct("list_id", "pos")), "urls")
-    facts, late = page_work(collected.select("url").distinct(), fetch_log, rendered)
-    ver = acceptance.accept(verify(collected, jobs, facts, late, scorer), jobs, policy="resume")
+    work = page_work(needs(collected, jobs), fetch_log, rendered)
+    ver = acceptance.accept(verify(collected, jobs, work, scorer, service), jobs, policy="resume")
     return Run(urls=collected, verifications=ver,
                summary=acceptance.run_summary(collected, ver))
 
@@ -231,6 +281,7 @@ def run_bulk(
 def run_resume(
     jobs: DataFrame, collected: DataFrame, ver: DataFrame, fetch_log: DataFrame,
     rendered: DataFrame | None = None, scorer: labels.Scorer | None = None,
+    service: labels.Service | None = None,
 ) -> Run:
     """Finish interrupted jobs.
 
@@ -244,16 +295,17 @@ def run_resume(
     unknown = ~labels.usable_label(F.col("vertical")) & F.coalesce("classify", F.lit(True))
     bare = history.without_contacts() & F.coalesce("extract", F.lit(False))
     again = settle(flagged.where(unknown | bare).select(
-        "job_id", "domain", urls.canonical_url(F.col("url")).alias("url"), unknown.alias("unknown")
+        "job_id", "domain", urls.canonical_url(F.col("url")).alias("url"), F.coalesce("niche", F.lit("")).alias("niche"),
+        unknown.alias("unknown"), bare.alias("bare"),
     ), "again")
-    wanted = again.select("url").distinct()
-    facts, late = page_work(todo.select("url").union(wanted).distinct(), fetch_log, rendered)
-    fresh = verify(todo, jobs, facts, late, scorer)
-    asked = profiles(again.where("unknown").select("url").distinct(), facts, late, scorer)
-    verdicts = again.where("unknown").join(
-        asked.select("url", "vertical", "confidence", "reason"), "url"
-    ).drop("url", "unknown")
-    kept = fill_contacts(labels.sweep_unknown(ver, verdicts), site_contacts(facts, late), jobs)
+    both = needs(todo, jobs).union(again.select("url", F.col("unknown"), F.col("bare")))
+    wanted = settle(both.groupBy("url").agg(F.max("label").alias("label"), F.max("search").alias("search")), "wanted")
+    work = page_work(wanted, fetch_log, rendered)
+    fresh = verify(todo, jobs, work, scorer, service)
+    second = judged(again.where("unknown").withColumn("classify", F.lit(True)), work, scorer, service)
+    kept = labels.sweep_unknown(ver, second.select("job_id", "domain", "vertical", "confidence", "reason"))
+    if work.found is not None:
+        kept = fill_contacts(kept, work.found, jobs)
     both = kept.withColumn("_round", F.lit(0)).unionByName(
         fresh.withColumn("_round", F.lit(1)), allowMissingColumns=True
     )
@@ -281,14 +333,14 @@ def fill_contacts(ver: DataFrame, found: DataFrame, jobs: DataFrame) -> DataFram
 
 def verify_domains(
     addresses: DataFrame, fetch_log: DataFrame, rendered: DataFrame | None = None,
-    scorer: labels.Scorer | None = None,
+    scorer: labels.Scorer | None = None, service: labels.Service | None = None,
 ) -> DataFrame:
     """Stack and label of given addresses, without a job."""
     wanted = addresses.select(urls.canonical_url(F.col("url")).alias("url")).distinct()
-    hosts = site_hosts(fetch_log, wanted)
-    facts = page_facts(resolved_pages(fetch_log, wanted, hosts), wanted, with_contacts=False)
-    late = None if rendered is None else rendered_facts(rendered, hosts, with_contacts=False)
-    rows = profiles(wanted, facts, late, scorer)
+    wanted = wanted.withColumns({"label": F.lit(True), "search": F.lit(False)})
+    work = page_work(wanted, fetch_log, rendered)
+    asked = wanted.select("url", F.lit("").alias("niche"), F.lit(True).alias("classify"))
+    rows = judged(asked, work, scorer, service)
     return rows.select(
         F.col("final_url").alias("url"), urls.host_of(F.col("final_url")).alias("domain"),
         "platforms", "hits",

@@ -19,6 +19,7 @@ from hostweave.plans import runs
 from hostweave.session import settle, work_dir
 from hostweave.sources import exports, tables
 from hostweave.streaming import live
+from hostweave.testkit import services
 from hostweave.testkit.overlays import spark_overlay
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -662,6 +663,13 @@ def run_campaign(t):
     )
 
 
+@on
+def run_campaign_asked(t):
+    """Every (address, niche) is asked of a service that fails now and then."""
+    run = runs.run_campaign(t.jobs, t.fx_run_links, t.fx_run_log, rendered=_rendered(t), service=services.flaky)
+    return _verdict_columns(run.verifications)
+
+
 @on
 def run_bulk(t):
     return _verdict_columns(
@@ -692,4 +700,7 @@ def run_resume(t):
 
 @on
 def verify_domains(t):
-    return runs.verify_domains(t.fx_crawl, t.fx_run_log, rendered=_rendered(t)).drop("hits")
+    rows = runs.verify_domains(t.fx_crawl, t.fx_run_log, rendered=_rendered(t))
+    evidence = F.transform("hits", lambda h: F.concat(h["platform"], F.lit("="), F.array_join(
+        F.coalesce(h["evidence"], F.array().cast("array<string>")), ",")))
+    return rows.withColumn("hits", F.array_sort(evidence))

@@ -691,27 +691,54 @@ def profile_ctes(p: str, wanted: str) -> str:
 {p}again as (select w.url from {wanted} w left join {p}static s using (url) group by w.url having count(*) filter (where s.platform not in {FRAMEWORK_LIST}) = 0),
 {p}all_hits as (select url, platform, evidence, 0 as src from {p}static union all
   select url, platform, evidence, 1 from {p}shown l where url in (select url from {p}again) and not exists (select 1 from {p}static s where s.url = l.url and s.platform = l.platform)),
-{p}stacks as (select url, list(h.platform order by {order}) as platforms from {p}all_hits h join (select distinct pi, platform from markers) m using (platform) group by url),
+{p}stacks as (select url, list(h.platform order by {order}) as platforms, array_to_string(list_sort(list(h.platform || '=' || coalesce(array_to_string(evidence, ','), ''))), '|') as hits from {p}all_hits h join (select distinct pi, platform from markers) m using (platform) group by url),
 {text_ctes(p + 'pages').replace('full_text', p + 'full_text').replace('texts as', p + 'texts as')},
 {p}asked as (select w.url as requested, coalesce(t.landed, w.url) as url, t.landed is not null as ok, coalesce(title, '') as title, coalesce(text, '') as text from {wanted} w left join {p}texts t using (url)),
 {lexicon_ctes(p + 'asked').replace('seen_text', p + 'seen_text').replace('seen_counts', p + 'seen_counts').replace('labelled as', p + 'labelled as')},
-{p}profiles as (select requested as url, l.url as landed, ok, coalesce(platforms, []) as platforms, vertical, confidence, reason from {p}labelled l left join {p}stacks s on s.url = l.requested),
+{p}profiles as (select requested as url, l.url as landed, ok, coalesce(platforms, []) as platforms, coalesce(hits, '') as hits, vertical, confidence, reason from {p}labelled l left join {p}stacks s on s.url = l.requested),
 {p}sites as (select distinct rtrim({canon('landed')}, '/') as site from {p}pages),
 {cascade_ctes(p, 'run_pages', p + 'sites', 'run_rendered')},
 {assembled(p + 'contacts', p + 'kept')}"""
 
 
-def verify_ctes(p: str, collected: str) -> str:
+REQUEST = f"""case when niche <> '' then 'Does this site offer the niche "' || niche || '"? Answer with that niche or Other.'
+  else 'Choose the best category: Jewelry, Fashion, Retail or Other.' end || chr(10) || 'URL: ' || url || chr(10) || 'TITLE: ' || title || chr(10) || 'URL HINT: ' || {hint('url')}
+  || chr(10) || 'TEXT (' || cast(length(text) as varchar) || ' chars): ' || case when text <> '' then text else '[no page text]' end"""
+
+
+def service_ctes(p: str, collected: str) -> str:
+    """CTE ``{p}verdicts`` (url, niche, verdict): answers of the flaky service, three attempts."""
+    size = "length(request)"
+    return f"""
+{p}questions as (select distinct c.url as requested, trim(coalesce(j.custom_niche, '')) as niche from {collected} c left join fx_jobs j on j.id = c.job_id where coalesce(j.classify_niche, true)),
+{p}requests as (select requested, niche, {REQUEST} as request from {p}questions join {p}asked using (requested)),
+{p}answers as (select *, case when {size} % 11 = 0 then 'model rejection' when {size} % 7 = 0 then 'timeout'
+  when {size} % 3 = 0 and n = 1 or {size} % 13 = 0 and n <= 2 then 'API error: 429' else '' end as error from {p}requests, (values (1), (2), (3)) t(n)),
+{p}tried as (select *, error in ('', 'model rejection') or n = 3 as final from {p}answers),
+{p}verdicts as (select requested as url, niche, case when error <> '' then 'Unknown' when niche <> '' then case when contains(lower(request), 'rings') then niche else 'Other' end
+  when contains(lower(request), 'rings') then 'Jewelry' when contains(lower(request), 'shoes') then 'Fashion' else 'Other' end as vertical,
+  case when error <> '' then 0.0::double else cast('0.' || cast(5 + {size} % 5 as varchar) as double) end as confidence,
+  case when error <> '' then error else 'attempt ' || n end as reason from {p}tried where final qualify row_number() over (partition by requested, niche order by n) = 1)"""
+
+
+def verify_ctes(p: str, collected: str, service: bool = False) -> str:
     """CTE ``{p}ver`` from ``collected`` (job_id, host, url, w = write order)."""
+    base, source = profile_ctes(p, p + 'wanted'), collected
+    if service:
+        base += f""",{service_ctes(p, collected)},
+{p}niched as (select c.*, trim(coalesce(j.custom_niche, '')) as niche from {collected} c left join fx_jobs j on j.id = c.job_id)"""
+        labels, collected = f"left join {p}verdicts v on v.url = c.url and v.niche = c.niche", f"{p}niched"
+    else:
+        labels = ""
     return f"""
-{p}wanted as (select distinct url from {collected}),
-{profile_ctes(p, p + 'wanted')},
+{p}wanted as (select distinct url from {source}),
+{base},
 {p}rows as (select c.job_id, c.host as requested_host, {host('r.landed')} as domain, r.landed as url, platforms,
-  case when coalesce(j.classify_niche, true) then r.vertical else 'Unknown' end as vertical, case when coalesce(j.classify_niche, true) then confidence else 0.0::double end as confidence,
-  case when coalesce(j.classify_niche, true) then reason else '' end as reason,
+  case when coalesce(j.classify_niche, true) then {'v' if service else 'r'}.vertical else 'Unknown' end as vertical, case when coalesce(j.classify_niche, true) then {'v' if service else 'r'}.confidence else 0.0::double end as confidence,
+  case when coalesce(j.classify_niche, true) then {'v' if service else 'r'}.reason else '' end as reason,
   case when j.extract_contacts then coalesce(emails, '') else '' end as emails, case when j.extract_contacts then coalesce(phones, '') else '' end as phones, case when j.extract_contacts then coalesce(socials, '') else '' end as socials,
   row_number() over (partition by c.job_id, {host('r.landed')} order by w desc, c.host desc) as rn
-  from {collected} c join {p}profiles r using (url) left join {p}contacts k on k.site = rtrim({canon('r.landed')}, '/') left join fx_jobs j on j.id = c.job_id),
+  from {collected} c join {p}profiles r on r.url = c.url {labels} left join {p}contacts k on k.site = rtrim({canon('r.landed')}, '/') left join fx_jobs j on j.id = c.job_id),
 {p}ver as (select * exclude (rn) from {p}rows where rn = 1)"""
 
 
@@ -723,6 +750,7 @@ def decided(ver: str, apply: str, skip: str) -> str:
 RUN_URLS = f"""{clean_ctes('fx_run_links')}, {first_host('job_id', 'query_idx, page_no, rank')},
 collected as (select job_id, host, url, query_idx, rank, struct_pack(a := query_idx, b := page_no, c := rank) as w from firsts)"""
 oracle("run_campaign", f"with {RUN_LOG}, {RUN_URLS}, {verify_ctes('v_', 'collected')}, {decided('v_ver', 'wanted and not none_ok', 'skip_tech_filter')}")
+oracle("run_campaign_asked", f"with {RUN_LOG}, {RUN_URLS}, {verify_ctes('v_', 'collected', service=True)}, {decided('v_ver', 'wanted and not none_ok', 'skip_tech_filter')}")
 oracle("run_bulk", f"""with {RUN_LOG}, {BULK},
 bulk_ranks as (select *, row_number() over (partition by job_id, host order by list_id, pos, url) as rn from bulk where not skipped and host <> ''),
 collected as (select job_id, host, url, struct_pack(a := list_id, b := pos) as w from bulk_ranks where rn = 1),
@@ -743,5 +771,5 @@ every as (select *, 0 as round_ from patched union all select *, 1 from v_ver),
 every_rank as (select *, row_number() over (partition by job_id, domain order by round_ desc, requested_host desc) as rn from every),
 current_rows as (select * exclude (rn, round_) from every_rank where rn = 1), {decided('current_rows', 'wanted', 'false')}""")
 oracle("verify_domains", f"""with {RUN_LOG}, wanted_urls as (select distinct {canon('url')} as url from fx_crawl), {profile_ctes('v_', 'wanted_urls')}
-select landed as url, {host('landed')} as domain, array_to_string(platforms, '|') as platforms, case when ok then vertical else 'Unknown' end as vertical,
+select landed as url, {host('landed')} as domain, array_to_string(platforms, '|') as platforms, hits, case when ok then vertical else 'Unknown' end as vertical,
   case when ok then confidence else 0.0::double end as confidence, case when ok then reason else 'fetch failed' end as reason from v_profiles""")

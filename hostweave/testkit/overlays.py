@@ -100,6 +100,8 @@ select c.url, attempt, case when (c.page_id * 7 + attempt * 3) % 4 < 2 then 403
   case when c.page_id % 10 = 7 then concat('https://landing', cast(c.page_id % 4 as string), '.shop/') else c.url end as final_url,
   c.headers_text, case when (c.page_id + attempt) % 6 = 0 then '' else c.html end as body
 from (select *, 1 as attempt from @fx_crawl union all select *, 2 from @fx_crawl union all select *, 3 from @fx_crawl) c
+union all select concat('https://landing', cast(page_id % 4 as string), '.shop/contact'), 1, 200, '', headers_text,
+  concat('<p>Write to <a href="mailto:desk', cast(page_id as string), '@landing.co">us</a></p>') from @fx_crawl where page_id in (7, 17)
 """,
     "fx_jobs": """
 select concat('job_', cast(o_orderkey as string)) as id, o_orderdate as created_at,

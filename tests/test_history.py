@@ -290,7 +290,7 @@ def test_runs_read_only_wanted_hosts(spark):
         [(f"https://s{i}.com/", 1, 200, "", "", "<p>body</p>") for i in range(50)],
         "url string, attempt int, status int, final_url string, headers_text string, body string")
     wanted = spark.createDataFrame([("https://s3.com/",)], "url string")
-    pages = runs.resolved_pages(log, wanted)
+    pages = runs.resolved_pages(log, wanted, runs.site_hosts(log, wanted))
     assert [r.url for r in pages.collect()] == ["https://s3.com/"]
 
 
@@ -307,14 +307,13 @@ def test_contacts_of_a_landing_host_are_found(spark):
         row("https://x.com/contact", "", "<a href='mailto:no@x.com'>m</a>"),
     ], "url string, attempt int, status int, final_url string, headers_text string, body string")
     wanted = spark.createDataFrame([("https://a.com/",)], "url string").select(
-        runs.urls.canonical_url(runs.F.col("url")).alias("url"))
+        runs.urls.canonical_url(runs.F.col("url")).alias("url"), runs.F.lit(True).alias("label"), runs.F.lit(True).alias("search"))
     rendered = spark.createDataFrame([("https://b.com/", "<p>late</p>"), ("https://x.com/", "<p>x</p>")],
                                      "url string, html string")
-    seen = {r.url for r in runs.resolved_pages(log, wanted).collect()}
+    seen = {r.url for r in runs.resolved_pages(log, wanted, runs.site_hosts(log, wanted)).collect()}
     assert len(seen) == 3 and not any("x.com" in u for u in seen)
-    facts, late = runs.page_work(wanted, log, rendered)
-    assert late.count() == 1
-    assert "other@b.com" in runs.site_contacts(facts).first().emails
+    work = runs.page_work(wanted, log, rendered)
+    assert work.late.count() == 1
+    assert "other@b.com" in work.found.first().emails
     without = log.where("url <> 'https://c.com/'")
-    facts, _ = runs.page_work(wanted, without, None)
-    assert runs.site_contacts(facts).first().emails == ["hi@b.com"]
+    assert runs.page_work(wanted, without, None).found.first().emails == ["hi@b.com"]
