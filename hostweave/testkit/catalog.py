@@ -17,7 +17,7 @@ from hostweave.operators import (
 )
 from hostweave.plans import runs
 from hostweave.session import settle, work_dir
-from hostweave.sources import exports, tables
+from hostweave.sources import exports, store, tables
 from hostweave.streaming import live
 from hostweave.testkit import services
 from hostweave.testkit.overlays import spark_overlay
@@ -170,10 +170,20 @@ def outreach_export(t):
     return exports.outreach_table(t.verifications, keys=("job_id",))
 
 
-@on
-def job_detail(t):
-    ids = t.jobs.where("status = 'running'").select("id")
-    return tables.job_detail(t.urls, t.verified(), ids)
+def _running(t) -> DataFrame:
+    return t.jobs.where("status = 'running'").select("id")
+
+
+@query
+def job_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored rows of all running jobs; only their buckets are read."""
+    t, path = Tables(spark, sf_dir), work_dir(spark, "detail")
+    exports.write_history(t.urls, f"{path}/urls")
+    exports.write_history(t.verified(), f"{path}/verifications")
+    ids = _running(t)
+    wanted = ids.withColumnRenamed("id", "job_id")
+    rows = [store.read_jobs(spark, f"{path}/{name}", wanted) for name in ("urls", "verifications")]
+    return flat(tables.job_detail(*rows, ids))
 
 
 @query
@@ -199,13 +209,38 @@ def results_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def history_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verification rows of a few jobs from a bucketed history; other buckets are not read."""
-    path = work_dir(spark, "history")
-    exports.write_history(Tables(spark, sf_dir).verified("vertical", "accepted"), path)
-    rows = exports.read_history(spark, path, [f"job_{i}" for i in range(1, 40)])
+    """Verification rows of all running jobs from a bucketed history."""
+    t, path = Tables(spark, sf_dir), work_dir(spark, "history")
+    exports.write_history(t.verified("vertical", "accepted"), path)
+    rows = store.read_jobs(spark, path, _running(t).withColumnRenamed("id", "job_id"))
     return flat(rows.select("job_id", "domain", "version", "vertical", "accepted"))
 
 
+@query
+def history_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored history after an upsert, a replayed upsert, a deletion of jobs and an
+    upsert of rows that bring some of them back."""
+    t, path = Tables(spark, sf_dir), work_dir(spark, "changed")
+    rows = t.fx_history.select("job_id", "domain", "version", "tiebreak", "vertical", "accepted")
+    exports.write_history(fetchlog.latest_by(rows.where("version <= 3"), ["job_id", "domain"], ["version", "tiebreak"]), path)
+    later = rows.where("version between 4 and 5")
+    store.merge_history(spark, path, later, "later")
+    store.merge_history(spark, path, later.where("domain < 's2'"), "again")
+    gone = t.jobs.where("status = 'stopped'").select(F.col("id").alias("job_id"))
+    store.delete_history(spark, path, gone, "gone")
+    store.merge_history(spark, path, rows.where("version > 5"), "last")
+    return flat(spark.read.parquet(path).drop("job_bucket"))
+
+
+@query
+def history_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collected hosts inserted into a stored table if absent."""
+    t, path = Tables(spark, sf_dir), work_dir(spark, "appended")
+    exports.write_history(collect.first_by(t.fx_urls.where("seq <= 3"), ["job_id", "host"], ["seq", "tiebreak"]), path)
+    store.append_history(spark, path, t.fx_urls.where("seq > 3"), "new")
+    return flat(spark.read.parquet(path).drop("job_bucket"))
+
+
 # --- query expansion ----------------------------------------------------------
 
 @on

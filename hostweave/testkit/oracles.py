@@ -251,7 +251,12 @@ oracle("results_export", results(""))
 oracle("results_export_accepted", results("where accepted = 1"))
 oracle("results_tsv", results(""))
 oracle("history_lookup", f"""with {LATEST} select job_id, domain, cast(version as bigint) as version, vertical, accepted = 1 as accepted
-from latest where job_id in (select 'job_' || i from range(1, 40) r(i))""")
+from latest where job_id in (select id from fx_jobs where status = 'running')""")
+oracle("history_changed", """with kept as (select * from fx_history where version > 5 or job_id not in (select id from fx_jobs where status = 'stopped')),
+numbered as (select *, row_number() over (partition by job_id, domain order by version desc, tiebreak desc) as rn from kept)
+select job_id, domain, cast(version as bigint) as version, tiebreak, vertical, cast(accepted as bigint) as accepted from numbered where rn = 1""")
+oracle("history_appended", """with ordered as (select *, row_number() over (partition by job_id, host order by seq > 3, seq, tiebreak) as rn from fx_urls)
+select job_id, host, cast(seq as bigint) as seq, tiebreak from ordered where rn = 1""")
 oracle("outreach_export", f"""with {LATEST} select job_id, domain, url, vertical as niche, confidence,
   array_to_string({comma('platforms')}, '|') as tech_stack, array_to_string({comma('emails')}, '; ') as emails,
   array_to_string({comma('phones')}, '; ') as phones,
@@ -641,7 +646,8 @@ oracle("list_jobs_all", job_list(""))
 PREVIOUS = """keyed as (select id, created_at, status, concat_ws('~', keywords, custom_niche, city, coalesce(state, ''), country, area, array_to_string(list_sort(string_split(stacks, ',')), ',')) as k from fx_jobs),
 pairs as (select id as job_id, last_value(case when status in ('done', 'stopped') then id end ignore nulls) over (partition by k order by created_at, id rows between unbounded preceding and 1 preceding) as prev_job_id from keyed)"""
 DIFF = f"""{PREVIOUS}, linked as (select * from pairs where prev_job_id is not null), hosts as (select distinct job_id, host from fx_urls),
-fresh as (select l.job_id, l.prev_job_id, h.host from linked l join hosts h using (job_id) where not exists (select 1 from hosts p where p.job_id = l.prev_job_id and p.host = h.host))"""
+compared as (select l.job_id, l.prev_job_id, h.host, p.host as known from linked l join hosts h on h.job_id = l.job_id left join hosts p on p.job_id = l.prev_job_id and p.host = h.host),
+fresh as (select job_id, prev_job_id, host from compared where known is null)"""
 oracle("previous_run", f"with {PREVIOUS} select * from pairs")
 oracle("new_hosts", f"with {DIFF} select * from fresh")
 oracle("run_diff", f"""with {DIFF} select job_id, prev_job_id, (select count(*) from fresh f where f.job_id = l.job_id) as new_count,
