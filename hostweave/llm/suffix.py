@@ -13,7 +13,8 @@ number of documents hold its key or its words.  The copy in the smallest (docume
 position) stays; the others are marked.  A marked word therefore always has an
 equal word in an earlier copy, and following the copies down ends at one that stays.
 
-``least`` words are compared by a 64-bit hash.
+``least`` words are compared by a 64-bit hash.  Joins of a table that grows with the
+corpus are planned as merge joins at every size.
 """
 
 from __future__ import annotations
@@ -132,12 +133,12 @@ def _suffixes(least: int):
 SCANNED = "doc_id long, pos int, body long, other long, words long, lead boolean"
 
 
-def _table(words_, doc_id, pos, body, other=None, lead: bool | None = None) -> pa.RecordBatch:
+def _table(words_, doc_id, pos, body, other=None, lead: bool = False) -> pa.RecordBatch:
     n = len(doc_id)
     return pa.record_batch({
         "doc_id": pa.array(doc_id, pa.int64()), "pos": pa.array(pos, pa.int32()), "body": pa.array(body, pa.int64()),
         "other": pa.nulls(n, pa.int64()) if other is None else pa.array(other, pa.int64()),
-        "words": pa.nulls(n, pa.int64()) if lead is None else pa.array(words_, pa.int64()),
+        "words": pa.nulls(n, pa.int64()) if words_ is None else pa.array(words_, pa.int64()),
         "lead": pa.array([lead] * n, pa.bool_()),
     })
 
@@ -145,19 +146,19 @@ def _table(words_, doc_id, pos, body, other=None, lead: bool | None = None) -> p
 def _scan(batches: Batches) -> Batches:
     """Compare each sorted suffix of a partition with the first that has its words.
 
-    The words that a partition begins with may have started in an earlier one:
-    their rows leave with ``words`` (``lead`` false) to be compared afterwards, as do
-    the first rows of the first and of the last words (``lead`` true).
+    The words that a partition begins with may have started in an earlier one: their
+    rows carry ``words`` and are decided against the leads, the first row of the first
+    and of the last words of each partition (``lead``).
     """
-    lead, outer = None, None
+    first_of, outer = None, None
     for batch in batches:
         if not len(batch):
             continue
         rows = [batch[c].to_numpy(zero_copy_only=False) for c in ("words", "doc_id", "pos", "body")]
-        if lead is None:
-            lead = outer = tuple(c[0] for c in rows)
+        if first_of is None:
+            first_of = outer = tuple(c[0] for c in rows)
             yield _table(*([x] for x in outer), lead=True)
-        rows = [np.append(x, c) for x, c in zip(lead, rows, strict=True)]
+        rows = [np.append(x, c) for x, c in zip(first_of, rows, strict=True)]
         name = rows[0]
         new = np.append(True, name[1:] != name[:-1])
         first = np.maximum.accumulate(np.where(new, np.arange(len(name)), 0))
@@ -165,29 +166,13 @@ def _scan(batches: Batches) -> Batches:
         for c in rows[1:]:
             later |= c != c[first]
         edge = name == outer[0]
-        edge[0] = later[0] = False  # the lead, not a row of this batch
-        if edge.any():
-            yield _table(*(c[edge] for c in rows), lead=False)
+        later[0] = edge[0] = False  # carried over, not a row of this batch
+        yield _table(*(c[edge] for c in rows))
         inside = later & ~edge
-        yield _table(*(c[inside] for c in rows), other=rows[1][first[inside]])
-        lead = tuple(c[first[-1]] for c in rows)
-    if lead is not None:
-        yield _table(*([x] for x in lead), lead=True)
-
-
-def _across(leads: dict[int, tuple]):
-    """Compare the rows that ``_scan`` left open with the first of their words.
-
-    ``leads`` holds at most two rows per partition.
-    """
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            rows = [batch[c].to_numpy(zero_copy_only=False) for c in ("words", "doc_id", "pos", "body")]
-            name, at = np.unique(rows[0], return_inverse=True)
-            first = np.array([leads[x] for x in name.tolist()], np.int64).reshape(-1, 3)[at]
-            later = (np.stack(rows[1:], axis=1) != first).any(axis=1)
-            yield _table(*(c[later] for c in rows), other=first[later, 0])
-    return run
+        yield _table(None, *(c[inside] for c in rows[1:]), other=rows[1][first[inside]])
+        first_of = tuple(c[first[-1]] for c in rows)
+    if first_of is not None:
+        yield _table(*([x] for x in first_of), lead=True)
 
 
 def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
@@ -204,19 +189,19 @@ def repeats(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
     source = texts(docs.where("doc_id is not null"), "doc_id")
     starts = source.mapInArrow(_starts(least, seed), STARTS)
     shared = settle(starts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
-    places = starts.join(shared, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
+    places = starts.join(shared.hint("merge"), "key", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("places"))
     places = settle(places, "places")
     bodies = source.withColumn("body", F.xxhash64("text"))
-    suffixes = bodies.join(places, "doc_id").mapInArrow(_suffixes(least), SUFFIXES)
+    suffixes = bodies.join(places.hint("merge"), "doc_id").mapInArrow(_suffixes(least), SUFFIXES)
     order = ["words", "doc_id", "pos", "body"]
     ordered = bounded_batches(suffixes).repartitionByRange(*order).sortWithinPartitions(*order)
     scanned = settle(ordered.mapInArrow(_scan, SCANNED), "scanned")
-    leads = scanned.where("lead").groupBy("words").agg(F.min(F.struct("doc_id", "pos", "body")).alias("first"))
-    across = scanned.where("not lead").mapInArrow(
-        _across({r["words"]: tuple(r["first"]) for r in leads.collect()}), SCANNED)
-    names = ["doc_id", "body", "pos", "other"]
-    return scanned.where("lead is null").select(*names).union(across.select(*names)).select(
-        "doc_id", "body", F.col("pos").alias("first"), (F.col("pos") + least).alias("last"), "other")
+    row = F.struct("doc_id", "pos", "body")
+    leads = scanned.where("lead").groupBy("words").agg(F.min(row).alias("lead_row"))  # two a partition at most
+    found = scanned.where("not lead").drop("lead").join(F.broadcast(leads), "words", "left") \
+        .where(F.col("lead_row").isNull() | (F.col("lead_row") != row))
+    return found.select("doc_id", "body", F.col("pos").alias("first"), (F.col("pos") + least).alias("last"),
+                        F.coalesce("lead_row.doc_id", "other").alias("other"))
 
 
 def marked(docs: DataFrame, least: int = LEAST, seed: int = SEED) -> DataFrame:
@@ -269,7 +254,7 @@ def remove_marked(docs: DataFrame, found: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c.lower() not in added]
     marks = found.select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"), "spans", "others")
     joined = docs.select(*names, F.col("text").cast("binary").alias("text")).join(
-        marks, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__body")), "left").select(
+        marks.hint("merge"), (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__body")), "left").select(
         *(F.col(f"`{c}`") for c in names),
         F.coalesce("spans", F.expr("cast(array() as array<struct<first:int,last:int>>)")).alias("spans"),
         F.coalesce("others", F.expr("cast(array() as array<bigint>)")).alias("others"), "text")
