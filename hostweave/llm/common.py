@@ -38,11 +38,41 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+class Scope:
+    """Tables settled inside it are removed at its end, but for those it ``keep``s."""
+
+    open: list[Scope] = []
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scope:
+        Scope.open.append(self)
+        return self
+
+    def __exit__(self, *error) -> None:
+        Scope.open.remove(self)
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        """Settle what is read after the scope; it must not be read back from a scope's table."""
+        return _written(df, shared_dir(self.spark, label))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write a table that later steps read more than once, and read it back."""
     path = shared_dir(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if Scope.open:
+        Scope.open[-1].paths.append(path)
+    return _written(df, path)
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:

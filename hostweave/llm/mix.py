@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, settle
+from .common import SPACE, Scope, settle
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -201,8 +201,10 @@ def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "source", "text"))
     rows = sized(keyed).select(F.col("__key").alias("doc_id"), "source", F.col("__size").alias("size"),
                                F.lit(1.0).alias("q"))
-    copies = mix_rows(rows, weights, share, cap).groupBy("doc_id").agg(F.sum("copies").alias("__copies")) \
-        .where("__copies > 0").withColumnRenamed("doc_id", "__key")
-    one = keyed.dropDuplicates(["__key"]).join(settle(copies, "copies"), "__key")
+    with Scope(docs.sparkSession) as scope:
+        copies = mix_rows(rows, weights, share, cap).groupBy("doc_id").agg(F.sum("copies").alias("__copies")) \
+            .where("__copies > 0").withColumnRenamed("doc_id", "__key")
+        copies = scope.keep(copies, "copies")
+    one = keyed.dropDuplicates(["__key"]).join(copies.hint("merge"), "__key")
     repeated = one.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
     return repeated.select(*(F.col(f"`{c}`") for c in docs.columns))

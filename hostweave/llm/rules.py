@@ -175,5 +175,5 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the same columns."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), docs["text"])
-    model = fit(settle(with_metrics(docs.select("text")).select("quality"), "metrics"))
-    return judge(with_metrics(rows), model).where("kept").select("doc.*")
+    counted = settle(with_metrics(rows).select("doc", "quality"), "metrics")  # counted once for fit and verdict
+    return judge(counted, fit(counted.select("quality"))).where("kept").select("doc.*")
