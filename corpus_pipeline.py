@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostweave.llm import mix, near, pack, rules, suffix
-from hostweave.llm.common import settle
+from hostweave.llm.common import Scope, settle
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,16 +22,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, and all texts without words."""
-    kept = near.near_duplicates(docs.select("doc_id", "text")).where("kept") \
-        .select(F.col("doc_id").alias("kept_id")).distinct()
-    kept = settle(kept, "kept")
+    with Scope(spark) as scope:
+        kept = near.near_duplicates(docs.select("doc_id", "text")).where("kept")
+        kept = scope.keep(kept.select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
+    kept = kept.hint("merge")  # it grows with the corpus: one plan at every size
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier document holds; emptied ones go."""
-    cut = suffix.marked(docs)
-    rest = suffix.remove_marked(docs, settle(cut, "marked"))
+    with Scope(spark) as scope:
+        cut = scope.keep(suffix.marked(docs), "marked")
+    rest = suffix.remove_marked(docs, cut)
     emptied = (F.col("removed_words") > 0) & (F.col("removed_words") == F.col("n_words"))
     rest = rest.where(~emptied).withColumn("n_chars", F.when(
         F.col("removed_words") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
