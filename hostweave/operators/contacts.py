@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from hostweave.functions import fixed, markup, urls
 from hostweave.functions.stages import once
 from hostweave.operators import tech, text
+from hostweave.session import settle
 
 VALUE_TYPE = "array<struct<kind:string,network:string,value:string>>"
 KINDS = ("email", "phone", "social")
@@ -395,6 +396,64 @@ def staged_contacts(
     return _rows(out, "v")
 
 
+def _open_sites(sites: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """``sites`` for which the rows found so far are not enough to stop."""
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.union(part)
+    has = {k: F.max(F.col("kind") == k).alias(k) for k in KINDS}
+    done = found.groupBy("site").agg(*has.values()).where(
+        F.col("email") | (F.col("phone") & F.col("social")))
+    return settle(sites.join(done.select("site"), "site", "left_anti"), "open-sites")
+
+
+def search_contacts(
+    sites: DataFrame, pages: DataFrame, rendered: DataFrame | None = None,
+    html: str = "html", landed: str = "url",
+) -> DataFrame:
+    """Contacts by stage as `staged_contacts`, but a site that has enough is not
+    searched further.
+
+    Three rounds: home pages; rendered pages of open client-side sites; contact and
+    linked pages of sites that are still open.  Only pages of open sites have their
+    markup scanned in a round.  `contact_cascade` keeps the same rows of either.
+    """
+    sites = settle(sites.select("site").distinct(), "sites")
+    pages = once(pages, {"_url": site_base(F.col("url")), "_home": site_base(F.col(landed))})
+    homes = pages.join(sites.select(F.col("site").alias("_home")), "_home", "left_semi")
+    found = settle(page_contacts(homes, html, landed), "home-contacts")
+
+    def at(*stages: tuple[int, str]):
+        return F.inline(F.array(*[F.struct(F.lit(n).alias("stage"), F.col(v).alias("v")) for n, v in stages]))
+
+    first = found.select(F.col("_home").alias("site"), at((PAYLOAD, "payload"), (FOOTER, "footer"), (HOME, "whole")))
+    parts = [settle(_rows(first, "v"), "round")]
+    left = _open_sites(sites, parts)
+    if rendered is not None:
+        shells = found.where("spa").select(F.col("_home").alias("site")).join(left, "site", "left_semi").distinct()
+        late = rendered.select(site_base(F.col("url")).alias("site"), "url", "html").join(shells, "site", "left_semi")
+        late = page_contacts(late).select("site", at((RENDERED_FOOTER, "footer"), (RENDERED_HOME, "whole")))
+        parts.append(settle(_rows(late, "v"), "round"))
+        left = _open_sites(left, parts)
+    address = urls.canonical_url(F.col("url")).alias("url")
+    captured = pages.select(address).distinct()
+    paths = [F.when(F.col("_url").endswith(path), F.struct(
+        _base_of(F.col("_url"), path).alias("site"), F.lit(FIRST_EXTRA + i).alias("stage"),
+    )) for i, path in enumerate(fixed.CONTACT_PATHS)]
+    by_path = pages.select(address, F.inline(F.array_compact(F.array(*paths)))).join(left, "site", "left_semi")
+    linked = found.select(F.col("_home").alias("site"), F.posexplode("links").alias("pos", "url"))
+    linked = first_links(linked.join(left, "site", "left_semi"), captured)
+    targets = settle(by_path.select("site", "stage", "url").union(linked).distinct(), "targets")
+    looked = pages.select(address, F.col(html).alias("_page")).join(
+        targets.select("url").distinct(), "url", "left_semi")
+    looked = once(looked, {"v": contacts_in(F.col("_page"))}, drop=("_page",))
+    parts.append(_rows(targets.join(looked, "url").select("site", "stage", "v"), "v"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
 def contact_cascade(contacts: DataFrame) -> DataFrame:
     """Keep what a stage-by-stage search with early stop would have found.
 

@@ -114,6 +114,10 @@ class Tables:
             settle(contacts.page_contacts(self.fx_rendered.select("url", "html")), "rendered"),
         )
 
+    @property
+    def searched(self) -> DataFrame:
+        return contacts.search_contacts(self.sites, self.crawl, self.fx_rendered.select("url", "html"))
+
 
 def on(fn: Callable[[Tables], DataFrame]) -> Query:
     """Register a query that only needs the overlays."""
@@ -467,12 +471,12 @@ def staged_contacts(t):
 
 @on
 def contact_cascade(t):
-    return contacts.contact_cascade(t.staged)
+    return contacts.contact_cascade(t.searched)
 
 
 @on
 def contacts_row(t):
-    return contacts.assemble_contacts(contacts.contact_cascade(t.staged))
+    return contacts.assemble_contacts(contacts.contact_cascade(t.searched))
 
 
 # --- labels -------------------------------------------------------------------

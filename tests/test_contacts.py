@@ -142,3 +142,23 @@ def test_assembled_lists_are_sorted_and_whole(spark):
     assert row.socials == {"tiktok": [f"t{i}" for i in range(7)]}
     row = contacts.assemble_contacts(df, {"email": 10, "social": 5}).collect()[0]
     assert (len(row.emails), len(row.socials["tiktok"])) == (10, 5)
+
+
+def test_a_site_with_enough_is_not_searched_further(spark):
+    filler = "<p>words</p>"
+    pages = spark.createDataFrame([
+        ("https://a.com/", "<a href='mailto:home@a.com'>m</a>"), ("https://a.com/contact", "<a href='mailto:more@a.com'>m</a>"),
+        ("https://b.com/", filler + "<footer><a href='/team'>our team: about us</a></footer>"),
+        ("https://b.com/contact", "<a href='tel:+15551234567'>t</a>"), ("https://b.com/team", "<a href='mailto:team@b.com'>m</a>"),
+        ("https://c.com/contact", "<a href='mailto:none@c.com'>m</a>"),
+    ], "url string, html string")
+    sites = spark.createDataFrame([("https://a.com",), ("https://b.com",), ("https://a.com",)], "site string")
+    rows = {(r.site[8:], r.kind, r.value) for r in contacts.search_contacts(sites, pages).collect()}
+    assert rows == {("a.com", "email", "home@a.com"), ("b.com", "phone", "+15551234567"), ("b.com", "email", "team@b.com")}
+    staged = contacts.staged_contacts(sites.distinct(), contacts.page_contacts(pages).cache())
+    assert {r.value for r in staged.collect()} == {v for *_, v in rows} | {"more@a.com"}
+    key = ["site", "kind", "network", "value", "first_stage"]
+    kept = [sorted(map(tuple, contacts.contact_cascade(x).select(*key).collect()))
+            for x in (staged, contacts.search_contacts(sites, pages))]
+    assert kept[0] == kept[1]
+    assert contacts.search_contacts(sites, pages.where("false")).count() == 0
