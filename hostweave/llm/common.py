@@ -7,7 +7,6 @@ with array operations, so no Python object is made per word.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -24,17 +23,9 @@ SLICE = 1 << 20
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``, which all executors share.
-
-    Where the setting is absent and the session is local (tests), the folder is
-    made on this machine; elsewhere the setting is required.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = "file://" + tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """A fresh folder under ``spark.checkpoint.dir``, which all executors share, or where
+    that is unset in the session's warehouse, which is shared as well."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
