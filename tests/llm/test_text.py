@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -272,9 +273,79 @@ def test_alignment_is_longest():
         a, b = ([rng.randrange(5) for _ in range(rng.randrange(15))] for _ in range(2))
         places = sorted(pages.aligned(a, b))
         assert len(places) == plain.subsequence(a, b)
-        where = defaultdict(list)
-        for j, x in enumerate(b):
-            where[x].append(j)
-        assert len(pages._by_bits(a, b, where)) == len(places)
+        pages.TABLE_BITS, usual = 6, pages.TABLE_BITS
+        try:
+            halved = sorted(pages.aligned(a, b))
+        finally:
+            pages.TABLE_BITS = usual
+        assert len(halved) == len(places)
+        left = iter(b)
+        assert all(a[i] in left for i in halved)
         rest = iter(b)
         assert all(a[i] in rest for i in places)
+
+
+def test_long_repetitive_pages_align_in_little_memory():
+    rng = random.Random(1)
+    a, b = ([rng.randrange(40) for _ in range(20_000)] for _ in range(2))
+    tracemalloc.start()
+    places = sorted(pages.aligned(a, b))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000_000
+    rest = iter(b)
+    assert all(a[i] in rest for i in places) and len(places) == pages._lengths(a, b)[-1]
+
+
+@pytest.mark.parametrize("page,text", [
+    ("<article class='post category-advertising'><p>T</p></article>", "T"),
+    ("<article class='sponsored'><p>T</p></article>", "T"),
+    ("<article class='sponsored'>ad</article><article>T</article>", "T"),
+    ("<div class='layout no-sidebar'><article>T</article></div>", "T"),
+    ("<div class='sidebar-right'><article>T</article></div>", "T"),
+    ("<form id='aspnetForm'><div>menu</div><main>T</main></form>", "T"),
+    ("<article class='post comments-open'>T</article>", "T"),
+    ("<div id='content' class='has-widgets'>T</div>", "T"),
+    ("<article><h2 id='login-flow'>Log in</h2><section id='related-work'>T</section></article>", "Log in\n\nT"),
+    ("<article>T<div id='related-posts'>r</div><div id='comments'>c</div></article>", "T"),
+    ("<article>T</article><section id='comments'><article class='comment-body'>c</article></section>", "T"),
+    ("<div class='text'>T</div><div class='comments'><article>c</article></div>", "T"),
+    ("<article>T<article class='comment'>c</article><form>f</form></article>", "T"),
+    ("<div class='sidebar'>s</div><form>f</form><div class='text'>T</div>", "T"),
+    ("<div class='cookie-notice'>c</div><nav><article>n</article></nav>", ""),
+])
+def test_furniture_words_never_take_an_article(page, text):
+    assert "\n\n".join(t for t, _ in pages.text_lines(page)) == text
+
+
+def test_near_copies_keep_their_text(spark):
+    body = [f"<p>Paragraph {i} tells something about the subject number {i} in many plain words.</p>" for i in range(20)]
+    other = [*body[:7], "<p>One line was revised here and says something else than it did before.</p>", *body[8:]]
+    rows = [(1, "http://a.com/x", "".join(body)), (2, "http://a.com/x?print", "".join(other)),
+            (3, "http://b.com/1", "<p>Home</p><p>About us</p><p>Imprint</p><p>t</p>"),
+            (4, "http://b.com/2", "<p>Home</p><p>About us</p><p>Imprint</p><p>u</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.main_text(df).collect()}
+    assert len(got[1].split("\n\n")) == len(got[2].split("\n\n")) == 20
+    assert (got[3], got[4]) == ("t", "u")
+
+
+def test_pages_against_a_plain_version(spark):
+    rng = random.Random(9)
+    rows = [(i, f"http://h{rng.randrange(3)}.com/{rng.randrange(40)}",
+             "".join(f"<p>l{rng.randrange(25)}</p>" for _ in range(rng.randrange(9)))) for i in range(80)]
+    lines = {i: [t for t, _ in pages.text_lines(page)] for i, _, page in rows}
+    order = sorted(rows, key=lambda r: (r[1].split("/")[2], "/" + r[1].split("/")[3], r[1], r[0]))
+    expected = {}
+    for k, (i, url, _) in enumerate(order):
+        gone: set[int] = set()
+        for other in order[max(k - 1, 0):k] + order[k + 1:k + 2]:
+            if other[1].split("/")[2] == url.split("/")[2]:
+                shared = pages._longest(lines[i], lines[other[0]])
+                assert len(shared) == plain.subsequence(lines[i], lines[other[0]])
+                shared = pages.aligned(lines[i], lines[other[0]])
+                if len(shared) < len(lines[i]):
+                    gone |= shared
+        expected[i] = "\n\n".join(t for j, t in enumerate(lines[i]) if j not in gone)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in pages.main_text(df).collect()} == expected
