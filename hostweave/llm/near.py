@@ -128,7 +128,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv"))
     both = F.size(F.array_intersect("su", "sv"))
     return pairs.join(left, "u").join(right, "v") \
-        .where(100 * both >= percent * (F.size("su") + F.size("sv") - both)).select("u", "v")
+        .where(100 * both >= percent * (F.size("su") + F.size("sv") - both)).select("u", "v").distinct()
 
 
 def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -142,11 +142,12 @@ def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     meets few others.  Of the documents behind one shingle, those in its
     most frequent component are only compared with those outside it.
     """
-    flat = settle(sets.join(placed, "doc_id").select(
-        "doc_id", "n", "component", F.explode("shingles").alias("g")), "flat")
+    sized = sets.withColumn("n", F.size("shingles").cast("long"))
+    flat = settle(sized.join(placed, ["doc_id", "n"]).select(
+        "doc_id", "s", "n", "component", F.explode("shingles").alias("g")), "flat")
     counts = settle(flat.groupBy("g").agg(F.count("*").alias("c")).where("c > 1"), "counts")
     ranked = flat.join(counts, "g", "left").withColumn("rank", F.row_number().over(
-        Window.partitionBy("doc_id").orderBy(F.coalesce("c", F.lit(1)), "g")))
+        Window.partitionBy("doc_id", "s").orderBy(F.coalesce("c", F.lit(1)), "g")))
     prefix = ranked.where(f"c is not null and rank <= n - ceil(n * {percent} / 100) + 1") \
         .select("doc_id", "n", "component", "g", (F.col("n") - F.col("rank") + 1).alias("rest"))
     prefix = settle(prefix, "prefix")
@@ -163,13 +164,23 @@ def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .select(F.least("doc_id", "d2").alias("u"), F.greatest("doc_id", "d2").alias("v")).distinct()
 
 
+def _same_id(sketch: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (u, v) between an id that stands over several texts and the classes of these."""
+    rows = sketch.where("n_shingles > 0 and doc_id is not null").select("doc_id", "d1", "d2")
+    several = rows.groupBy("doc_id").agg(
+        F.min(F.struct("d1", "d2")).alias("lo"), F.max(F.struct("d1", "d2")).alias("hi")).where("lo <> hi")
+    rows = rows.join(several.select("doc_id"), "doc_id", "left_semi").distinct()
+    return rows.join(classes.select("d1", "d2", "id"), ["d1", "d2"]).where("id <> doc_id").select(
+        F.least("id", "doc_id").alias("u"), F.greatest("id", "doc_id").alias("v"))
+
+
 def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS,
                     percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
     Null and blank texts have an empty set and are linked with nothing.  Rows
-    that repeat a ``doc_id`` keep their own line; they are one node.  Rows with a
-    null ``doc_id`` are not compared.  Other columns are ignored.
+    that repeat a ``doc_id`` keep their own line; they are one node, linked with whatever
+    any of their texts is.  Rows with a null ``doc_id`` are not compared.  Other columns are ignored.
 
     A pair at the threshold is missed by the buckets with probability
     ``(1 - 0.75^rows)^bands``, 5e-6 at the defaults; bands and rows raise it at will.
@@ -197,10 +208,11 @@ def near_duplicates(docs: DataFrame, bands: int = BANDS, rows: int = ROWS,
 
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     sets = settle(source.where("doc_id is not null").join(ids, "doc_id", "left_semi")
-                  .mapInArrow(_sets, SETS).dropDuplicates(["doc_id"]), "sets")
+                  .mapInArrow(_sets, SETS).withColumn("s", F.xxhash64("shingles"))
+                  .dropDuplicates(["doc_id", "s"]), "sets")
     stars = members.where("id <> hub").select("id", "n", "hub").distinct().join(sizes, "hub").where(fits)
     tested = settle(ordered(stars), "pairs")
-    links = settle(_confirm(tested, sets, percent), "links")
+    links = settle(_confirm(tested, sets, percent).union(_same_id(sketch, classes)), "links")
     found = settle(components(links, "parts"), "parts")
 
     def mixed() -> DataFrame:

@@ -128,22 +128,24 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     is what its bin has left in the end.  Every word of every row lies in one piece.
     Null and blank texts have no piece.  ``cluster`` names a column of duplicate
     clusters; by default rows with equal texts form one.  A null source counts as a
-    source.  Rows that repeat a ``doc_id`` are packed like any others.
+    source.  Rows that repeat a ``doc_id`` are packed like any others.  Rows are dealt to tasks
+    by id, piece and text, those without an id by a number drawn once and written down.
     """
     size = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), SPACE), lambda x: x != "")).cast("long")
     cluster_ = same_text() if cluster is None else F.xxhash64(cluster)
-    rows = settle(docs.select("doc_id", "source", size.alias("n"), cluster_.alias("cluster"))
-                  .where("n > 0"), "sizes")
+    rows = settle(docs.select("doc_id", "source", size.alias("n"), cluster_.alias("cluster"),
+                              F.when(F.col("doc_id").isNull(), F.rand(5)).alias("salt")).where("n > 0"), "sizes")
     repeats = settle(rows.groupBy("cluster").agg(F.count("*").alias("repeats")).where("repeats > 1"), "clusters")
     rows = rows.join(repeats, "cluster", "left").withColumn("repeats", F.coalesce("repeats", F.lit(1)))
     pieces = rows.select(
-        "doc_id", "source", "cluster", "repeats", "n",
+        "doc_id", "source", "cluster", "repeats", "n", "salt",
         F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(capacity).cast("long"))).alias("piece", "start"),
     ).withColumn("words", F.least(F.lit(capacity), F.col("n") - F.col("start"))) \
         .withColumn("repeats", F.when(F.col("n") > capacity, 2).otherwise(F.col("repeats")))
     total = rows.agg(F.sum("n")).first()[0] or 0
     tasks = int(max(1, -(-total // task_words)))
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(tasks)).cast("int")).drop("n")
+    dealt = pieces.withColumn("part", F.pmod(
+        F.xxhash64("doc_id", "piece", "cluster", "salt"), F.lit(tasks)).cast("int")).drop("n", "salt")
     ordered = dealt.repartition(tasks, "part").sortWithinPartitions(
         "part", F.desc("words"), "doc_id", "piece", "source", "cluster")
     return bounded_batches(ordered).mapInArrow(_pack(capacity, per_source), PIECES)

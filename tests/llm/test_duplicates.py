@@ -168,3 +168,14 @@ def test_a_partner_among_many_nearly_long_ones_is_found(spark):
             add(line[at:at + size])
         add(line)
     same_as_brute_force(spark, docs)
+
+
+def test_an_id_over_several_texts_is_linked_by_each(spark):
+    rng = random.Random(3)
+    a, b, c = ([f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(3))
+    rows = [(1, a), (1, b), (2, [*a[:58], "x"]), (3, [*b[:58], "y"]), (0, c), (7, c), (7, a), (9, ["alone"] * 9)]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    for parts in (1, 3, 8):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = {r.doc_id: r.component_id for r in near.near_duplicates(df).collect()}
+        assert got == {0: 0, 1: 0, 2: 0, 3: 0, 7: 0, 9: 9}

@@ -202,3 +202,10 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     folder = str(tmp_path / "none")
     spark.createDataFrame([], DOCS).write.parquet(f"{folder}/documents.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_rows_without_id_are_dealt_over_all_tasks(spark):
+    df = spark.range(2000).selectExpr("cast(null as long) as doc_id", "'a' as source", "repeat('w ', 20) as text")
+    bins = pack.pack(df, task_words=4000).collect()
+    assert sum(r.words for r in bins) == 40_000
+    assert len({r.bin_id.split("-")[0] for r in bins}) == 10
