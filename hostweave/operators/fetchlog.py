@@ -118,3 +118,24 @@ def probe_rollup(log: DataFrame) -> DataFrame:
         (F.count_if(ok) / F.count("*")).alias("ok_rate"),
         F.expr("percentile_disc(0.5) within group (order by elapsed_ms)").cast("bigint").alias("median_ms"),
     )
+
+
+def latency_sketches(log: DataFrame, keys: tuple[str, ...] = ("run",), size: int = 200) -> DataFrame:
+    """Mergeable latencies: ``keys, model, sketch, n_probes``, one row per run and model.
+
+    The sketch keeps a bounded sample whose ranks are within about 1.65 % (at
+    ``size`` 200, with 99 % confidence), however many probes a model has.  Null latencies are left
+    out.
+    """
+    return log.where("elapsed_ms is not null").groupBy(*keys, "model").agg(
+        F.kll_sketch_agg_bigint(F.col("elapsed_ms").cast("bigint"), F.lit(size)).alias("sketch"),
+        F.count("*").alias("n_probes"))
+
+
+def merged_latencies(sketches: DataFrame, ranks: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """``model, n_probes, rank, elapsed_ms``: latency quantiles over all stored runs."""
+    merged = sketches.groupBy("model").agg(
+        F.kll_merge_agg_bigint("sketch").alias("_sketch"), F.sum("n_probes").alias("n_probes"))
+    marks = [F.struct(F.lit(r).alias("rank"), F.kll_sketch_get_quantile_bigint("_sketch", F.lit(r)).alias("elapsed_ms"))
+             for r in ranks]
+    return merged.select("model", "n_probes", F.inline(F.array(*marks)))

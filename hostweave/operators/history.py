@@ -113,22 +113,23 @@ def similar_key(stacks: str = "tech_stacks") -> Column:
     ))
 
 
-def previous_run(jobs: DataFrame, days: int = 30) -> DataFrame:
+def previous_run(jobs: DataFrame, parts: int | None = None) -> DataFrame:
     """The newest finished earlier job with the same parameters, per job.
 
-    An as-of lookup in two levels.  Each key is cut into spans of ``days``;
-    inside a span a running ``last`` finds the match, and across spans a running
-    ``last`` over one summary row per span carries it.  A key that holds a third
-    of all jobs is therefore never ordered in a single task.
+    An as-of lookup in two levels.  Narrow rows are cut into ``parts`` ranges of (key,
+    time, id) and written once; inside a range a running ``last`` finds the match, and
+    across ranges a running ``last`` over one summary row per key and range carries
+    it.  A key that holds a third of all jobs, even on one day, is spread over a
+    third of the ranges.
     A job without a time has no previous run and is none.
     """
     finished = F.col("status").isin(*FINISHED)
-    seconds = F.col("created_at").cast("timestamp").cast("bigint")
+    parts = parts or int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = jobs.select(
         F.col("id").alias("job_id"), "created_at", similar_key().alias("_key"),
-        F.floor(seconds / (86_400 * days)).alias("_span"),
         F.when(finished & F.col("created_at").isNotNull(), F.col("id")).alias("_done"),
-    )
+    ).repartitionByRange(parts, "_key", "created_at", "job_id").withColumn("_span", F.spark_partition_id())
+    rows = settle(rows, "job-ranges")
     inside = Window.partitionBy("_key", "_span").orderBy("created_at", "job_id").rowsBetween(
         Window.unboundedPreceding, -1
     )
@@ -143,8 +144,7 @@ def previous_run(jobs: DataFrame, days: int = 30) -> DataFrame:
         "_key", "_span",
         F.last(F.col("_last.job_id"), ignorenulls=True).over(before).alias("_far"),
     )
-    same = (local["_key"] == carried["_key"]) & local["_span"].eqNullSafe(carried["_span"])
-    return local.join(carried, same).select(
+    return local.join(carried, ["_key", "_span"]).select(
         "job_id", F.when(F.col("created_at").isNotNull(), F.coalesce("_near", "_far")).alias("prev_job_id")
     )
 

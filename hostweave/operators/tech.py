@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hostweave.functions import fixed, urls
 from hostweave.functions.stages import constant, once
+from hostweave.session import settle
 
 HITS_TYPE = "array<struct<platform:string,evidence:array<string>>>"
 
@@ -98,10 +99,10 @@ def explode_hits(fp: DataFrame) -> DataFrame:
 
 
 def markers_from_table(table: DataFrame) -> dict[str, list[str]]:
-    """Read a user's (platform, marker) table, of any length, as a dictionary.
+    """Read a user's (platform, marker) table as a dictionary.
 
     Like the built-in one the dictionary becomes a literal of the plan, so it is a
-    table written by people, not one that grows with the pages.
+    table written by people; `fingerprint_by_table` takes one of any length.
     """
     out: dict[str, list[str]] = {}
     for platform, marker in sorted(table.select("platform", "marker").distinct().toLocalIterator()):
@@ -109,6 +110,57 @@ def markers_from_table(table: DataFrame) -> dict[str, list[str]]:
     return out
 
 
+GRAM, PIECE = 4, 4096
+
+
+def _windows(pages: DataFrame, keys: list[str], blob: str, size: int, lengths: list[int]) -> DataFrame:
+    """``keys, gram, around``: the grams at all places of a text, each with ``size`` characters
+    on both sides.
+
+    Texts are cut into overlapping pieces first, so one row never holds more than the
+    windows of a piece.
+    """
+    pieces = F.regexp_extract_all(F.col(blob), F.lit(rf"(?s)(?=(.{{1,{PIECE + size}}})).{{1,{PIECE}}}"), F.lit(1))
+    rows = pages.select(*keys, F.explode(pieces).alias("_piece"))
+    windows = F.regexp_extract_all(F.col("_piece"), F.lit(rf"(?s)(?=(.{{1,{2 * size}}}))"), F.lit(1))
+    rows = once(rows, {"_windows": windows}, drop=("_piece",))
+    places = F.transform("_windows", lambda w, i: F.struct(
+        F.transform(F.lit(lengths), lambda n: F.substring(w, F.lit(1), n)).alias("grams"),
+        F.element_at("_windows", F.greatest(i - size, F.lit(0)) + 1).alias("around")))
+    rows = rows.select(*keys, F.inline(places))
+    return rows.select(*keys, F.explode("grams").alias("gram"), "around")
+
+
+def fingerprint_by_table(
+    pages: DataFrame, markers: DataFrame, key: str = "page_id", html: str = "html", headers: str | None = "headers_text",
+) -> DataFrame:
+    """``key, platform, evidence`` by a (platform, marker) table of any length.
+
+    An inverted index: each marker is filed under the one of its grams that is rarest
+    in the pages, page text is joined to the index on equal grams, and a hit is
+    checked in the text around the gram.  The markup is neither shuffled nor compared
+    with every marker.  Null and empty markers match nothing; evidence is in marker
+    order.  Only the longest marker's size and the gram lengths (at most four) come to the
+    driver.
+    """
+    known = markers.select("platform", F.lower("marker").alias("marker")).where("marker <> ''").distinct()
+    starts = F.sequence(F.lit(1), F.greatest(F.length("marker") - GRAM + 1, F.lit(1)))
+    filed = settle(known.select("platform", "marker", F.explode(F.array_distinct(F.transform(
+        starts, lambda i: F.substring("marker", i, F.lit(GRAM))))).alias("gram")), "marker-grams")
+    sizes = filed.agg(F.max(F.length("marker")).alias("size"), F.sort_array(F.collect_set(F.length("gram"))).alias("lengths")).first()
+    if sizes["size"] is None:
+        return pages.select(key, F.lit("").alias("platform"), F.array(F.lit("")).alias("evidence")).limit(0)
+    texts = once(pages, {"_blob": page_blob(html, headers)}).select(key, "_blob")
+    windows = _windows(texts, [key], "_blob", sizes["size"], sizes["lengths"])
+    grams = filed.select("gram").distinct()
+    seen = windows.select("gram").join(grams, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")
+    index = settle(filed.join(seen, "gram", "left").groupBy("platform", "marker").agg(rarest), "marker-index")
+    found = windows.join(index, "gram").where(F.contains("around", F.col("marker")))
+    return found.select(key, "platform", "marker").distinct().groupBy(key, "platform").agg(
+        F.sort_array(F.collect_list("marker")).alias("evidence"))
+
+
 def rerender_candidates(
     fp: DataFrame, frameworks: Sequence[str] = tuple(fixed.FRAMEWORKS), ok: str | None = None
 ) -> DataFrame:
@@ -170,3 +222,21 @@ def stack_counts(fp: DataFrame, approximate: bool = False) -> DataFrame:
     return per_site.groupBy("platform").agg(
         F.count("*").alias("n_sites"), F.sum("n").alias("n_pages")
     )
+
+
+def site_sketches(fp: DataFrame, keys: tuple[str, ...] = ("run",), size: int = 12) -> DataFrame:
+    """Mergeable site counts: ``keys, platform, sketch, n_pages``, one row per run and platform.
+
+    The sketch is a HyperLogLog of ``2^size`` registers (relative standard error
+    1.04 / 2^(size / 2), 1.6 % at 12), so stored runs are counted together without
+    their pages.
+    """
+    rows = explode_hits(fp).select(*keys, "platform", urls.host_of(F.col("url")).alias("host"))
+    return rows.groupBy(*keys, "platform").agg(
+        F.hll_sketch_agg("host", F.lit(size)).alias("sketch"), F.count("*").alias("n_pages"))
+
+
+def merged_site_counts(sketches: DataFrame) -> DataFrame:
+    """Sites and pages per platform over all stored runs; sites are estimated."""
+    return sketches.groupBy("platform").agg(
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_sites"), F.sum("n_pages").alias("n_pages"))

@@ -21,6 +21,7 @@ from hostweave.operators.collect import clean_urls, first_by, first_per_host
 from hostweave.operators.expand import expand_queries
 from hostweave.operators.fetchlog import latest_by, resolve_fetch
 from hostweave.session import settle
+from hostweave.sources.captures import Captures
 from hostweave.sources.tables import bulk_urls
 
 SOCIALS = "map<string,array<string>>"
@@ -188,13 +189,15 @@ def site_contacts(facts: DataFrame, rendered: DataFrame | None = None) -> DataFr
     return contacts.assemble_contacts(contacts.contact_cascade(found))
 
 
-def page_work(wanted: DataFrame, fetch_log: DataFrame, rendered: DataFrame | None) -> PageWork:
+def page_work(wanted: DataFrame, fetch_log: DataFrame | Captures, rendered: DataFrame | None) -> PageWork:
     """Work on the pages of ``wanted`` addresses (`needs`), and on the pages of the hosts
     that addresses with ``search`` ask for or land on.
 
     If no address is searched for contacts, nothing is extracted and no other page
-    of a host is read.
+    of a host is read.  Of a stored log only files that may hold such pages are read.
     """
+    if isinstance(fetch_log, Captures):
+        fetch_log = fetch_log.around(wanted)
     searched = wanted.where("search")
     search = not searched.isEmpty()
     hosts = site_hosts(fetch_log, searched) if search else searched.select(F.lit("").alias("_host")).limit(0)
@@ -244,7 +247,7 @@ def verify(
 
 
 def run_campaign(
-    jobs: DataFrame, links: DataFrame, fetch_log: DataFrame,
+    jobs: DataFrame, links: DataFrame, fetch_log: DataFrame | Captures,
     campaigns: DataFrame | None = None, rendered: DataFrame | None = None,
     scorer: labels.Scorer | None = None, service: labels.Service | None = None,
 ) -> Run:
@@ -261,7 +264,7 @@ def run_campaign(
 
 
 def run_bulk(
-    lists: DataFrame, jobs: DataFrame, fetch_log: DataFrame,
+    lists: DataFrame, jobs: DataFrame, fetch_log: DataFrame | Captures,
     rendered: DataFrame | None = None, scorer: labels.Scorer | None = None,
     service: labels.Service | None = None,
 ) -> Run:
@@ -279,7 +282,7 @@ def run_bulk(
 
 
 def run_resume(
-    jobs: DataFrame, collected: DataFrame, ver: DataFrame, fetch_log: DataFrame,
+    jobs: DataFrame, collected: DataFrame, ver: DataFrame, fetch_log: DataFrame | Captures,
     rendered: DataFrame | None = None, scorer: labels.Scorer | None = None,
     service: labels.Service | None = None,
 ) -> Run:
@@ -332,7 +335,7 @@ def fill_contacts(ver: DataFrame, found: DataFrame, jobs: DataFrame) -> DataFram
 
 
 def verify_domains(
-    addresses: DataFrame, fetch_log: DataFrame, rendered: DataFrame | None = None,
+    addresses: DataFrame, fetch_log: DataFrame | Captures, rendered: DataFrame | None = None,
     scorer: labels.Scorer | None = None, service: labels.Service | None = None,
 ) -> DataFrame:
     """Stack and label of given addresses, without a job."""

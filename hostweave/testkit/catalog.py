@@ -17,7 +17,7 @@ from hostweave.operators import (
 )
 from hostweave.plans import runs
 from hostweave.session import settle, work_dir
-from hostweave.sources import exports, store, tables
+from hostweave.sources import captures, exports, store, tables
 from hostweave.streaming import live
 from hostweave.testkit import services
 from hostweave.testkit.overlays import spark_overlay
@@ -353,6 +353,19 @@ def probe_rollup(t):
     return fetchlog.probe_rollup(t.fx_probe_log)
 
 
+@on
+def probe_quantiles(t):
+    """Latency quantiles from stored sketches of three runs, held against exact ranks."""
+    log = t.fx_probe_log
+    stored = settle(fetchlog.latency_sketches(log.withColumn("run", F.col("event_id") % 3)), "latency-sketches")
+    marks = fetchlog.merged_latencies(stored)
+    below, upto = F.col("l.elapsed_ms") < F.col("m.elapsed_ms"), F.col("l.elapsed_ms") <= F.col("m.elapsed_ms")
+    ranked = log.alias("l").join(marks.alias("m"), "model").groupBy("model", "rank", "n_probes").agg(
+        (F.count_if(below) / F.count("*")).alias("low"), (F.count_if(upto) / F.count("*")).alias("high"))
+    close = (F.col("low") <= F.col("rank") + 0.033) & (F.col("high") >= F.col("rank") - 0.033)
+    return ranked.select("model", "rank", "n_probes", close.alias("rank_close"))
+
+
 # --- page profiling -----------------------------------------------------------
 
 def _fingerprint(t, **kw):
@@ -395,6 +408,22 @@ def stack_counts(t):
     return tech.stack_counts(_fingerprint(t))
 
 
+@on
+def stack_counts_merged(t):
+    """Site counts from stored sketches of four runs, held against exact counts."""
+    fp = _fingerprint(t).withColumn("run", F.col("page_id") % 4)
+    merged = tech.merged_site_counts(settle(tech.site_sketches(fp), "site-sketches"))
+    exact = tech.stack_counts(_fingerprint(t)).select("platform", F.col("n_sites").alias("_exact"))
+    close = F.abs(F.col("n_sites") - F.col("_exact")) <= 0.065 * F.col("_exact")
+    return merged.join(exact, "platform").select("platform", "n_pages", close.alias("n_sites_close"))
+
+
+@on
+def tech_by_table(t):
+    """Stacks by a marker table with an entry per part."""
+    return tech.fingerprint_by_table(t.fx_pages, t.fx_markers)
+
+
 @on
 def page_text(t):
     return text.page_text(t.fx_pages).select("page_id", "title", "text", "short")
@@ -702,6 +731,15 @@ def run_campaign(t):
     )
 
 
+@query
+def run_campaign_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A campaign over a log stored by host."""
+    t, path = Tables(spark, sf_dir), work_dir(spark, "captures")
+    captures.write_captures(t.fx_run_log, path)
+    run = runs.run_campaign(t.jobs, t.fx_run_links, captures.Captures(spark, path), rendered=_rendered(t))
+    return flat(_verdict_columns(run.verifications))
+
+
 @on
 def run_campaign_asked(t):
     """Every (address, niche) is asked of a service that fails now and then."""

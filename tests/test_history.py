@@ -38,17 +38,45 @@ def test_previous_run_equals_a_scan(spark):
         expected[r[0]] = last.get(key)
         if r[2] in ("done", "stopped"):
             last[key] = r[0]
-    for days in (7, 30, 3650):
-        got = {r.job_id: r.prev_job_id for r in history.previous_run(jobs, days).collect()}
+    for parts in (1, 7, 40):
+        got = {r.job_id: r.prev_job_id for r in history.previous_run(jobs, parts).collect()}
         assert got == expected
 
 
-def test_previous_run_orders_inside_spans_only(spark):
-    jobs = spark.createDataFrame(make_jobs(50, 1), JOB)
-    plan = history.previous_run(jobs)._jdf.queryExecution().executedPlan().toString()
+def test_previous_run_spreads_a_hot_key_of_one_day(spark, monkeypatch):
+    written = {}
+
+    def seen(df, label):
+        written[label] = settle(df, label)
+        return written[label]
+
+    settle = history.settle
+    monkeypatch.setattr(history, "settle", seen)
+    day = dt.datetime(2024, 5, 1)
+    columns = "id string, created_at timestamp_ntz, status string, tech_stacks array<string>, " + ", ".join(
+        f"{c} string" for c in history.SIMILAR_KEYS)
+    same = spark.createDataFrame(
+        [(f"j{i:05}", day, "done" if i % 3 == 0 else "running", [], *[""] * 6) for i in range(3000)], columns)
+    found = history.previous_run(same, 20)
+    got = {r.job_id: r.prev_job_id for r in found.collect()}
+    assert got == {f"j{i:05}": f"j{(i - 1) // 3 * 3:05}" if i else None for i in range(3000)}
+    sizes = [r["count"] for r in written["job-ranges"].groupBy("_span").count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 500
+    plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_latency_sketches_keep_ranks_of_a_hot_model(spark):
+    log = spark.range(200_000).selectExpr("id % 5 as run", "if(id % 50 = 0, 'cold', 'hot') as model",
+                                          "pmod(hash(id), 100003) as elapsed_ms")
+    log = log.unionByName(spark.createDataFrame([(9, "hot", None)], "run long, model string, elapsed_ms int"))
+    marks = fetchlog.merged_latencies(fetchlog.latency_sketches(log)).collect()
+    assert len(marks) == 6
+    for r in marks:
+        below = log.where((F.col("model") == r.model) & (F.col("elapsed_ms") <= r.elapsed_ms)).count()
+        assert abs(below / r.n_probes - r["rank"]) <= 0.033
+
+
 def test_upsert_is_last_wins_and_repeatable(spark):
     rows = [("j", f"d{i % 5}", i, 0, f"v{i}") for i in range(20)]
     schema = "job_id string, domain string, version int, tiebreak int, vertical string"

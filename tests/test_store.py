@@ -7,7 +7,8 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from hostweave.sources import exports, store
+from hostweave.plans import runs
+from hostweave.sources import captures, exports, store
 
 KEYS, ORDER = ("job_id", "domain"), ("version",)
 
@@ -91,3 +92,43 @@ def test_a_job_is_read_from_its_bucket(spark, stored):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "job_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
     assert rows.where(F.col("job_id") != "job_7").isEmpty()
+
+
+LOG = "url string, attempt int, status int, final_url string, headers_text string, body string"
+
+
+def test_a_run_on_one_site_reads_its_files_only(spark, tmp_path):
+    rows = [(f"https://www.s{i}.com/{p}", 1, 200, "", "", f"<p>{i}</p>") for i in range(300) for p in ("", "contact")]
+    rows += [("https://old.org/", 1, 200, "https://s7.com/contact-us", "", "<a href='mailto:a@s7.com'>m</a>"),
+             ("https://s9.com/moved", 1, 200, "https://s11.com/", "", "x"), (None, 1, 200, "", "", "n"), ("junk", 1, 200, "", "", "j")]
+    log = spark.createDataFrame(rows, LOG)
+    path = str(tmp_path / "c")
+    captures.write_captures(log, path, buckets=64)
+    stored = captures.Captures(spark, path, 64)
+    assert spark.read.parquet(f"{path}/attempts").count() == len(rows)
+    wanted = spark.createDataFrame([("https://s7.com/",), ("https://s9.com/moved",)], "url string")
+    names = spark.createDataFrame([("s7.com",), ("old.org",), ("s9.com",), ("s11.com",)], "host string")
+    keep = {r.b for r in names.select(captures.job_bucket(F.col("host"), 64).alias("b")).collect()}
+    for folder in (tmp_path / "c" / "attempts").glob("host_bucket=*"):
+        if int(folder.name.split("=")[1]) not in keep:
+            for file in folder.glob("*.parquet"):
+                data = file.read_bytes()  # the footer stays: one file tells the schema
+                file.write_bytes(data[:4] + b"\xff" * 60 + data[64:])
+                (folder / f".{file.name}.crc").unlink(missing_ok=True)
+    found = {r.url for r in stored.around(wanted).collect()}
+    assert found == {f"https://www.s{i}.com/{p}" for i in (7, 9, 11) for p in ("", "contact")} | {
+        "https://old.org/", "https://s9.com/moved"}
+    searched = wanted.withColumns({"label": F.lit(True), "search": F.lit(True)})
+    work = runs.page_work(searched.withColumn("url", runs.urls.canonical_url(F.col("url"))), stored, None)
+    assert {r.url for r in work.facts.collect()} == {r.url for r in runs.page_work(
+        searched.withColumn("url", runs.urls.canonical_url(F.col("url"))), log, None).facts.collect()}
+
+
+def test_captures_of_many_hosts_and_of_none(spark, tmp_path):
+    log = spark.range(500).selectExpr("concat('https://s', id % 100, '.com/', id) as url", "1 as attempt", "200 as status",
+                                      "'' as final_url", "'' as headers_text", "'b' as body")
+    captures.write_captures(log, str(tmp_path / "c"))
+    captures.write_captures(log.limit(0), str(tmp_path / "c"), mode="append")
+    stored = captures.Captures(spark, str(tmp_path / "c"))
+    hosts = spark.range(60).selectExpr("concat('s', id, '.com') as host")
+    assert stored.of_hosts(hosts).count() == 300 and stored.of_hosts(hosts.limit(0)).count() == 0

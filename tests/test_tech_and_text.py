@@ -1,5 +1,9 @@
 from __future__ import annotations
 
+import html as standard
+import random
+from html.entities import html5
+
 from pyspark.sql import functions as F
 
 from hostweave.functions import fixed, markup
@@ -57,6 +61,28 @@ def test_marker_table_of_any_length(spark):
     assert len(tech.markers_from_table(many)["P"]) == 2_500
 
 
+def test_marker_tables_match_a_plain_scan(spark, monkeypatch):
+    monkeypatch.setattr(tech, "PIECE", 50)
+    rng = random.Random(8)
+    letters = "abcé "
+    markers = {(f"P{rng.randrange(9)}", "".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 3, 4, 5, 7, 12])))) for _ in range(300)}
+    pages = [(i, "".join(rng.choice(letters.upper()) for _ in range(rng.choice([0, 1, 3, 60, 400])))) for i in range(40)]
+    pages += [(90, "x" * 49 + "marker on a border"), (91, None), (92, pages[-1][1])]
+    markers |= {("B", "Marker on a border"), ("B", "border"), ("E", ""), ("E", None)}
+    expected = {}
+    for i, page in pages:
+        for platform, marker in markers:
+            if marker and marker.lower() in (page or "").lower():
+                expected.setdefault((i, platform), set()).add(marker.lower())
+    table = spark.createDataFrame(list(markers), "platform string, marker string")
+    df = spark.createDataFrame(pages, "page_id int, html string")
+    found = tech.fingerprint_by_table(df, table, headers=None)
+    assert {(r.page_id, r.platform): r.evidence for r in found.collect()} == {k: sorted(v) for k, v in expected.items()}
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
+    assert tech.fingerprint_by_table(df, table.limit(0), headers=None).count() == 0
+
+
 def test_fingerprint_plan_has_no_shuffle_and_prunes_columns(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
     plan = tech.fingerprint(pages, headers=None)._jdf.queryExecution().executedPlan().toString()
@@ -76,6 +102,19 @@ def test_visible_text(spark):
     assert got == pages
 
 
+def test_references_are_decoded_as_the_standard_does(spark):
+    rng = random.Random(4)
+    names = sorted(html5)
+    texts = [f"a&{n}b" for n in names] + [f"&{n}" for n in names] + [f"&#{n};" for n in [*range(300), 0xD800, 0xFDD0, 0x1FFFE, 0x110000]]
+    texts += ["&#x1F600;x", "&#X41", "&#0065;", "&#99999999999;", "&#xZ;", "&&amp", "a=1&b=2&copy=3", "&notin &notit; &am", "&#", "&", "", "&\u00e9;"]
+    texts += ["".join(rng.choice(["&", "#", "x", "amp", ";", "not", "in", "1", "5", " ", "gt", "lt", "A"]) for _ in range(9))
+              for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.d for r in df.select("i", markup.decode_entities(F.col("t")).alias("d")).collect()}
+    wrong = [(t, got[i], standard.unescape(t)) for i, t in enumerate(texts) if got[i] != standard.unescape(t)]
+    assert not wrong, wrong[:5]
+
+
 def test_short_pages_are_flagged_and_whole(spark):
     df = spark.createDataFrame([("<title> T </title><p>" + "x" * 97 + "</p>",), ("<title>T</title>" + "y" * 4000,)],
                                "html string")
