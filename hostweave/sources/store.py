@@ -21,24 +21,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostweave.operators import history
+from hostweave.session import hadoop_path
 from hostweave.sources.exports import job_bucket, write_history
 
 Change = Callable[[DataFrame], DataFrame]
 
 
-def _path(spark: SparkSession, path: str):
-    """A folder as Hadoop's file system and path objects."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
-    fs, target = _path(spark, path)
+    fs, target = hadoop_path(spark, path)
     return fs.exists(target)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
-    fs, target = _path(spark, path)
+    fs, target = hadoop_path(spark, path)
     fs.delete(target, True)
 
 

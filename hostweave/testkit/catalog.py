@@ -713,6 +713,44 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(live.read_latest(spark.read.parquet(f"{out}/log"), ("job_id",), ()))
 
 
+def _feed(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
+    """Put ``rows`` in a folder of captures and give the folder as a stream."""
+    rows.write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).parquet(folder)
+
+
+@query
+def stream_first_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of an earlier run, then three runs of the stream, folded between two of them."""
+    out = work_dir(spark, "stream-first-stored")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
+        "concat('job_', l_orderkey) as job_id", "concat('s', l_suppkey % 20, '.example') as host",
+        "cast((l_linenumber - 1) % 4 as int) as run")
+    live.store_first(rows.where("run = 0"), f"{out}/store")
+    schema = live.log_schema(rows)
+    for run in (1, 2, 3):
+        stream = _feed(spark, rows.where(F.col("run") == run), f"{out}/in")
+        live.stream_first_stored(stream, f"{out}/store", f"{out}/checkpoint").awaitTermination()
+        if run == 2:
+            live.fold_log(spark, f"{out}/store", ("job_id", "host"), schema=schema)
+    return flat(live.read_log(spark, f"{out}/store", schema=schema).select("job_id", "host", "run"))
+
+
+@query
+def stream_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An upsert log that is folded between two runs of its stream, then read."""
+    out = work_dir(spark, "stream-folded")
+    rows = _live_rows(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    for odd in (1, 0):
+        stream = _feed(spark, rows.where(F.col("version") % 2 == odd), f"{out}/in")
+        live.stream_upsert(stream, f"{out}/log", f"{out}/checkpoint").awaitTermination()
+        if odd:
+            live.fold_log(spark, f"{out}/log", ("job_id", "domain"), ("version", "tiebreak"))
+            live.drop_covered(spark, f"{out}/log")
+    log = live.read_log(spark, f"{out}/log")
+    return flat(live.read_latest(log, ("job_id", "domain"), ("version", "tiebreak")))
+
+
 # --- whole runs ---------------------------------------------------------------
 
 def _verdict_columns(ver: DataFrame) -> DataFrame:

@@ -688,8 +688,12 @@ oracle("schema_upgrade", """select job_id, domain, cast(version as bigint) as ve
 LIVE = """live as (select job_id, domain, version, tiebreak, case when l_returnflag = 'N' then 'Unknown' when l_returnflag = 'A' then 'Jewelry' else 'Fashion' end as vertical, l_linestatus = 'F' as accepted
 from (select 'job_' || cast(l_orderkey as varchar) as job_id, 's' || cast(l_suppkey % 20 as varchar) || '.example' as domain, l_linenumber as version, l_partkey * 100000000 + l_suppkey * 10000 + cast(l_quantity * 100 as bigint) as tiebreak, l_returnflag, l_linestatus from lineitem))"""
 oracle("stream_first", "select distinct job_id, host from fx_urls")
-oracle("stream_upsert", f"""with {LIVE}, r as (select *, row_number() over (partition by job_id, domain order by version desc, tiebreak desc) as rn from live)
-select job_id, domain, cast(version as bigint) as version, tiebreak, vertical, accepted from r where rn = 1""")
+oracle("stream_first_stored", """select 'job_' || cast(l_orderkey as varchar) as job_id, 's' || cast(l_suppkey % 20 as varchar) || '.example' as host,
+  cast(min((l_linenumber - 1) % 4) as bigint) as run from lineitem group by 1, 2""")
+LIVE_LATEST = f"""with {LIVE}, r as (select *, row_number() over (partition by job_id, domain order by version desc, tiebreak desc) as rn from live)
+select job_id, domain, cast(version as bigint) as version, tiebreak, vertical, accepted from r where rn = 1"""
+oracle("stream_upsert", LIVE_LATEST)
+oracle("stream_folded", LIVE_LATEST)
 oracle("stream_counts", f"with {LIVE} select job_id, count(*) as verified, count(*) filter (where accepted) as matched, count(*) filter (where vertical = 'Unknown') as unknown_niche from live group by 1")
 
 

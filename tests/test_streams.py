@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import os
+import time
+
 from hostweave.streaming import live
 
 
@@ -49,3 +52,75 @@ def test_bounded_first_seen_has_a_watermark(spark, tmp_path):
     bounded = live.stream_first(stream, event_time="found_at", within="1 hour")
     assert bounded.isStreaming
     assert "EventTimeWatermark" in bounded._jdf.queryExecution().logical().toString()
+
+
+FOUND = "job_id string, host string, run int"
+
+
+def find(spark, folder, rows, **options):
+    feed(spark, f"{folder}/in", rows, FOUND)
+    stream = spark.readStream.schema(FOUND).parquet(f"{folder}/in")
+    query = live.stream_first_stored(stream, f"{folder}/store", f"{folder}/c", buckets=4, **options)
+    query.awaitTermination()
+    return query
+
+
+def found(spark, folder):
+    schema = live.log_schema(spark.createDataFrame([], FOUND))
+    return sorted(((r.job_id, r.host, r.run) for r in live.read_log(spark, f"{folder}/store", schema=schema).collect()),
+                  key=str)
+
+
+def test_first_seen_against_the_store_with_bounded_state(spark, tmp_path):
+    many = [("j", f"h{i}", 1) for i in range(300)]
+    live.store_first(spark.createDataFrame([("j", "old", 0), ("j", "old", 0), ("j", None, 0)], FOUND),
+                     f"{tmp_path}/store", buckets=4)
+    find(spark, tmp_path, [*many, ("j", "old", 1), ("j", None, 1), (None, "x", 1)], within="1 second")
+    time.sleep(3)
+    find(spark, tmp_path, [("j", "h7", 2), ("j", "new", 2), (None, "x", 2)], within="1 second")
+    time.sleep(3)
+    last = find(spark, tmp_path, [("j", "h8", 3), ("j", "old", 3), ("j", "new", 3)], within="1 second")
+    want = [("j", "old", 0), ("j", None, 0), *many, (None, "x", 1), ("j", "new", 2)]
+    assert found(spark, tmp_path) == sorted(want, key=str)
+    assert last.lastProgress["stateOperators"][0]["numRowsTotal"] < 50
+
+
+def test_a_replayed_batch_finds_its_rows_again(spark, tmp_path):
+    find(spark, tmp_path, [("j", "a", 1), ("j", "b", 1)])
+    find(spark, tmp_path, [("j", "a", 2), ("j", "c", 2)])
+    before = found(spark, tmp_path)
+    done = sorted((f for f in os.listdir(f"{tmp_path}/c/commits") if f.isdigit()), key=int)
+    for name in (done[-1], f".{done[-1]}.crc"):  # the last batch was written but not committed
+        if os.path.exists(f"{tmp_path}/c/commits/{name}"):
+            os.remove(f"{tmp_path}/c/commits/{name}")
+    find(spark, tmp_path, [("j", "d", 3)])
+    assert found(spark, tmp_path) == sorted([*before, ("j", "d", 3)], key=str)
+
+
+def test_fold_under_open_readers(spark, tmp_path):
+    keys, order, log = ("job_id", "domain"), ("version", "tiebreak"), f"{tmp_path}/log"
+
+    def run(rows):
+        feed(spark, f"{tmp_path}/in", rows, SCHEMA)
+        stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+        live.stream_upsert(stream, log, f"{tmp_path}/c").awaitTermination()
+
+    def current(df):
+        return sorted((r.domain, r.version) for r in live.read_latest(df, keys, order).collect())
+
+    assert live.read_log(spark, log) is None and live.fold_log(spark, log, keys, order) is None
+    run([("j", "a", 1, 0, "", False), ("j", "b", 1, 0, "", False)])
+    run([("j", "a", 2, 0, "", False)])
+    early = live.read_log(spark, log)
+    upto = live.fold_log(spark, log, keys, order)
+    assert live.read_log(spark, log).count() == 2 and early.count() == 3
+    assert current(early) == current(live.read_log(spark, log)) == [("a", 2), ("b", 1)]
+    os.remove(f"{log}/_base-{upto}/_SUCCESS")  # a fold that broke off does not count
+    assert live.read_log(spark, log).count() == 3
+    assert live.fold_log(spark, log, keys, order) == upto
+    run([("j", "b", 3, 0, "", True)])
+    live.drop_covered(spark, log)
+    assert current(live.read_log(spark, log)) == [("a", 2), ("b", 3)]
+    assert live.fold_log(spark, log, keys, order) > upto
+    live.drop_covered(spark, log)
+    assert live.read_log(spark, log).count() == 2
