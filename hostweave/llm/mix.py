@@ -1,11 +1,14 @@
 """Mixing sources to token targets by entropy balancing, in DataFrame functions only.
 
-Every document gets a rate ``min(cap, q * exp(l))`` with one multiplier ``l`` per
+Every document gets a rate ``min(cap, q * exp(l * size))`` with one multiplier ``l`` per
 source and a prior weight ``q`` per document.  Among all rates that meet the token
-targets these are the closest to the priors in relative entropy, and the multipliers
-maximise a concave dual.  Newton rounds, each one aggregation over all documents,
-find them; a round that leaves the bracket of signs seen so far is replaced by its
-middle.
+targets these are the closest to the priors in relative entropy over documents: they
+minimise the sum of ``r * log(r / q) - r + q`` where the sum of ``size * r`` is the
+target and no rate is above ``cap``.  So a source that gives words up loses those of its
+long documents first, and one that gains words repeats its long documents first; the most
+documents stay near their prior.  The multipliers maximise the concave dual.  Safeguarded
+Newton rounds find them, each one distributed aggregation of gradient and curvature; a
+step that leaves the bracket of signs seen so far is replaced by the bracket's middle.
 
 Rates become whole copies by systematic rounding: documents of a source are laid
 end to end by size and a copy is taken wherever the running sum of rates passes a
@@ -24,7 +27,7 @@ from .common import SPACE, Scope, settle
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
-ROUNDS = 40
+ROUNDS = 60
 TOLERANCE = 1e-9
 TIERS = (2048, 512, 128, 32, 8, 0)
 CELL_ROWS = 20_000
@@ -62,40 +65,60 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
 
 
 def _rate(cap: float) -> Column:
-    return F.least(F.lit(cap), F.col("q") * F.exp("l"))
+    # The exponent is bounded where the rate is at its cap or vanishes anyway.
+    tilt = F.greatest(F.lit(-700.0), F.least(F.lit(700.0), F.col("l") * F.col("size")))
+    return F.least(F.lit(cap), F.col("q") * F.exp(tilt))
+
+
+def histogram(rows: DataFrame) -> DataFrame:
+    """``source, q, size, n``: documents of equal rate, counted; null sources are one source."""
+    return rows.where("size > 0").groupBy("source", "q", "size").agg(F.count("*").alias("n"))
 
 
 def multipliers(units: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFrame:
-    """``targets`` with the multiplier ``l`` of each source.
+    """``targets`` with the multiplier ``l`` of each source, per word of a document.
 
-    ``units`` has ``source, size, q``: documents, or sums of documents with equal
-    ``source`` and ``q``, which have equal rates.
+    ``units`` has ``source, q, size, n`` (`histogram`).  The first bracket holds every
+    solution: at its upper end all rates of a source reach the cap, at its lower end
+    the priors scaled by the smallest document already fall short of the target.
     """
-    state = targets.select("*", F.lit(0.0).alias("l"), F.lit(-60.0).alias("lo"), F.lit(60.0).alias("hi"))
+    span = units.groupBy("source").agg(
+        F.min("size").alias("least"), F.min("q").alias("q_low"), F.max("q").alias("q_high"),
+        F.sum(F.col("size").cast("double") * F.col("n")).alias("mass"),
+        (F.sum(F.col("size").cast("double") * F.col("size") * F.col("n"))
+         / F.sum(F.col("size").cast("double") * F.col("n"))).alias("mean"))
+    t = targets.join(span.withColumnRenamed("source", "s"), targets["source"].eqNullSafe(F.col("s")), "left")
+    share = F.log(F.nullif(F.col("target"), F.lit(0.0)) / F.col("mass"))
+    hi = F.greatest(F.lit(0.0), F.log(F.lit(cap) / F.col("q_low"))) / F.col("least")
+    lo = F.least(F.lit(0.0), share - F.log("q_high")) / F.col("least") - 1e-9
+    full = F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)
+    guess = F.greatest(F.col("lo"), F.least(F.col("hi"), share / F.col("mean")))
+    state = t.withColumn("hi", F.coalesce(hi, F.lit(0.0))).withColumn("lo", F.coalesce(lo, F.lit(0.0))) \
+        .withColumn("l", F.when(full, F.col("hi")).otherwise(F.coalesce(guess, F.lit(0.0)))) \
+        .select("source", "source_size", "target", "l", "lo", "hi")
+    state = settle(state, "dual")
     for _ in range(ROUNDS):
-        rated = units.join(state.select("source", "l"), units["source"].eqNullSafe(state["source"])) \
-            .select(units["source"], "size", _rate(cap).alias("r"))
+        tilts = state.select(F.col("source").alias("s"), "l")
+        rated = units.join(tilts, F.col("source").eqNullSafe(F.col("s"))) \
+            .select("source", "size", (F.col("size") * F.col("n") * _rate(cap)).alias("words"),
+                    (_rate(cap) < cap).alias("open"))
         sums = rated.groupBy("source").agg(
-            F.sum(F.col("size") * F.col("r")).alias("got"),
-            F.sum(F.when(F.col("r") < cap, F.col("size") * F.col("r")).otherwise(0.0)).alias("slope"))
-        s = state.join(sums, state["source"].eqNullSafe(sums["source"]), "left").drop(sums["source"])
-        gap = F.coalesce("got", F.lit(0.0)) - F.col("target")
-        s = s.withColumn("gap", gap) \
+            F.sum("words").alias("got"),
+            F.sum(F.when(F.col("open"), F.col("words") * F.col("size")).otherwise(0.0)).alias("slope"))
+        s = state.join(sums.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
+        s = s.withColumn("got", F.coalesce("got", F.lit(0.0))).withColumn("gap", F.col("got") - F.col("target")) \
             .withColumn("lo", F.when(F.col("gap") < 0, F.col("l")).otherwise(F.col("lo"))) \
             .withColumn("hi", F.when(F.col("gap") > 0, F.col("l")).otherwise(F.col("hi")))
-        step = F.col("l") - F.col("gap") / F.nullif(F.col("slope"), F.lit(0.0))
-        # The dual is exponential in l: a step on the logarithm of the sum is exact
-        # where no rate is capped.
-        log_step = F.col("l") + F.log(F.nullif(F.col("target"), F.lit(0.0)) / F.nullif(F.col("got"), F.lit(0.0)))
-        best = F.when(F.col("slope") >= 0.999 * F.col("got"), log_step).otherwise(step)
-        done = F.abs("gap") <= TOLERANCE * F.greatest("target", F.lit(1.0))
+        # Newton on the logarithm of the sum, which bends less than the sum itself.
+        step = F.col("l") + F.log(F.nullif(F.col("target"), F.lit(0.0)) / F.nullif(F.col("got"), F.lit(0.0))) \
+            * F.col("got") / F.nullif(F.col("slope"), F.lit(0.0))
+        close = F.abs("gap") <= TOLERANCE * F.greatest("target", F.lit(1.0))
+        done = close | (F.col("hi") - F.col("lo") <= 1e-15 * F.abs(F.col("l")))
         moved = F.when(done, F.col("l")).when(
-            (best > F.col("lo")) & (best < F.col("hi")), best).otherwise((F.col("lo") + F.col("hi")) / 2)
-        out = s.select("source", "source_size", "target", moved.alias("l"), "lo", "hi", (~done).alias("busy"))
-        out = settle(out, "dual")
-        left = out.where("busy and hi - lo > 1e-12").limit(1).count()
-        state = out.drop("busy")
-        if not left:
+            (step > F.col("lo")) & (step < F.col("hi")), step).otherwise((F.col("lo") + F.col("hi")) / 2)
+        state = settle(s.select("source", "source_size", "target", moved.alias("l"), "lo", "hi",
+                                (~done).alias("busy")), "dual")
+        if not state.where("busy").limit(1).count():
             break
     return state.select("source", "source_size", "target", "l")
 
@@ -159,8 +182,7 @@ def mix_rows(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ca
     """``mix`` for rows of ``doc_id, source, size, q``."""
     rows = settle(rows.withColumn("tie", F.xxhash64("doc_id")), "sizes")
     targets = settle(source_targets(rows, weights, share, cap), "targets")
-    summed = settle(rows.groupBy("source", "q").agg(F.sum("size").alias("size")), "sums")
-    state = settle(multipliers(summed, targets, cap), "dual")
+    state = multipliers(settle(histogram(rows), "sums"), targets, cap)
     salts = settle(rows.groupBy("source", "size").agg(
         F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("salts"))
         .select(F.col("source").alias("s"), F.col("size").alias("z"), "salts"), "salts")
@@ -181,8 +203,8 @@ def mix(docs: DataFrame, prior: str | None = None, weights: tuple = WEIGHTS, sha
         cap: float = CAP) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, source, size, source_size, target, rate, copies, taken``.
 
-    ``prior`` names an optional column of positive prior weights; without it all
-    documents of a source get the same rate.  A null source is a source of its own.
+    ``prior`` names an optional column of positive prior weights (default 1).
+    Documents of a source with equal size and prior get the same rate.  A null source is a source of its own.
     Documents without words are never taken.  Ties go by a hash of the id, so reruns
     agree; rows that repeat a ``doc_id`` are rounded on their own.
     """

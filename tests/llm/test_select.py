@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -105,6 +106,62 @@ def test_mix_meets_targets(spark, docs, prior):
     assert again == {(r.doc_id, r.taken) for r in out}
 
 
+def solved(units: list[tuple], target: float, cap: float = 2.0) -> float:
+    """The multiplier by plain halving."""
+    lo, hi = -100.0, 100.0
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        got = sum(s * min(cap, q * math.exp(max(-700, min(700, mid * s)))) for s, q in units)
+        lo, hi = (mid, hi) if got < target else (lo, mid)
+    return (lo + hi) / 2
+
+
+def entropy(rates: list[float], priors: list[float]) -> float:
+    return sum((r * math.log(r / q) if r else 0.0) - r + q for r, q in zip(rates, priors, strict=True))
+
+
+def test_dual_gives_the_optimum(spark):
+    rng = random.Random(11)
+    units = {"up": 1.4, "down": 0.2, "same": 1.0, "full": 2.0, None: 0.7, "long": 1.9}
+    rows, targets = [], []
+    for source, share in units.items():
+        mine = [(rng.choice([1, 3, 20, 20, 150, 900, 40_000 if source == "long" else 70]), rng.choice([0.5, 1.0, 1.5]))
+                for _ in range(300)]
+        rows += [(source, *u) for u in mine]
+        total = sum(s for s, _ in mine)
+        targets.append((source, total, share * total))
+    frame = spark.createDataFrame(rows, "source string, size long, q double")
+    want = spark.createDataFrame(targets, "source string, source_size long, target double")
+    got = {r.source: r for r in mix.multipliers(mix.histogram(frame), want).collect()}
+    assert set(got) == set(units)
+    for source, total, target in targets:
+        mine, tilt = [(s, q) for name, s, q in rows if name == source], got[source].l
+        rates = [min(2.0, q * math.exp(max(-700, min(700, tilt * s)))) for s, q in mine]
+        assert sum(s * r for (s, _), r in zip(mine, rates, strict=True)) == pytest.approx(target, rel=1e-8)
+        if source != "full":
+            assert tilt == pytest.approx(solved(mine, target), rel=1e-5, abs=1e-9)
+        if source == "down":
+            assert len({round(r / q, 6) for r, (_, q) in zip(rates, mine, strict=True)}) > 3
+        # No move along the constraint comes closer to the priors.
+        best = entropy(rates, [q for _, q in mine])
+        for _ in range(200):
+            i, j = rng.sample(range(len(mine)), 2)
+            step = rng.uniform(-0.05, 0.05)
+            moved = list(rates)
+            moved[i] += step / mine[i][0]
+            moved[j] -= step / mine[j][0]
+            if 0 <= min(moved[i], moved[j]) and max(moved[i], moved[j]) <= 2:
+                assert entropy(moved, [q for _, q in mine]) >= best - 1e-9
+
+
+def test_rates_differ_by_size_inside_a_source(spark, docs):
+    rates: dict = {}
+    for r in mix.mix(docs.where("n_chars < 100000")).collect():
+        if r.size:
+            rates.setdefault(r.source, {}).setdefault(r.size, set()).add(round(r.rate, 9))
+    assert any(len({x for v in sizes.values() for x in v}) > 3 for sizes in rates.values())
+
+
 def test_mixed_documents_and_empty(spark, docs):
     copies = {r.doc_id: r.copies for r in mix.mix(docs).collect()}
     out = mix.mixed_documents(docs)
