@@ -83,6 +83,19 @@ def test_marker_tables_match_a_plain_scan(spark, monkeypatch):
     assert tech.fingerprint_by_table(df, table.limit(0), headers=None).count() == 0
 
 
+def test_places_are_matched_with_shapes_of_markers_not_with_each_marker(spark):
+    """Many markers filed under one gram cost a place one string per position and length."""
+    texts = spark.createDataFrame([(1, "aqzx 7777 b"), (2, "no mark, zx 12"), (3, "x 5555")], "page_id int, _blob string")
+    texts = texts.union(spark.range(1000, 10_000).selectExpr("-id", "concat('x ', id, ' zx ')"))
+    known = spark.range(1000, 10_000).selectExpr("'P' as platform", "concat('zx ', id) as marker")
+    places = tech._places(texts, ["page_id"], "_blob", 7, [4])
+    index = tech.marker_index(places, known, 7)
+    assert index.groupBy().agg({"offset": "max"}).first()[0] <= 3
+    strings = tech.possible_markers(places, index, ["page_id"], 7)
+    assert strings.count() <= places.count()
+    assert [tuple(r) for r in strings.join(index, "marker").select("page_id", "marker").collect()] == [(1, "zx 7777")]
+
+
 def test_fingerprint_plan_has_no_shuffle_and_prunes_columns(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
     plan = tech.fingerprint(pages, headers=None)._jdf.queryExecution().executedPlan().toString()
