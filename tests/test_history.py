@@ -212,6 +212,29 @@ def test_exports_round_trip(spark, tmp_path):
     assert back.select(ver.columns).collect() == ver.collect()
 
 
+def test_compressed_tables_read_back_the_same(spark, tmp_path):
+    rows = [("a.com", 'say "hi",\tthen\nmore', ""), ("b.com", "x" * 5000, " y ")]
+    table = spark.createDataFrame(rows, "domain string, reason string, niche string")
+    exports.write_tsv(table, f"{tmp_path}/tsv", compression="gzip")
+    back = spark.read.schema(table.schema).csv(
+        f"{tmp_path}/tsv", header=True, sep="\t", quote='"', escape='"', multiLine=True).fillna("")
+    assert sorted(back.collect()) == sorted(table.collect())
+    assert sum(p.stat().st_size for p in tmp_path.glob("tsv/part-*.csv.gz")) < 1000
+
+
+def test_first_and_last_rows_carry_their_values_once(spark):
+    rows = [("j", 1, 5, "a", ["x"]), ("j", 2, 4, None, None), ("j", 2, 4, "b", ["y"]), (None, 1, 1, "c", [])]
+    df = spark.createDataFrame(rows, "job_id string, version int, tiebreak int, note string, tags array<string>")
+    last = fetchlog.latest_by(df, ["job_id"], ["version", "tiebreak"])
+    first = collect.first_by(df, ["job_id"], ["version", "tiebreak"])
+    assert {r.job_id: r.version for r in last.collect()} == {"j": 2, None: 1}
+    assert {r.job_id: (r.note, r.tags) for r in first.collect()} == {"j": ("a", ["x"]), None: ("c", [])}
+    plan = "".join(d._jdf.queryExecution().optimizedPlan().toString() for d in (last, first))
+    assert "_by(" not in plan
+    mapped = df.withColumn("m", F.create_map(F.lit("k"), F.col("note")))
+    assert fetchlog.latest_by(mapped, ["job_id"], ["version", "tiebreak"]).drop("m").collect() == last.collect()
+
+
 def test_old_history_is_upgraded(spark):
     old = spark.createDataFrame([("j", 1)], "job_id string, version int")
     new = spark.createDataFrame([("j", 2, "e")], "job_id string, version int, emails string")
