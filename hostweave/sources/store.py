@@ -5,10 +5,10 @@ change reads and rewrites only the buckets of the jobs it names; all other files
 as they are.
 
 Every change is staged first: the new content of its buckets is written complete
-to a hidden folder beside them and then put in place by a dynamic partition
-overwrite.  A change that broke off is simply made again under its ``change_id``: if
-the staged content is complete it is put in place, else it is worked out anew from
-the untouched store.  Making a finished change again changes nothing.  One writer at
+to a hidden folder beside them, and then each bucket's folder is moved in place of the
+old one, without reading or writing rows again.  A change that broke off is simply made
+again under its ``change_id``: if the staged content is complete, what is left of it is
+put in place, else it is worked out anew from the untouched store.  Making a finished change again changes nothing.  One writer at
 a time changes a table; readers that list files during the last step may see
 buckets of either state.
 """
@@ -37,6 +37,17 @@ def _remove(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
+def _mark(spark: SparkSession, path: str) -> None:
+    fs, target = hadoop_path(spark, path)
+    fs.mkdirs(target)
+
+
+def _move(spark: SparkSession, path: str, to: str) -> None:
+    fs, source = hadoop_path(spark, path)
+    if not fs.rename(source, hadoop_path(spark, to)[1]):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
 def touched_buckets(ids: DataFrame, buckets: int = 64) -> list[int]:
     """Buckets of the jobs in ``ids`` (``job_id``): at most ``buckets`` numbers."""
     rows = ids.select(job_bucket(F.col("job_id"), buckets).alias("b")).distinct().collect()
@@ -61,14 +72,14 @@ def change_buckets(
         stored = spark.read.parquet(path)
         rows = stored.where(F.col("job_bucket").isin(touched)).drop("job_bucket")
         write_history(change(rows).select(*rows.columns), staged, buckets, mode="overwrite")
-    kept = []
-    if any(_exists(spark, f"{staged}/job_bucket={b}") for b in touched):
-        fresh = spark.read.parquet(staged)
-        kept = [b for b in touched if _exists(spark, f"{staged}/job_bucket={b}")]
-        fresh.hint("rebalance", "job_bucket").write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("job_bucket").parquet(path)
-    for bucket in set(touched) - set(kept):
+    fresh = [b for b in touched if _exists(spark, f"{staged}/job_bucket={b}")]
+    if not _exists(spark, f"{staged}/_moving"):  # from then on a bucket that is not staged has been moved
+        for bucket in set(touched) - set(fresh):
+            _remove(spark, f"{path.rstrip('/')}/job_bucket={bucket}")
+        _mark(spark, f"{staged}/_moving")
+    for bucket in fresh:
         _remove(spark, f"{path.rstrip('/')}/job_bucket={bucket}")
+        _move(spark, f"{staged}/job_bucket={bucket}", f"{path.rstrip('/')}/job_bucket={bucket}")
     _remove(spark, staged)
 
 

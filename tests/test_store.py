@@ -79,6 +79,27 @@ def test_a_broken_change_is_made_again(spark, stored, monkeypatch):
     assert content(spark, stored) == want
 
 
+def test_a_change_moves_staged_files_and_goes_on_after_a_break(spark, stored, monkeypatch):
+    was = content(spark, stored)
+    change = spark.range(100).selectExpr("concat('job_', id) as job_id", "concat('s', id) as domain", "7 as version", "'new' as note")
+    move, moved = store._move, []
+
+    def some(session, path, to):
+        if len(moved) == 3:
+            raise OSError("gone")
+        moved.append((path, to, next(p.name for p in (stored / path).glob("*.parquet"))))
+        move(session, path, to)
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_move", some)
+        with pytest.raises(OSError):
+            store.merge_history(spark, str(stored), change, "m", KEYS, ORDER)
+    assert all((stored / to / name).exists() for _, to, name in moved)
+    store.merge_history(spark, str(stored), change, "m", KEYS, ORDER)
+    want = [r if int(r[1][1:]) >= 100 else (*r[:2], 7, "new") for r in was]
+    assert content(spark, stored) == sorted(want) and not list(stored.glob("_change*"))
+
+
 def test_stored_rows_win_over_appended_ones(spark, stored):
     new = new_rows(spark, [("job_5", "s5", 0, "late"), ("job_5", "y", 2, "b"), ("job_5", "y", 1, "a")])
     store.append_history(spark, str(stored), new, "p", KEYS, ORDER)
