@@ -148,6 +148,19 @@ def test_footer_like_blocks(spark):
     assert got == {1: "<FOOTER a>x</FOOTER >", 2: '<div class="page-footer">y</div>', 3: ""}
 
 
+def test_search_pages_are_dealt_by_campaign_and_encoded_once_a_query(spark):
+    schema = ("campaign_id int, keywords string, vertical string, area string, city string, state string, "
+              "country string, tech_stacks string, skip_tech_filter boolean, pages_per_query int")
+    row = ("a*b", "all", "", "Rome", "", "", "Wix", True)
+    df = spark.createDataFrame([(1, *row, 3), (2, *row, None), (4, *row, 2), (4, *row, 1), (None, *row, 5)], schema)
+    pages = expand.search_pages(df)
+    old = expand.expand_queries(df).join(df.select("campaign_id", "pages_per_query"), "campaign_id")
+    old = expand.fan_out_pages(old)
+    assert sorted(pages.collect()) == sorted(old.collect())
+    plan = pages._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "Generate" not in plan[plan.rindex("Join"):]
+
+
 def test_query_expansion(spark):
     schema = ("campaign_id int, keywords string, vertical string, area string, city string, state string, "
               "country string, tech_stacks string, skip_tech_filter boolean")
