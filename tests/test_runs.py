@@ -50,6 +50,22 @@ def test_jobs_get_what_they_ask_for(spark, policy):
         assert r.emails == ([f"info@{r.domain}"] if extract else [])
 
 
+def test_a_run_reads_its_jobs_once(spark, monkeypatch):
+    """Of a long job table only the jobs of collected rows are joined to them."""
+    few = spark.createDataFrame([("a", [], "", "all", False, True, True), ("a", [], "", "all", False, True, True),
+                                 (None, [], "", "all", True, True, True)], JOBS)
+    many = spark.range(500).select(F.concat(F.lit("x"), "id").alias("id"), *[
+        F.lit(None).cast(f.dataType).alias(f.name) for f in few.schema.fields[1:]])
+    links = spark.createDataFrame([("a", 0, "google", 0, 0, "https://a.com/"), ("gone", 0, "google", 0, 0, "https://a.com/"),
+                                   (None, 0, "google", 0, 0, "https://a.com/")], LINKS)
+    sizes, flags = [], runs.acceptance.job_flags
+    monkeypatch.setattr(runs.acceptance, "job_flags", lambda jobs: sizes.append(jobs.count()) or flags(jobs))
+    rows = runs.run_campaign(few.union(many), links, captured(spark, "a")).verifications.collect()
+    assert {(r.job_id, r.vertical, *r.emails) for r in rows} == {
+        (None, "Jewelry"), ("a", "Unknown", "info@a.com"), ("gone", "Jewelry")}
+    assert set(sizes) == {2}
+
+
 def test_nothing_is_extracted_unless_a_job_asks(spark):
     wanted = spark.createDataFrame([("https://a.com/", True, False), ("https://b.com/", True, True)],
                                    "url string, label boolean, search boolean")
