@@ -14,7 +14,8 @@ Nothing is removed then: readers that listed the batches before go on with them
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,27 @@ from pyspark.sql.types import IntegerType, StructType
 from hostweave.operators.fetchlog import latest_by, usable_label
 from hostweave.session import hadoop_path
 
+_STATE = "spark.sql.streaming.stateStore"
+#: State on the executors' disks; its caches and buffers aim at 128 MB an executor, outside the heap.
+DISK_STATE = {
+    f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STATE}.rocksdb.boundedMemoryUsage": "true",
+    f"{_STATE}.rocksdb.maxMemoryUsageMB": "128",
+}
+
+
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep state on disk.  The session's own settings win; it is left as it was."""
+    added = {k: v for k, v in DISK_STATE.items() if spark.conf.get(k, None) is None}
+    for key, value in added.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key in added:
+            spark.conf.unset(key)
+
 
 def stream_first(
     urls: DataFrame, keys: tuple[str, ...] = ("job_id", "host"), event_time: str | None = None,
@@ -63,7 +85,9 @@ def stream_first_stored(
     """Log rows whose key neither the store at ``path`` nor an earlier batch holds.
 
     State only absorbs keys that come again ``within`` that time of their arrival, so
-    it is bounded by the arrivals of that time.  Older keys are found in the store:
+    it is bounded by the arrivals of that time.  It lies on the executors' disks, since
+    that can be more than memory holds (a stream begun with another state store goes on
+    with that).  Older keys are found in the store:
     each batch is anti-joined with the buckets that its keys fall in.  The watermark
     runs on arrival, so no row is late and the result is exact for every delay.  Nulls
     in keys are equal.  A replayed batch ignores what it wrote before.
@@ -86,11 +110,12 @@ def stream_first_stored(
         new.write.mode("overwrite").partitionBy("key_bucket").parquet(f"{path}/batch_id={batch_id}")
         rows.unpersist()
 
-    return (
-        recent.writeStream.outputMode("append").foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True})).start()
-    )
+    with _state_on_disk(urls.sparkSession):
+        return (
+            recent.writeStream.outputMode("append").foreachBatch(write)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start()
+        )
 
 
 def write_rows(stream: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:

@@ -97,6 +97,35 @@ def test_a_replayed_batch_finds_its_rows_again(spark, tmp_path):
     assert found(spark, tmp_path) == sorted([*before, ("j", "d", 3)], key=str)
 
 
+def in_state(query):
+    return query.lastProgress["stateOperators"][0]["customMetrics"]
+
+
+def test_stored_first_seen_keeps_its_state_on_disk(spark, tmp_path):
+    before = {key: spark.conf.get(key, None) for key in live.DISK_STATE}
+    last = find(spark, tmp_path, [("j", "a", 1), ("j", "a", 1), (None, "b", 1), ("j", None, 1)])
+    assert any(name.startswith("rocksdb") for name in in_state(last))
+    last = find(spark, tmp_path, [("j", "a", 2), (None, "b", 2), ("j", None, 2), ("j", "c", 2)])
+    assert last.lastProgress["stateOperators"][0]["numRowsTotal"] == 4
+    want = [("j", "a", 1), (None, "b", 1), ("j", None, 1), ("j", "c", 2)]
+    assert found(spark, tmp_path) == sorted(want, key=str)
+    assert {key: spark.conf.get(key, None) for key in live.DISK_STATE} == before  # the session stays as it was
+
+
+def test_a_stream_begun_with_state_in_memory_goes_on(spark, tmp_path):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:  # the session's own setting wins
+        first = find(spark, tmp_path, [("j", "a", 1), ("j", "b", 1)])
+        assert "HDFSBacked" in spark.conf.get(key)
+    finally:
+        spark.conf.unset(key)
+    last = find(spark, tmp_path, [("j", "a", 2), ("j", "c", 2)])
+    for query in (first, last):
+        assert not any(name.startswith("rocksdb") for name in in_state(query))
+    assert found(spark, tmp_path) == [("j", "a", 1), ("j", "b", 1), ("j", "c", 2)]
+
+
 def test_fold_under_open_readers(spark, tmp_path):
     keys, order, log = ("job_id", "domain"), ("version", "tiebreak"), f"{tmp_path}/log"
 
